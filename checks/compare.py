@@ -4,7 +4,7 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from checks.oracles import ORACLES
@@ -20,24 +20,24 @@ def oracle_connection(directory: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def canonical(frame: pd.DataFrame) -> list[tuple]:
-    """Rows with columns by name, in a fixed order, missing values alike."""
-    columns = sorted(frame.columns)
-    rows = [
-        tuple(None if value is None or value is pd.NaT or value != value else value for value in row)
-        for row in frame[columns].astype(object).itertuples(index=False, name=None)
-    ]
-    return sorted(rows, key=repr)
+def canonical(table: pa.Table) -> list[tuple]:
+    """Rows with columns by name, in a fixed order."""
+    columns = [table.column(name).to_pylist() for name in sorted(table.column_names)]
+    return sorted(zip(*columns, strict=True), key=repr)
+
+
+def types(table: pa.Table) -> dict[str, str]:
+    return {field.name: str(field.type).replace("large_", "") for field in table.schema}
 
 
 def difference(spark: SparkSession, connection: duckdb.DuckDBPyConnection, directory: str, name: str) -> str | None:
     """What differs, or None."""
-    got = QUERIES[name](spark, directory).toPandas()
+    got = QUERIES[name](spark, directory).toArrow()
     if name not in ORACLES:
-        return None if len(got) else "no rows"
-    want = connection.execute(ORACLES[name]).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} / {sorted(want.columns)}"
+        return None if got.num_rows else "no rows"
+    want = connection.execute(ORACLES[name]).to_arrow_table()
+    if types(got) != types(want):
+        return f"types {sorted(set(types(got).items()) ^ set(types(want).items()))}"
     left, right = canonical(got), canonical(want)
     if left == right:
         return None
