@@ -305,15 +305,18 @@ def error_classes(given):
     return given.failures.select("id", labels.is_rate_limit(F.col("message")).alias("rate_limit"), kind.alias("kind"))
 
 
+def _events(given: Inputs) -> DataFrame:
+    return labels.label_events(labels.parse_label_replies(labels.answered(given.replies)), 7, key="item_id")
+
+
 @query
 def label_run_events(given):
-    events = labels.label_events(labels.parse_label_replies(given.replies), 7, key="item_id")
-    return events.drop("error")
+    return _events(given).drop("error")
 
 
 @query
 def label_run_summary(given):
-    return labels.label_run_summary(labels.label_events(labels.parse_label_replies(given.replies), 7, key="item_id"))
+    return labels.label_run_summary(_events(given))
 
 
 @query

@@ -11,8 +11,8 @@ def round_even(value: Column, digits: int = 0) -> Column:
 
 
 def clamp(value: Column, low: int | float, high: int | float) -> Column:
-    """Value within the bounds; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+    """Value within the bounds; NULL stays NULL, which ``least`` and ``greatest`` would skip."""
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
 
 
 def whole_rating(value: Column) -> Column:

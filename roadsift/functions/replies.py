@@ -1,6 +1,6 @@
 """Reading the JSON record out of a chatty model reply."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadsift.functions.numbers import clamp
@@ -21,75 +21,68 @@ WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+FINITE = 1e300  # beyond it a number is taken as infinite
+
+
 def json_span(reply: Column) -> Column:
     """From the first ``{`` to the last ``}``; empty when there is no such span."""
     return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
 
 
-def json_record(reply: Column, *fields: str) -> Column:
-    """The span's named fields as strings; NULL unless the span is exactly one JSON object.
+def with_record(replies: DataFrame, reply: str, *fields: str, typed: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``_span`` and ``_record``: the named fields as strings or (``typed``) variants, which keep ``3`` and
+    ``"3"`` apart. The record is NULL unless the span is exactly one JSON object.
 
     Parsing ``[span]`` as an array is what refuses trailing text: on the bare span the parser stops after the
-    first object and would accept ``{"a":1} tail }``.
+    first object and would accept ``{"a":1} tail }``. Each step is a column, so that none is worked out twice.
     """
-    schema = "array<struct<" + ",".join(f"`{name}`:string" for name in fields) + ">>"
-    parsed = F.from_json(
-        F.concat(F.lit("["), json_span(reply), F.lit("]")), schema, {"allowSingleQuotes": "false"}
-    )
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
-
-
-def json_kind(reply: Column, field: str) -> Column:
-    """JSON type of a field (``STRING``, ``BOOLEAN``, ``BIGINT``, …); NULL if the field is absent."""
-    parsed = F.try_parse_json(json_span(reply))
-    return F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
-
+    listed = [f"`{name}`:string" for name in fields] + [f"`{name}`:variant" for name in typed]
+    schema = "array<struct<" + ",".join(listed) + ">>"
+    bracketed = F.concat(F.lit("["), F.col("_span"), F.lit("]"))
+    spanned = replies.withColumn("_span", json_span(F.col(reply)))
+    parsed = spanned.withColumn("_records", F.from_json(bracketed, schema, {"allowSingleQuotes": "false"}))
+    single = F.when(F.size("_records") == 1, F.get("_records", F.lit(0)))
+    return parsed.withColumn("_record", single).drop("_records")
 
-def _number(text: Column, kind: Column, quoted_pattern: str) -> Column:
-    stripped = strip(text)
-    quoted = F.when(stripped.rlike(quoted_pattern), stripped.try_cast("double"))
-    plain = F.when(stripped.rlike(DECIMAL_NUMBER), stripped.try_cast("double"))
-    return (
-        F.when(kind == "STRING", quoted)
-        .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
-        .otherwise(plain)
-    )
 
+def number_of(value: Column, quoted_pattern: str) -> Column:
+    """A JSON number or boolean, or a string that fits the pattern; NULL for all else, NaN and infinity included."""
+    text = strip(value.cast("string"))
+    return F.when(
+        F.schema_of_variant(value) == "STRING", F.when(text.rlike(quoted_pattern), text.try_cast("double"))
+    ).otherwise(F.try_variant_get(value, "$", "double"))
 
-def severity_of(text: Column, kind: Column) -> Column:
-    """1..4. Fractions are cut, but a quoted fraction is not a whole number and gives the default."""
-    number = _number(text, kind, WHOLE_NUMBER)
-    cut_off = F.when(number < 0, F.ceil(clamp(number, -9, 9))).otherwise(F.floor(clamp(number, -9, 9)))
-    return F.coalesce(clamp(cut_off.cast("int"), 1, 4), F.lit(DEFAULT_SEVERITY))
 
+def one_of(text: Column, domain: list[str], default: str) -> Column:
+    return F.when(text.isin(domain), text).otherwise(F.lit(default))
 
-def confidence_of(text: Column, kind: Column) -> Column:
-    """0.0..1.0."""
-    return F.coalesce(clamp(_number(text, kind, DECIMAL_NUMBER), 0.0, 1.0), F.lit(DEFAULT_CONFIDENCE))
 
+def bounded(number: Column, low: int | float, high: int | float, default: int | float) -> Column:
+    finite = number.between(-FINITE, FINITE)
+    return F.when(finite, clamp(number, low, high)).otherwise(F.lit(float(default)))
 
-def one_of(text: Column, domain: list[str], default: str) -> Column:
-    return F.when(text.isin(domain), text).otherwise(F.lit(default))
 
+def label_of(record: Column, severity: Column, confidence: Column) -> Column:
+    """Label struct from a parsed reply and its numbers; anything out of the taxonomy becomes a default.
 
-def label_of(record: Column, severity_kind: Column, confidence_kind: Column) -> Column:
-    """Label struct from a parsed reply; anything out of the taxonomy becomes a default."""
+    Severity fractions are cut. (A quoted fraction is no whole number and has become NULL before.)
+    """
     return F.struct(
         one_of(record["type"], FEEDBACK_TYPES, DEFAULT_TYPE).alias("fb_type"),
         cut(F.coalesce(record["area"], F.lit(DEFAULT_AREA)), AREA_CHARS).alias("product_area"),
         one_of(record["sentiment"], SENTIMENTS, DEFAULT_SENTIMENT).alias("sentiment"),
-        severity_of(record["severity"], severity_kind).alias("severity"),
-        confidence_of(record["confidence"], confidence_kind).alias("confidence"),
+        bounded(severity, 1, 4, DEFAULT_SEVERITY).cast("int").alias("severity"),
+        bounded(confidence, 0.0, 1.0, DEFAULT_CONFIDENCE).alias("confidence"),
     )
 
 
-def truthy(text: Column, kind: Column) -> Column:
+def truthy(value: Column) -> Column:
     """Truth of a verdict field: absent, null, 0, empty and the word "false" are false, the rest is true."""
+    text, kind = value.cast("string"), F.schema_of_variant(value)
     return F.coalesce(
         F.when(kind == "STRING", ~F.lower(strip(text)).isin("", "false"))
         .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "VOID", F.lit(False))
-        .when(kind.rlike("^(OBJECT|ARRAY)"), ~F.regexp_replace(text, r"\s", "").isin("{}", "[]"))
-        .otherwise(F.coalesce(text.try_cast("boolean"), text.try_cast("double") != 0.0)),
+        .when(kind.rlike("^(OBJECT|ARRAY)"), ~text.isin("{}", "[]"))
+        .otherwise(text.try_cast("double") != 0.0),
         F.lit(False),
     )

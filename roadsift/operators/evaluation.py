@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadsift.functions.replies import json_kind, json_record, truthy
+from roadsift.functions.replies import truthy, with_record
 from roadsift.functions.text import blank_to_null, cut, shown, strip
 from roadsift.operators.labels import BROKEN_OBJECT
 from roadsift.operators.ranking import attach, seeded_sample, top_per_group
@@ -51,16 +51,11 @@ def parse_verdicts(replies: DataFrame, reply: str = "reply", assigned: str = "fb
     A reply that cannot be read gives no verdict, keeps the assigned type as the suggestion and has an error.
     A NULL reply is a judge that did not answer, which is an error too.
     """
-    text = F.col(reply)
-    parsed = replies.select(
-        *replies.columns,
-        json_record(text, "type_correct", "suggested_type", "reasoning").alias("_record"),
-        json_kind(text, "type_correct").alias("_kind"),
-    )
+    parsed = with_record(replies, reply, "suggested_type", "reasoning", typed=("type_correct",))
     record, read = F.col("_record"), F.col("_record").isNotNull()
     return parsed.select(
         *replies.columns,
-        F.when(read, truthy(record["type_correct"], F.col("_kind"))).alias("type_correct"),
+        F.when(read, truthy(record["type_correct"])).alias("type_correct"),
         F.coalesce(record["suggested_type"], F.col(assigned)).alias("suggested_type"),
         F.when(read, cut(F.coalesce(record["reasoning"], F.lit("")), REASONING_CHARS))
         .otherwise(F.lit(f"judge error: {BROKEN_OBJECT}"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadsift.functions.keys import body_hash
-from roadsift.functions.replies import json_kind, json_record, json_span, label_of
+from roadsift.functions.replies import DECIMAL_NUMBER, WHOLE_NUMBER, label_of, number_of, with_record
 from roadsift.functions.text import contains_any
 from roadsift.schemas import (
     DEFAULT_AREA,
@@ -63,20 +63,21 @@ def parse_label_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     A reply that cannot be read gives the safe label with confidence 0 and an error; so does one that arrived
     with an ``error`` of its own. A NULL reply without an error means there is no answer yet: all fields NULL.
     """
-    text = F.col(reply)
-    reported = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
-    parsed = replies.select(
-        *[name for name in replies.columns if name != "error"],
-        json_record(text, "type", "area", "sentiment", "severity", "confidence").alias("_record"),
-        json_kind(text, "severity").alias("_severity_kind"),
-        json_kind(text, "confidence").alias("_confidence_kind"),
-        reported.alias("_reported"),
+    text, span, record = F.col(reply), F.col("_span"), F.col("_record")
+    kept = [name for name in replies.columns if name != "error"]
+    own_error = replies.withColumnRenamed("error", "_reported") if "error" in replies.columns else replies
+    parsed = with_record(own_error, reply, "type", "area", "sentiment", typed=("severity", "confidence")).withColumns(
+        {
+            "_severity": number_of(F.col("_record")["severity"], WHOLE_NUMBER),
+            "_confidence": number_of(F.col("_record")["confidence"], DECIMAL_NUMBER),
+        }
     )
+    reported = F.col("_reported") if "error" in replies.columns else F.lit(None).cast("string")
     error = (
-        F.when(F.col("_reported").isNotNull(), F.col("_reported"))
+        F.when(reported.isNotNull(), reported)
         .when(text.isNull(), F.lit(None))
-        .when(json_span(text) == "", F.lit(NO_OBJECT))
-        .when(F.col("_record").isNull(), F.lit(BROKEN_OBJECT))
+        .when(span == "", F.lit(NO_OBJECT))
+        .when(record.isNull(), F.lit(BROKEN_OBJECT))
     )
     safe = F.struct(
         F.lit(DEFAULT_TYPE).alias("fb_type"),
@@ -85,15 +86,10 @@ def parse_label_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
         F.lit(DEFAULT_SEVERITY).alias("severity"),
         F.lit(0.0).alias("confidence"),
     )
-    good = label_of(F.col("_record"), F.col("_severity_kind"), F.col("_confidence_kind"))
-    labelled = parsed.withColumn("error", error).withColumn(
-        "_label", F.when(F.col("error").isNotNull(), safe).when(text.isNotNull(), good)
-    )
-    return labelled.select(
-        *[name for name in replies.columns if name != "error"],
-        *[F.col("_label")[field].alias(field) for field in LABEL_FIELDS],
-        "error",
-    )
+    good = label_of(record, F.col("_severity"), F.col("_confidence"))
+    label = F.when(error.isNotNull(), safe).when(text.isNotNull(), good)
+    labelled = parsed.select(*kept, error.alias("error"), label.alias("_label"))
+    return labelled.select(*kept, *[F.col("_label")[field].alias(field) for field in LABEL_FIELDS], "error")
 
 
 def keyword_label(body: Column) -> Column:
@@ -128,7 +124,7 @@ def label_with(
     tail: str = PROMPT_TAIL,
     partitions: int | None = None,
 ) -> DataFrame:
-    """(id, label fields, error) for every item.
+    """(id, label fields, error) for every item that got an answer.
 
     ``answer`` takes a list of prompts and returns (reply, error) pairs. It is called once per distinct body,
     in Arrow batches; only hashes travel back through the join. Without it the keyword rules are used.
@@ -152,7 +148,8 @@ def label_with(
             )
 
     replies = bodies.mapInPandas(ask, "body_hash string, reply string, error string")
-    return hashed.select("id", "body_hash").join(parse_label_replies(replies).drop("reply"), "body_hash").drop("body_hash")
+    parsed = parse_label_replies(answered(replies)).drop("reply")
+    return hashed.select("id", "body_hash").join(parsed, "body_hash").drop("body_hash")
 
 
 def is_rate_limit(error: Column) -> Column:
@@ -171,21 +168,24 @@ def error_class(error: Column, code: Column | None = None) -> Column:
     )
 
 
-def label_events(labelled: DataFrame, seq: int | Column, key: str = "id") -> DataFrame:
-    """Log rows for a label run.
+def answered(replies: DataFrame) -> DataFrame:
+    """Replies that settle an item: rate-limited ones and those without an answer leave it new.
 
-    Rate-limited items and items without an answer leave no row, so they stay new and are met again by the
-    next run; any other error is a failure.
+    To be applied before parsing, where it costs next to nothing.
     """
-    answered = labelled.filter(
-        (F.col("error").isNotNull() | F.col("fb_type").isNotNull())
-        & ~F.coalesce(is_rate_limit(F.col("error")), F.lit(False))
-    )
+    if "error" not in replies.columns:
+        return replies.filter(F.col("reply").isNotNull())
+    limited = F.coalesce(is_rate_limit(F.col("error")), F.lit(False))
+    return replies.filter((F.col("reply").isNotNull() | F.col("error").isNotNull()) & ~limited)
+
+
+def label_events(labelled: DataFrame, seq: int | Column, key: str = "id") -> DataFrame:
+    """Log rows for labels of answered items; one with an error, whatever its class, is a failure."""
     failed = F.col("error").isNotNull()
-    return answered.select(
+    return labelled.select(
         F.col(key).cast("bigint").alias("item_id"),
         (seq if isinstance(seq, Column) else F.lit(seq)).cast("bigint").alias("seq"),
-        F.when(failed, "fail").otherwise("label").alias("kind"),
+        F.when(failed, "fail").when(F.col("fb_type").isNotNull(), "label").alias("kind"),
         *[F.when(~failed, F.col(field)).alias(field) for field in LABEL_FIELDS],
         "error",
     )

@@ -1,11 +1,12 @@
 """Feature vectors, clustering into themes, and theme names."""
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from roadsift.functions.keys import body_hash
 from roadsift.functions.numbers import theme_count
-from roadsift.functions.replies import json_record
+from roadsift.functions.replies import with_record
 from roadsift.functions.text import cut, or_default, ordered_lines, title_words
 from roadsift.operators.ranking import attach, top_per_group
 from roadsift.schemas import NAMING_SAMPLE_CHARS, NAMING_SAMPLE_SIZE
@@ -93,9 +94,14 @@ def word_vectors(items: DataFrame, size: int = 4096) -> DataFrame:
 
 
 def cluster(
-    vectors: DataFrame, k: int | None = None, seeds: Iterable[int] = SEEDS, min_size: int = 0, max_iter: int = 20
+    vectors: DataFrame,
+    k: int | None = None,
+    seeds: Iterable[int] = SEEDS,
+    min_size: int = 0,
+    max_iter: int = 20,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """(id, cluster, features): the cheapest of one k-means fit per seed.
+    """(id, cluster, features): the cheapest of one k-means fit per seed, several of them at a time.
 
     Rows are laid out by id first, which makes a fit repeatable whatever the input's partitioning. ``k`` follows
     the number of vectors unless given, and never exceeds it. Clusters below ``min_size`` lose their items.
@@ -106,8 +112,10 @@ def cluster(
         size, wanted = laid_out.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
         k = min(k or wanted, size)
         estimator = KMeans(k=k, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
-        fits = (estimator.setSeed(seed).fit(laid_out) for seed in seeds)
-        best = min(fits, key=lambda model: model.summary.trainingCost)
+        fit = inheritable_thread_target(vectors.sparkSession)(lambda seed: estimator.fit(laid_out, {estimator.seed: seed}))
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(fit, seeds)
+        best = min(models, key=lambda model: model.summary.trainingCost)
     finally:
         laid_out.unpersist()
     clustered = best.transform(vectors).select("id", "cluster", "features")
@@ -207,7 +215,7 @@ def name_themes(members: DataFrame, replies: DataFrame | None = None) -> DataFra
         return areas.select(
             F.col("theme_id").alias("id"), fallback.alias("name"), F.lit(FALLBACK_SUMMARY).alias("summary")
         )
-    answers = replies.select("theme_id", json_record(F.col("reply"), "name", "summary").alias("_record"))
+    answers = with_record(replies, "reply", "name", "summary").select("theme_id", "_record")
     record, read = F.col("_record"), F.col("_record").isNotNull()
     return areas.join(answers, "theme_id", "left").select(
         F.col("theme_id").alias("id"),
