@@ -183,12 +183,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{directory}/{name}.parquet")
 
 
-def view(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame."""
+def view(spark: SparkSession, directory: str, name: str, registered: set[str] | None = None) -> DataFrame:
+    """One of the views as a DataFrame; ``registered`` remembers base tables across calls for one directory."""
+    registered = set() if registered is None else registered
     sql = with_views(f"SELECT * FROM {name}", "spark")
     for base in BASE_TABLES:
         used = re.compile(rf"\b(FROM|JOIN) {base}\b")
         if used.search(sql):
-            table(spark, directory, base).createOrReplaceTempView(f"driver_{base}")
+            if base not in registered:
+                table(spark, directory, base).createOrReplaceTempView(f"driver_{base}")
+                registered.add(base)
             sql = used.sub(rf"\1 driver_{base}", sql)
     return spark.sql(sql)

@@ -23,9 +23,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
+        self.registered: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.directory, name)
+        frame = view(self.spark, self.directory, name, self.registered)
+        setattr(self, name, frame)  # read once per query
+        return frame
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.directory, name)
@@ -446,7 +449,7 @@ def theme_names(given):
 
 @query
 def theme_sample_text(given):
-    return themes.theme_samples(_members(given))
+    return themes.theme_samples(_members(given), given.themes)
 
 
 @query
@@ -489,28 +492,28 @@ def silhouette(given):
 
 @query
 def evidence_top30(given):
-    return citations.evidence_pool(given.feedback_items)
+    return citations.evidence_pool(given.feedback_items, given.themes)
 
 
 @query
 def siblings(given):
-    return citations.siblings(given.feedback_items)
+    return citations.siblings(given.feedback_items, given.themes)
 
 
 @query
 def sibling_preview(given):
-    return packs.sibling_preview(given.feedback_items)
+    return packs.sibling_preview(given.feedback_items, given.themes)
 
 
 @query
 def citation_check(given):
-    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items)
+    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
     return citations.citation_counts(checked, "theme_id")
 
 
 @query
 def citation_ids(given):
-    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items)
+    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
     return checked.select(
         "theme_id",
         *[F.array_join(F.col(name).cast("array<string>"), ",").alias(name) for name in ("cited", "valid", "hallucinated")],
@@ -519,19 +522,19 @@ def citation_ids(given):
 
 @query
 def review_citation_check(given):
-    checked = citations.check_review_documents(given.review_drafts, given.feedback_items)
+    checked = citations.check_review_documents(given.review_drafts, given.feedback_items, given.themes)
     return citations.citation_counts(checked, "item_id")
 
 
 @query
 def citation_report(given):
-    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items)
+    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
     return citations.verification_report(checked, "theme_id")
 
 
 @query
 def review_report(given):
-    checked = citations.check_review_documents(given.review_drafts, given.feedback_items)
+    checked = citations.check_review_documents(given.review_drafts, given.feedback_items, given.themes)
     return citations.verification_report(checked, "item_id")
 
 
@@ -552,7 +555,7 @@ def theme_pack(given):
 
 @query
 def review_pack(given):
-    return packs.review_pack(given.feedback_items)
+    return packs.review_pack(given.feedback_items, given.themes)
 
 
 @query
@@ -577,7 +580,7 @@ def theme_docs(given):
 def report_files(given):
     """Writes one text file per report and reads the files back."""
     path = shared_folder(given.spark)
-    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items)
+    checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
     reports = citations.verification_report(checked, "theme_id")
     documents.write_text(reports.select(F.lit("theme").alias("target_kind"), F.col("theme_id").alias("target_id"), "markdown"), path)
     return citations.report_counters(documents.read_text(given.spark, path), "target_id")

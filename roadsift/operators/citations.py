@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadsift.functions.text import cut, strip, verbatim_line
 from roadsift.operators.ranking import attach, top_per_group
+from roadsift.operators.small import hinted, is_small
 from roadsift.schemas import EVIDENCE_POOL_SIZE, SIBLING_COUNT
 
 # The citation pattern, the report's wording, and the patterns that read its counters back
@@ -37,14 +38,15 @@ def _order() -> list[Column]:
     return [F.col("severity").desc_nulls_last(), F.col("id").asc()]
 
 
-def evidence_pool(items: DataFrame, n: int = EVIDENCE_POOL_SIZE) -> DataFrame:
+def evidence_pool(items: DataFrame, themes: DataFrame | None = None, n: int = EVIDENCE_POOL_SIZE) -> DataFrame:
     """(theme_id, rank, id, fb_type, severity, body): the n most severe items of every theme, lower ids first.
 
-    Ranking sorts ids and severities only; texts are fetched for the winners.
+    Ranking sorts ids and severities only; texts are fetched for the winners. Here and below, ``themes`` (one row
+    per theme) lets pools be broadcast after a check of their number.
     """
     themed = items.filter(F.col("theme_id").isNotNull())
     picked = top_per_group(themed.select("theme_id", "severity", "id"), "theme_id", _order(), n)
-    return attach(picked, themed, ["fb_type", "body"]).select("theme_id", "rank", *ITEM)
+    return attach(picked, themed, ["fb_type", "body"], themes, n).select("theme_id", "rank", *ITEM)
 
 
 def pool_by_theme(pool: DataFrame) -> DataFrame:
@@ -53,24 +55,26 @@ def pool_by_theme(pool: DataFrame) -> DataFrame:
     return pool.groupBy("theme_id").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
 
 
-def with_siblings(items: DataFrame, n: int = SIBLING_COUNT) -> DataFrame:
-    """Items with ``siblings``: the n worst other items of the same theme (empty without a theme).
+def with_siblings(
+    targets: DataFrame, items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT
+) -> DataFrame:
+    """Target rows (id, theme_id, …) with ``siblings``: the n worst other items of the same theme, none without one.
 
     The n + 1 worst of a theme hold the n worst others of every member.
     """
-    pools = pool_by_theme(evidence_pool(items, n + 1))
+    pools = pool_by_theme(evidence_pool(items, themes, n + 1))
     others = F.slice(F.filter("pool", lambda other: other["id"] != F.col("id")), 1, n)
     empty = F.filter("pool", lambda other: F.lit(False))
     return (
-        items.join(pools, "theme_id", "left")
+        targets.join(hinted(pools, themes), "theme_id", "left")
         .withColumn("siblings", F.coalesce(others, empty, F.array()))
         .drop("pool")
     )
 
 
-def siblings(items: DataFrame, n: int = SIBLING_COUNT) -> DataFrame:
+def siblings(items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT) -> DataFrame:
     """(id, rank, sibling_id) rows for every item with siblings."""
-    listed = with_siblings(items, n).select("id", F.posexplode("siblings").alias("_at", "_sibling"))
+    listed = with_siblings(items.select("id", "theme_id"), items, themes, n).select("id", F.posexplode("siblings").alias("_at", "_sibling"))
     return listed.select("id", (F.col("_at") + 1).alias("rank"), F.col("_sibling")["id"].alias("sibling_id"))
 
 
@@ -104,24 +108,28 @@ def citation_counts(checked: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def check_theme_documents(documents: DataFrame, items: DataFrame, pool_size: int = EVIDENCE_POOL_SIZE) -> DataFrame:
+def check_theme_documents(
+    documents: DataFrame, items: DataFrame, themes: DataFrame | None = None, pool_size: int = EVIDENCE_POOL_SIZE
+) -> DataFrame:
     """Documents about themes (theme_id, markdown); only the pool shown to the writer is valid."""
-    pools = pool_by_theme(evidence_pool(items, pool_size)).withColumnRenamed("pool", "evidence")
-    joined = documents.join(pools, "theme_id", "left")
+    pools = pool_by_theme(evidence_pool(items, themes, pool_size)).withColumnRenamed("pool", "evidence")
+    joined = documents.join(hinted(pools, themes), "theme_id", "left")
     return check_citations(joined, F.transform("evidence", lambda entry: entry["id"]))
 
 
-def check_review_documents(documents: DataFrame, items: DataFrame, n: int = SIBLING_COUNT) -> DataFrame:
+def check_review_documents(
+    documents: DataFrame, items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT
+) -> DataFrame:
     """Documents about single items (item_id, markdown); the item and its siblings are valid."""
-    targets = with_siblings(items.select("theme_id", *ITEM), n)
     target = F.struct(
         F.lit(0).alias("rank"), "id", "fb_type", "severity", cut(F.col("body"), EVIDENCE_CHARS).alias("body")
     )
-    shown = targets.select(
-        F.col("id").alias("item_id"), F.concat(F.array(target), F.col("siblings")).alias("evidence")
-    )
-    joined = documents.join(shown, "item_id")
-    return check_citations(joined, F.transform("evidence", lambda entry: entry["id"]))
+    lines = items.select("id", "theme_id", target.alias("_target"))
+    about = documents.join(lines, documents["item_id"] == lines["id"])
+    shown = with_siblings(about, items, themes, n)
+    joined = shown.withColumn("evidence", F.concat(F.array("_target"), F.col("siblings")))
+    checked = joined.drop("id", "theme_id", "_target", "siblings")
+    return check_citations(checked, F.transform("evidence", lambda entry: entry["id"]))
 
 
 def verification_report(checked: DataFrame, *keys: str) -> DataFrame:
@@ -179,11 +187,14 @@ def quotes(documents: DataFrame, *keys: str) -> DataFrame:
 def check_quotes(documents: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
     """Adds ``found``: does the cited item's whole text hold the quote? False when there is no such item.
 
-    Equal quotes are looked up once; the copies of a quote meet only their one-row answer.
+    Equal quotes are looked up once; the copies of a quote meet only their one-row answer. A small number of
+    quotes is sent to the items, whose texts are then scanned and only the cited ones are shuffled.
     """
     listed = quotes(documents, *keys)
     wanted = listed.select("item_id", "quote").distinct()
     bodies = items.select(F.col("id").alias("item_id"), "body")
+    if is_small(wanted):
+        bodies = bodies.join(F.broadcast(wanted.select("item_id").distinct()), "item_id", "left_semi")
     answers = wanted.join(bodies, "item_id", "left").select(
         "item_id", "quote", F.coalesce(F.contains("body", "quote"), F.lit(False)).alias("found")
     )

@@ -27,7 +27,7 @@ def golden_sample(items: DataFrame, per_type: int = GOLDEN_PER_TYPE) -> DataFram
     labelled = items.filter((F.col("status") == "classified") & F.col("fb_type").isNotNull())
     picked = top_per_group(labelled.select("id", "fb_type", "severity"), "fb_type", [F.col("id")], per_type)
     return (
-        attach(picked, labelled, ["body"])
+        attach(picked, labelled, ["body"], labelled.select("fb_type").distinct(), per_type)
         .select(
             "id",
             "body",

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadsift.operators.small import hinted
+
 SALTS = 32
 
 
@@ -24,9 +26,14 @@ def top_per_group(
     return survivors.drop("_salt").withColumn(rank, F.row_number().over(within_group)).filter(F.col(rank) <= n)
 
 
-def attach(picked: DataFrame, items: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
-    """Adds wide columns to the few picked rows, so that no sort has to carry texts."""
-    return picked.join(items.select(key, *columns), key)
+def attach(
+    picked: DataFrame, items: DataFrame, columns: Sequence[str], groups: DataFrame | None, n: int, key: str = "id"
+) -> DataFrame:
+    """Adds wide columns to the picked rows, at most ``n`` for each of the groups, so that no sort carries texts.
+
+    With a checked number of groups the items are scanned once and not shuffled.
+    """
+    return items.select(key, *columns).join(hinted(picked, groups, n), key)
 
 
 def first_rows(items: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -121,7 +121,8 @@ def cluster(
     clustered = best.transform(vectors).select("id", "cluster", "features")
     if min_size > 1:
         kept = clustered.groupBy("cluster").count().filter(F.col("count") >= min_size).select("cluster")
-        clustered = clustered.join(kept, "cluster", "left_semi").select("id", "cluster", "features")
+        small = F.broadcast(kept) if k <= MAX_CENTERS else kept
+        clustered = clustered.join(small, "cluster", "left_semi").select("id", "cluster", "features")
     return clustered
 
 
@@ -180,17 +181,22 @@ def nearest_centroid(
     return known.mapInArrow(run, "id bigint, theme_id bigint, distance double")
 
 
-def theme_samples(members: DataFrame, n: int = NAMING_SAMPLE_SIZE, chars: int = NAMING_SAMPLE_CHARS) -> DataFrame:
-    """(theme_id, sample): the first members' opening characters as a list, for naming."""
+def theme_samples(
+    members: DataFrame, themes: DataFrame | None = None, n: int = NAMING_SAMPLE_SIZE, chars: int = NAMING_SAMPLE_CHARS
+) -> DataFrame:
+    """(theme_id, sample): the first members' opening characters as a list, for naming.
+
+    ``themes``, one row per theme, lets the texts be fetched without a shuffle.
+    """
     picked = top_per_group(members.select("id", "theme_id"), "theme_id", [F.col("id")], n)
-    lines = attach(picked, members, ["body"]).withColumn("_line", F.concat(F.lit("- "), cut(F.col("body"), chars)))
+    lines = attach(picked, members, ["body"], themes, n).withColumn("_line", F.concat(F.lit("- "), cut(F.col("body"), chars)))
     return lines.groupBy("theme_id").agg(ordered_lines("_line", "rank").alias("sample"))
 
 
-def naming_prompts(members: DataFrame) -> DataFrame:
+def naming_prompts(members: DataFrame, themes: DataFrame | None = None) -> DataFrame:
     """(theme_id, prompt) for a namer."""
     prompt = F.concat(F.lit(NAMING_HEAD), F.col("sample"), F.lit(NAMING_TAIL))
-    return theme_samples(members).select("theme_id", prompt.alias("prompt"))
+    return theme_samples(members, themes).select("theme_id", prompt.alias("prompt"))
 
 
 def top_areas(members: DataFrame) -> DataFrame:

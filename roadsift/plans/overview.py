@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from roadsift.functions.numbers import percent_text
 from roadsift.functions.text import cut, picker_line
+from roadsift.operators.small import hinted
 from roadsift.schemas import SEVERITY_LABELS, WORK_BATCH_SIZE
 
 
@@ -78,7 +79,7 @@ def theme_drilldown(items: DataFrame, themes: DataFrame) -> DataFrame:
     """Every themed item under its theme, most severe first; a range sort, so one large theme spreads out."""
     labels = themes.select(F.col("id").alias("theme_id"), F.col("name").alias("theme"))
     themed = items.filter(F.col("theme_id").isNotNull()).select("theme_id", "id", "fb_type", "severity", "body")
-    return themed.join(labels, "theme_id").orderBy("theme_id", F.col("severity").desc_nulls_last(), "id")
+    return themed.join(hinted(labels, themes), "theme_id").orderBy("theme_id", F.col("severity").desc_nulls_last(), "id")
 
 
 def review_picker(items: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def theme_pack(
     """(theme_id, pack) per opportunity: name, summary, figures and the worst items by id."""
     line = evidence_line(F.col("id"), F.col("fb_type"), F.col("severity"), F.col("body"), THEME_CHARS)
     evidence = (
-        evidence_pool(items, n)
+        evidence_pool(items, themes, n)
         .withColumn("_line", line)
         .groupBy("theme_id")
         .agg(ordered_lines("_line", "rank").alias("evidence"))
@@ -37,9 +37,12 @@ def theme_pack(
     return offered.join(evidence, "theme_id", "left").select("theme_id", pack.alias("pack"))
 
 
-def review_pack(items: DataFrame, guidance: str = "", n: int = SIBLING_COUNT) -> DataFrame:
+def review_pack(
+    items: DataFrame, themes: DataFrame | None = None, guidance: str = "", n: int = SIBLING_COUNT
+) -> DataFrame:
     """(id, pack) per classified item: its whole text and its siblings' opening characters."""
-    targets = with_siblings(items.select("theme_id", "status", *ITEM), n).filter(F.col("status") == "classified")
+    classified = items.filter(F.col("status") == "classified").select("theme_id", *ITEM)
+    targets = with_siblings(classified, items, themes, n)
     lines = F.array_join(
         F.transform(
             "siblings",
@@ -58,7 +61,7 @@ def review_pack(items: DataFrame, guidance: str = "", n: int = SIBLING_COUNT) ->
     return targets.select("id", pack.alias("pack"))
 
 
-def sibling_preview(items: DataFrame, n: int = SIBLING_COUNT) -> DataFrame:
+def sibling_preview(items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT) -> DataFrame:
     """(id, preview): an item's siblings as they are listed before a document is ordered."""
     lines = F.transform(
         "siblings",
@@ -67,7 +70,8 @@ def sibling_preview(items: DataFrame, n: int = SIBLING_COUNT) -> DataFrame:
             shown(other["severity"]), F.lit("): "), F.substring(other["body"], 1, PREVIEW_CHARS),
         ),
     )
-    listed = with_siblings(items.select("theme_id", *ITEM), n).filter(F.size("siblings") > 0)
+    themed = items.filter(F.col("theme_id").isNotNull()).select("id", "theme_id")
+    listed = with_siblings(themed, items, themes, n).filter(F.size("siblings") > 0)
     return listed.select("id", F.array_join(lines, "\n").alias("preview"))
 
 

@@ -96,7 +96,7 @@ def build_themes(
     append(th.assignments(th.cluster(vectors, k, min_size=min_size), run_id, first_id), directory, "theme_assignments")
     written = read_table(spark, directory, "theme_assignments").filter(F.col("run_id") == run_id)
     members = items.join(written.select(F.col("item_id").alias("id"), "theme_id"), "id")
-    replies = name(th.naming_prompts(members)) if name else None
+    replies = name(th.naming_prompts(members, written.select("theme_id").distinct())) if name else None
     append(th.name_themes(members, replies).withColumn("run_id", F.lit(run_id)), directory, "themes")
     return run_id
 
