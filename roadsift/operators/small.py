@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 MAX_SMALL_ROWS = 100_000
 
 
-def is_small(groups: DataFrame | None, rows_per_group: int = 1, limit: int = MAX_SMALL_ROWS) -> bool:
+def is_small(groups: DataFrame | None, rows_per_group: int = 1) -> bool:
     """Whether that many rows for each of the groups stay within the limit; counts no further than that."""
     if groups is None:
         return False
-    allowed = limit // rows_per_group
+    allowed = MAX_SMALL_ROWS // rows_per_group
     return groups.limit(allowed + 1).count() <= allowed
 
 
