@@ -324,7 +324,7 @@ def label_run_summary(given):
 
 @query
 def unlabeled_items(given):
-    return state.unlabeled(given.plain_items, given.label_log).select("id")
+    return state.unlabeled(given.plain_items, given.label_log)
 
 
 def _current(given: Inputs) -> DataFrame:
@@ -601,7 +601,10 @@ def batch_runs(given):
     runs.correct(spark, path, edits.select(F.col("id").alias("item_id"), F.lit("bug").alias("fb_type"), F.lit(4).alias("severity")))
     runs.reset_labels(spark, path)
     runs.label_new(spark, path)
-    return tables.read_current(spark, path).select("source", "external_id", "author", "status", "fb_type", "severity", "human_corrected")
+    tables.write_snapshot(spark, path)
+    return tables.read_snapshot(spark, path).select(
+        "source", "external_id", "author", "status", "fb_type", "severity", "human_corrected"
+    )
 
 
 def _normalized(given: Inputs) -> DataFrame:

@@ -7,6 +7,7 @@ from roadsift.functions.replies import truthy, with_record
 from roadsift.functions.text import blank_to_null, cut, shown, strip
 from roadsift.operators.labels import BROKEN_OBJECT
 from roadsift.operators.ranking import attach, seeded_sample, top_per_group
+from roadsift.operators.small import hinted
 from roadsift.schemas import FEEDBACK_TYPES, GOLDEN_PER_TYPE
 
 REASONING_CHARS = 300
@@ -78,7 +79,7 @@ def certify(golden: DataFrame, items: DataFrame, verdicts: DataFrame) -> DataFra
         F.col("id").try_cast("bigint").alias("id"), strip(F.col("gold_type")).alias("gold_type")
     )
     judged = verdicts.filter(F.col("type_correct").isNotNull()).select(F.col("item_id").alias("id"), "type_correct")
-    joined = human.join(items.select("id", "fb_type"), "id").join(judged, "id")
+    joined = items.select("id", "fb_type").join(hinted(human, human), "id").join(judged, "id")
     human_correct = F.coalesce(F.col("gold_type") == F.col("fb_type"), F.lit(False))
     match = F.col("type_correct") == human_correct
     return joined.select(
@@ -133,7 +134,7 @@ def golden_accuracy(golden: DataFrame, items: DataFrame) -> DataFrame:
         strip(F.col("gold_type")).alias("gold_type"),
         F.col("gold_severity").try_cast("int").alias("gold_severity"),
     )
-    matched = human.join(items.select("id", "fb_type", "severity"), "id").select(
+    matched = items.select("id", "fb_type", "severity").join(hinted(human, human), "id").select(
         "fb_type",
         (F.col("gold_type") == F.col("fb_type")).alias("type_match"),
         (F.col("gold_severity") == F.col("severity")).alias("severity_match"),

@@ -54,13 +54,18 @@ def with_item_ids(df: DataFrame, start: int, *order: Column) -> DataFrame:
     """Adds ``id``: unique, above every stored one (``start``), and rising in arrival order.
 
     A range sort keeps it parallel; the ids have gaps between tasks. Hashes would collide at tens of billions of
-    items. To be applied right before the rows are written, since only stored ids are stable.
+    items. To be applied right before the rows are written, since only stored ids are stable, and by one importer
+    at a time.
     """
     return df.orderBy(*order).withColumn("id", F.lit(start).cast("bigint") + F.monotonically_increasing_id())
 
 
-def next_item_id(items: DataFrame) -> int:
-    return items.agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]
+def next_import(items: DataFrame) -> tuple[int, int]:
+    """Number and first item id of the next import. Ids rise, so only the last import's are read."""
+    last = items.agg(F.max("import_no")).first()[0]
+    if last is None:
+        return 1, 0
+    return last + 1, items.filter(F.col("import_no") == last).agg(F.max("id")).first()[0] + 1
 
 
 def ingest_counts(incoming: DataFrame, usable: DataFrame, inserted: DataFrame) -> DataFrame:

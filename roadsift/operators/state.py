@@ -92,6 +92,7 @@ def reset_events(current: DataFrame, seq: int | Column) -> DataFrame:
 
 
 def unlabeled(items: DataFrame, label_events: DataFrame) -> DataFrame:
-    """Items a label run has to take: no event yet, or a reset as the last one. Only ids are looked up."""
-    done = latest(label_events, "item_id", ["kind"], "_last").filter(F.col("_last")["kind"] != "reset").select("item_id")
-    return items.join(done, items["id"] == done["item_id"], "left_anti")
+    """Ids of the items a label run has to take: no event yet, or a reset as the last one. No text is moved."""
+    last = latest(label_events, "item_id", ["kind"], "_last")
+    done = last.filter(F.col("_last")["kind"] != "reset").select(F.col("item_id").alias("id"))
+    return items.select("id").join(done, "id", "left_anti")

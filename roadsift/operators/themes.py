@@ -21,6 +21,7 @@ from roadsift.functions.replies import with_record
 from roadsift.functions.text import cut, or_default, ordered_lines, title_words
 from roadsift.operators.ranking import attach, top_per_group
 from roadsift.schemas import NAMING_SAMPLE_CHARS, NAMING_SAMPLE_SIZE
+from roadsift.session import written
 
 # Starts of the clustering, name lengths and the fallback texts.
 SEEDS = range(42, 52)
@@ -103,11 +104,13 @@ def cluster(
 ) -> DataFrame:
     """(id, cluster, features): the cheapest of one k-means fit per seed, several of them at a time.
 
-    Rows are laid out by id first, which makes a fit repeatable whatever the input's partitioning. ``k`` follows
-    the number of vectors unless given, and never exceeds it. Clusters below ``min_size`` lose their items.
+    Vectors are written down once, laid out by id, which makes a fit repeatable whatever the input's partitioning.
+    ``k`` follows the number of vectors unless given, and never exceeds it. Clusters below ``min_size`` lose their
+    items.
     """
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = vectors.repartition(partitions, "id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = written(vectors.select("id", "features").repartition(partitions, "id").sortWithinPartitions("id"))
+    laid_out = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size, wanted = laid_out.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
         k = min(k or wanted, size)

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roadsift.operators import themes as th
-from roadsift.operators.ingest import dedup_new, filter_usable, next_item_id, stored_hits, with_item_ids
+from roadsift.operators.ingest import dedup_new, filter_usable, next_import, stored_hits, with_item_ids
 from roadsift.operators.labels import label_events, label_with
 from roadsift.operators.scoring import rice
+from roadsift.operators.small import hinted
 from roadsift.operators.state import correction_events, reset_events, unlabeled
+from roadsift.session import written
 from roadsift.sources.tables import append, newest_run, read_current, read_table
 
 
@@ -40,19 +42,32 @@ def import_feedback(
     fresh = dedup_new(usable, stored, order)
     stamped = fresh.withColumn("ingested_at", F.current_timestamp() if stamp is None else stamp)
     counted = Observation()
-    with_ids = with_item_ids(stamped, next_item_id(items), *order)
+    import_no, first_id = next_import(items)
+    with_ids = with_item_ids(stamped, first_id, *order).withColumn("import_no", F.lit(import_no))
     append(with_ids.observe(counted, F.count(F.lit(1)).alias("inserted")), directory, "items")
     return counted.get["inserted"]
 
 
+def _slices(rows: DataFrame, key: str, slices: int) -> list[DataFrame]:
+    """The rows in that many parts of about equal size; together they are all rows."""
+    part = F.pmod(F.xxhash64(key), F.lit(slices))
+    return [rows] if slices == 1 else [rows.filter(part == number) for number in range(slices)]
+
+
 def label_new(
-    spark: SparkSession, directory: str, answer: Callable | None = None, partitions: int | None = None
+    spark: SparkSession, directory: str, answer: Callable | None = None, partitions: int | None = None, slices: int = 1
 ) -> int:
-    """Labels every new item and returns the run's sequence number; rate-limited items stay new."""
-    events = read_table(spark, directory, "label_events")
+    """Labels every new item and returns the run's sequence number; rate-limited items stay new.
+
+    The ids to label are written down first. If they are few, the items are scanned for them and not shuffled.
+    Labels are stored slice by slice, so a run that breaks off keeps what it has paid for.
+    """
+    items, events = read_table(spark, directory, "items"), read_table(spark, directory, "label_events")
     seq = _next(events, "seq")
-    todo = unlabeled(read_table(spark, directory, "items"), events)
-    append(label_events(label_with(todo, answer, partitions=partitions), seq), directory, "label_events")
+    todo = written(unlabeled(items, events))
+    for ids in _slices(todo, "id", slices):
+        wanted = items.select("id", "body").join(hinted(ids, ids), "id")
+        append(label_events(label_with(wanted, answer, partitions=partitions), seq), directory, "label_events")
     return seq
 
 
@@ -78,25 +93,27 @@ def build_themes(
     min_size: int = 0,
     name: Callable[[DataFrame], DataFrame] | None = None,
     partitions: int | None = None,
+    slices: int = 1,
 ) -> int:
     """Clusters the actionable items and returns the run id.
 
-    With ``embed``, only texts without stored features are embedded, and the features are kept. ``name`` turns
-    (theme_id, prompt) rows into (theme_id, reply) rows. Theme ids go on rising from run to run.
+    With ``embed``, only texts without stored features are embedded, and the features are kept, slice by slice.
+    ``name`` turns (theme_id, prompt) rows into (theme_id, reply) rows. Theme ids go on rising from run to run.
     """
     items = th.actionable(read_current(spark, directory)).select("id", "body", "product_area")
     if embed is None:
         vectors = th.word_vectors(items)
     else:
-        misses = th.cache_misses(items, read_table(spark, directory, "feature_cache"))
-        append(th.compute_features(misses, embed, partitions), directory, "feature_cache")
+        misses = written(th.cache_misses(items, read_table(spark, directory, "feature_cache")))
+        for texts in _slices(misses, "body_hash", slices):
+            append(th.compute_features(texts, embed, partitions), directory, "feature_cache")
         vectors = th.vectorize(items, read_table(spark, directory, "feature_cache"))
     old = read_table(spark, directory, "themes")
     run_id, first_id = _next(old, "run_id"), _next(old, "id")
     append(th.assignments(th.cluster(vectors, k, min_size=min_size), run_id, first_id), directory, "theme_assignments")
-    written = read_table(spark, directory, "theme_assignments").filter(F.col("run_id") == run_id)
-    members = items.join(written.select(F.col("item_id").alias("id"), "theme_id"), "id")
-    replies = name(th.naming_prompts(members, written.select("theme_id").distinct())) if name else None
+    assigned = read_table(spark, directory, "theme_assignments").filter(F.col("run_id") == run_id)
+    members = items.join(assigned.select(F.col("item_id").alias("id"), "theme_id"), "id")
+    replies = name(th.naming_prompts(members, assigned.select("theme_id").distinct())) if name else None
     append(th.name_themes(members, replies).withColumn("run_id", F.lit(run_id)), directory, "themes")
     return run_id
 

@@ -46,6 +46,7 @@ ITEMS = T.StructType(
         T.StructField("rating", T.IntegerType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("ingested_at", T.TimestampType()),
+        T.StructField("import_no", T.LongType()),
     ]
 )
 

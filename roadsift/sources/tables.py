@@ -19,14 +19,18 @@ TABLES = {
     "feature_cache": schemas.FEATURE_CACHE,
 }
 
-# A theme run replaces the one before: partitions let readers skip all older runs.
+# A theme run replaces the one before: partitions let readers skip all older runs. Imports are told apart so that
+# the highest item id is found in the last of them.
 PARTITIONED_BY = {
+    "items": ["import_no"],
     "themes": ["run_id"],
     "theme_assignments": ["run_id"],
     "opportunities": ["run_id"],
     "documents": ["target_kind"],
 }
 
+SNAPSHOTS = "current_items"
+
 
 def table_path(directory: str, name: str) -> str:
     return f"{directory.rstrip('/')}/{name}"
@@ -62,12 +66,40 @@ def newest_run(table: DataFrame) -> DataFrame:
 
 
 def read_current(spark: SparkSession, directory: str) -> DataFrame:
-    """Items with their current labels, corrections and themes."""
+    """Items with their current labels, corrections and themes, worked out from the logs."""
+    items = read_table(spark, directory, "items").drop("import_no")
     return current_items(
-        *[read_table(spark, directory, name) for name in ("items", "label_events", "corrections", "theme_assignments")]
+        items, *[read_table(spark, directory, name) for name in ("label_events", "corrections", "theme_assignments")]
     )
 
 
+def write_snapshot(spark: SparkSession, directory: str) -> int:
+    """Stores the current items as a table of its own and returns its number.
+
+    Working out the state shuffles every text once. Reports that only need a few columns or rows of it should
+    read a snapshot instead of joining the logs again.
+    """
+    number = _snapshots(spark, directory) + 1
+    read_current(spark, directory).write.mode("overwrite").parquet(f"{table_path(directory, SNAPSHOTS)}/snapshot={number}")
+    return number
+
+
+def _snapshots(spark: SparkSession, directory: str) -> int:
+    try:
+        stored = spark.read.parquet(table_path(directory, SNAPSHOTS))
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return 0
+    return stored.agg(F.max("snapshot")).first()[0] or 0
+
+
+def read_snapshot(spark: SparkSession, directory: str) -> DataFrame:
+    """The newest snapshot; only its own files are listed."""
+    newest = _snapshots(spark, directory)
+    return spark.read.parquet(f"{table_path(directory, SNAPSHOTS)}/snapshot={newest}")
+
+
 def register_views(spark: SparkSession, directory: str) -> None:
     """Temporary views ``feedback_items``, ``themes`` and ``opportunities`` for SQL users."""
     read_current(spark, directory).createOrReplaceTempView("feedback_items")

@@ -81,7 +81,7 @@ def test_rate_limited_items_are_taken_up_again(spark, make_items):
 
     runs.label_new(spark, directory, answer(True))
     assert [r.id for r in tables.read_current(spark, directory).filter("status = 'new'").collect()] == [4]
-    runs.label_new(spark, directory, answer(False))
+    runs.label_new(spark, directory, answer(False), slices=3)
     events = tables.read_table(spark, directory, "label_events")
     assert events.count() == 6 and events.filter("seq = 2").count() == 1
     runs.label_new(spark, directory, answer(False))

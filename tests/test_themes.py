@@ -111,7 +111,7 @@ def test_theme_run_with_an_embedder_embeds_each_text_once(spark, make_items, tmp
         return prompts.select("theme_id", F.lit('{"name": "Named", "summary": "S"}').alias("reply"))
 
     for run in (1, 2):
-        assert runs.build_themes(spark, directory, embed, k=4, name=name if run == 2 else None) == run
+        assert runs.build_themes(spark, directory, embed, k=4, name=name if run == 2 else None, slices=2) == run
         assert runs.score_themes(spark, directory) == run
     with open(log) as file:
         embedded = file.read().splitlines()
