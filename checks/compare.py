@@ -7,15 +7,14 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from checks.fixtures import BASE_TABLES
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
-TABLES = ["documents", "events", "labels", "embeddings", "conversations"]
-
 
 def oracle_connection(directory: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
-    for name in TABLES:
+    for name in BASE_TABLES:
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{directory}/{name}.parquet'")
     return connection
 

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadsift.session import configure
 
-BASE_TABLES = ["documents", "events", "labels", "embeddings", "conversations"]
+BASE_TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 EVENT_KEYS = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)"
 
@@ -180,7 +186,7 @@ def with_views(query: str, engine: str = "duckdb") -> str:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{directory}/{name}.parquet")
+    return configure(spark).read.schema(BASE_TABLES[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def view(spark: SparkSession, directory: str, name: str, registered: set[str] | None = None) -> DataFrame:

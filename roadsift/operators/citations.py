@@ -38,7 +38,7 @@ def _order() -> list[Column]:
     return [F.col("severity").desc_nulls_last(), F.col("id").asc()]
 
 
-def evidence_pool(items: DataFrame, themes: DataFrame | None = None, n: int = EVIDENCE_POOL_SIZE) -> DataFrame:
+def evidence_pool(items: DataFrame, themes: DataFrame | bool | None = None, n: int = EVIDENCE_POOL_SIZE) -> DataFrame:
     """(theme_id, rank, id, fb_type, severity, body): the n most severe items of every theme, lower ids first.
 
     Ranking sorts ids and severities only; texts are fetched for the winners. Here and below, ``themes`` (one row
@@ -62,11 +62,12 @@ def with_siblings(
 
     The n + 1 worst of a theme hold the n worst others of every member.
     """
-    pools = pool_by_theme(evidence_pool(items, themes, n + 1))
+    few = is_small(themes, n + 1)
+    pools = pool_by_theme(evidence_pool(items, few, n + 1))
     others = F.slice(F.filter("pool", lambda other: other["id"] != F.col("id")), 1, n)
     empty = F.filter("pool", lambda other: F.lit(False))
     return (
-        targets.join(hinted(pools, themes), "theme_id", "left")
+        targets.join(hinted(pools, few), "theme_id", "left")
         .withColumn("siblings", F.coalesce(others, empty, F.array()))
         .drop("pool")
     )
@@ -112,8 +113,9 @@ def check_theme_documents(
     documents: DataFrame, items: DataFrame, themes: DataFrame | None = None, pool_size: int = EVIDENCE_POOL_SIZE
 ) -> DataFrame:
     """Documents about themes (theme_id, markdown); only the pool shown to the writer is valid."""
-    pools = pool_by_theme(evidence_pool(items, themes, pool_size)).withColumnRenamed("pool", "evidence")
-    joined = documents.join(hinted(pools, themes), "theme_id", "left")
+    few = is_small(themes, pool_size)
+    pools = pool_by_theme(evidence_pool(items, few, pool_size)).withColumnRenamed("pool", "evidence")
+    joined = documents.join(hinted(pools, few), "theme_id", "left")
     return check_citations(joined, F.transform("evidence", lambda entry: entry["id"]))
 
 

@@ -27,7 +27,7 @@ def top_per_group(
 
 
 def attach(
-    picked: DataFrame, items: DataFrame, columns: Sequence[str], groups: DataFrame | None, n: int, key: str = "id"
+    picked: DataFrame, items: DataFrame, columns: Sequence[str], groups: DataFrame | bool | None, n: int, key: str = "id"
 ) -> DataFrame:
     """Adds wide columns to the picked rows, at most ``n`` for each of the groups, so that no sort carries texts.
 

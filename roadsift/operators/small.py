@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 MAX_SMALL_ROWS = 100_000
 
 
-def is_small(groups: DataFrame | None, rows_per_group: int = 1) -> bool:
-    """Whether that many rows for each of the groups stay within the limit; counts no further than that."""
-    if groups is None:
-        return False
+def is_small(groups: DataFrame | bool | None, rows_per_group: int = 1) -> bool:
+    """Whether that many rows for each of the groups stay within the limit; counts no further than that.
+
+    A finding can be passed on in place of the groups.
+    """
+    if groups is None or isinstance(groups, bool):
+        return bool(groups)
     allowed = MAX_SMALL_ROWS // rows_per_group
     return groups.limit(allowed + 1).count() <= allowed
 
 
-def hinted(small: DataFrame, groups: DataFrame | None, rows_per_group: int = 1) -> DataFrame:
+def hinted(small: DataFrame, groups: DataFrame | bool | None, rows_per_group: int = 1) -> DataFrame:
     """``small``, to be broadcast if its bound was checked."""
     return F.broadcast(small) if is_small(groups, rows_per_group) else small
