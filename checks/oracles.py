@@ -358,6 +358,19 @@ ORACLES["memo_document"] = f"""WITH {SCORED}, {LINES}, panel AS (SELECT string_a
   FROM (SELECT fb_type, count(*) AS items FROM feedback_items WHERE status = 'classified' GROUP BY fb_type) t)
  SELECT 'memo' AS target_kind, concat('# Prioritization Boardroom — Decision Memo', chr(10), chr(10), '## Roadmap considered', chr(10),
   (SELECT string_agg(line, chr(10) ORDER BY position) FROM lines), chr(10), chr(10), '# Panel debate', chr(10), (SELECT parts FROM panel), chr(10), chr(10), '---', chr(10), 'Done.', chr(10)) AS markdown"""
+PANEL = """(SELECT string_agg(concat('### ', fb_type, chr(10), CAST(items AS VARCHAR), ' items'), concat(chr(10), chr(10)) ORDER BY fb_type)
+  FROM (SELECT fb_type, count(*) AS items FROM feedback_items WHERE status = 'classified' GROUP BY fb_type) t)"""
+ROADMAP = "(SELECT string_agg(line, chr(10) ORDER BY position) FROM lines)"
+ORACLES["decision_pack"] = f"""WITH {SCORED}, {LINES} SELECT concat('ROADMAP:', chr(10), {ROADMAP}, chr(10), chr(10), 'PANEL OPINIONS:', chr(10),
+ {PANEL}, chr(10)) AS pack"""
+ORACLES["opinion_packs"] = f"""WITH {SCORED}, {LINES} SELECT fb_type AS position, fb_type AS role, concat('You are the ', fb_type, '. ', CAST(items AS VARCHAR), ' items',
+ chr(10), chr(10), 'RICE-ranked roadmap:', chr(10), {ROADMAP}, chr(10)) AS pack
+ FROM (SELECT fb_type, count(*) AS items FROM feedback_items WHERE status = 'classified' GROUP BY fb_type) t"""
+ORACLES["brief_pack"] = f"""WITH {BRIEF} SELECT concat('Week ending ', week_ending, '. ', CAST(total_recent AS VARCHAR), ' actionable feedback items came in.', chr(10), chr(10),
+ 'Theme movement (previous week → this week, with change):', chr(10), movement, chr(10), chr(10), 'Top RICE opportunity: ', top_theme, ' (RICE ', top_score, ').', chr(10)) AS pack FROM brief"""
+JUDGE_PROMPT = f"concat({text(evaluation.JUDGE_HEAD)}, body, {text(evaluation.JUDGE_MIDDLE)}, fb_type, {text(evaluation.JUDGE_TAIL)})"
+ORACLES["hooked_verdicts"] = f"""SELECT id AS item_id, fb_type, CASE WHEN length({JUDGE_PROMPT}) % 2 = 0 THEN true END AS type_correct,
+ CASE WHEN length({JUDGE_PROMPT}) % 2 = 1 THEN 'quota' END AS error FROM feedback_items WHERE status = 'classified'"""
 ORACLES["theme_docs"] = f"""WITH {SCORED}, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY updated_at DESC) AS back
   FROM versions WHERE target_kind = 'theme') v WHERE back = 1)
  SELECT s.theme_id, s.rice_score, n.markdown AS draft_prd, n.updated_at FROM scored s LEFT JOIN newest n ON n.target_id = s.theme_id"""

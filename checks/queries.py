@@ -253,7 +253,7 @@ def csv_import(given):
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     outgoing.write.options(header=True, quote='"', escape='"', **keep).csv(path)
     usable = ingest.filter_usable(feedback_csv.read_feedback_csv(given.spark, path))
-    none_stored = given.plain_items.select("source", "external_id").limit(0)
+    none_stored = given.spark.createDataFrame([], "source string, external_id string")
     fresh = ingest.dedup_new(usable, none_stored, [F.col("ingest_order")])
     return fresh.select("source", "author", "rating", F.md5("body").alias("body_md5"))
 
@@ -422,10 +422,9 @@ def cache_misses(given):
 @query
 def cached_vectors(given):
     """Features of a text are its length; a cache holds them once per distinct text."""
-    cache = themes.compute_features(
-        themes.cache_misses(given.plain_items, given.plain_items.select(F.sha2("body", 256).alias("body_hash")).limit(0)),
-        lambda texts: [[len(text), 1.0] for text in texts],
-    )
+    nothing = given.spark.createDataFrame([], "body_hash string")
+    misses = themes.cache_misses(given.plain_items, nothing)
+    cache = themes.compute_features(misses, lambda texts: [[len(text), 1.0] for text in texts])
     hashed = given.plain_items.select("id", F.sha2("body", 256).alias("body_hash"))
     joined = hashed.join(cache, "body_hash")
     return joined.select("id", F.get("features", F.lit(0)).cast("double").alias("chars"))
@@ -558,16 +557,48 @@ def review_pack(given):
     return packs.review_pack(given.feedback_items, given.themes)
 
 
-@query
-def memo_document(given):
-    roadmap = scoring.roadmap_text(_opportunities(given), given.themes)
+def _panel(given: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The roadmap text, and one opinion per feedback type."""
     by_type = overview.mix(given.feedback_items, "fb_type")
     opinions = by_type.select(
         F.col("fb_type").alias("position"),
         F.col("fb_type").alias("role"),
         F.concat(F.col("items").cast("string"), F.lit(" items")).alias("opinion"),
     )
-    return packs.memo_markdown(roadmap, opinions, "Done.").select("target_kind", "markdown")
+    return scoring.roadmap_text(_opportunities(given), given.themes), opinions
+
+
+@query
+def memo_document(given):
+    return packs.memo_markdown(*_panel(given), "Done.").select("target_kind", "markdown")
+
+
+@query
+def decision_pack(given):
+    return packs.decision_pack(*_panel(given))
+
+
+@query
+def opinion_packs(given):
+    roadmap, opinions = _panel(given)
+    return packs.opinion_packs(roadmap, opinions.withColumnRenamed("opinion", "mandate"))
+
+
+@query
+def brief_pack(given):
+    top = scoring.top_opportunity(_opportunities(given), given.themes)
+    return drift.brief_pack(drift.brief_sections(_drift(given), top))
+
+
+@query
+def hooked_verdicts(given):
+    """A judging function that approves prompts of even length and fails on the others."""
+
+    def answer(prompts):
+        return [('{"type_correct": true}', None) if len(p) % 2 == 0 else (None, "quota") for p in prompts]
+
+    classified = given.feedback_items.filter("status = 'classified'")
+    return evaluation.judge_with(classified, answer).select("item_id", "fb_type", "type_correct", "error")
 
 
 @query

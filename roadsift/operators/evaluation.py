@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from roadsift.functions.replies import truthy, with_record
 from roadsift.functions.text import blank_to_null, cut, shown, strip
 from roadsift.operators.labels import BROKEN_OBJECT
+from roadsift.operators.models import Answer, ask
 from roadsift.operators.ranking import attach, seeded_sample, top_per_group
 from roadsift.operators.small import hinted
 from roadsift.schemas import FEEDBACK_TYPES, GOLDEN_PER_TYPE
@@ -50,21 +51,32 @@ def parse_verdicts(replies: DataFrame, reply: str = "reply", assigned: str = "fb
     """Adds type_correct, suggested_type, reasoning and error.
 
     A reply that cannot be read gives no verdict, keeps the assigned type as the suggestion and has an error.
-    A NULL reply is a judge that did not answer, which is an error too.
+    A NULL reply is a judge that did not answer, which is an error too: the given one, if there is an ``error``.
     """
+    given = F.col("_reported") if "error" in replies.columns else F.lit(None).cast("string")
+    replies = replies.withColumnRenamed("error", "_reported")
+    kept = [name for name in replies.columns if name != "_reported"]
     parsed = with_record(replies, reply, "suggested_type", "reasoning", typed=("type_correct",))
-    record, read = F.col("_record"), F.col("_record").isNotNull()
+    record, read = F.col("_record"), F.col("_record").isNotNull() & given.isNull()
+    error = F.when(~read, F.coalesce(given, F.lit(BROKEN_OBJECT)))
     return parsed.select(
-        *replies.columns,
+        *kept,
         F.when(read, truthy(record["type_correct"])).alias("type_correct"),
-        F.coalesce(record["suggested_type"], F.col(assigned)).alias("suggested_type"),
+        F.coalesce(F.when(read, record["suggested_type"]), F.col(assigned)).alias("suggested_type"),
         F.when(read, cut(F.coalesce(record["reasoning"], F.lit("")), REASONING_CHARS))
-        .otherwise(F.lit(f"judge error: {BROKEN_OBJECT}"))
+        .otherwise(F.concat(F.lit("judge error: "), error))
         .alias("reasoning"),
-        F.when(~read, F.lit(BROKEN_OBJECT)).alias("error"),
+        error.alias("error"),
     )
 
 
+def judge_with(items: DataFrame, answer: Answer, partitions: int | None = None) -> DataFrame:
+    """(item_id, fb_type, type_correct, suggested_type, reasoning, error) by a model that judges every given item."""
+    replies = ask(judge_prompts(items), answer, "id", partitions)
+    assigned = items.select("id", "fb_type").join(replies, "id").withColumnRenamed("id", "item_id")
+    return parse_verdicts(assigned).drop("reply")
+
+
 def labelled_golden(golden: DataFrame) -> DataFrame:
     """Golden rows a human has labelled."""
     return golden.filter(blank_to_null(F.col("gold_type")).isNotNull())

@@ -1,14 +1,12 @@
 """Labelling: prompts, replies, error classes and the resumable label run."""
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadsift.functions.keys import body_hash
 from roadsift.functions.replies import DECIMAL_NUMBER, WHOLE_NUMBER, label_of, number_of, with_record
 from roadsift.functions.text import contains_any
+from roadsift.operators.models import Answer, ask
 from roadsift.schemas import (
     DEFAULT_AREA,
     DEFAULT_SENTIMENT,
@@ -119,37 +117,23 @@ def keyword_labels(items: DataFrame) -> DataFrame:
 
 def label_with(
     items: DataFrame,
-    answer: Callable[[list[str]], list[tuple[str | None, str | None]]] | None = None,
+    answer: Answer | None = None,
     head: str = PROMPT_HEAD,
     tail: str = PROMPT_TAIL,
     partitions: int | None = None,
 ) -> DataFrame:
     """(id, label fields, error) for every item that got an answer.
 
-    ``answer`` takes a list of prompts and returns (reply, error) pairs. It is called once per distinct body,
-    in Arrow batches; only hashes travel back through the join. Without it the keyword rules are used.
+    A model is asked once per distinct body; only hashes travel back through the join. Without one the keyword
+    rules are used.
     """
     if answer is None:
         return keyword_labels(items).withColumn("error", F.lit(None).cast("string"))
     hashed = items.select("id", "body", body_hash(F.col("body")).alias("body_hash"))
     bodies = hashed.select("body_hash", "body").dropDuplicates(["body_hash"])
-    if partitions:
-        bodies = bodies.repartition(partitions, "body_hash")
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers = answer([f"{head}{body}{tail}" for body in batch["body"]])
-            yield pd.DataFrame(
-                {
-                    "body_hash": batch["body_hash"].to_numpy(),
-                    "reply": [reply for reply, _ in answers],
-                    "error": [error for _, error in answers],
-                }
-            )
-
-    replies = bodies.mapInPandas(ask, "body_hash string, reply string, error string")
-    parsed = parse_label_replies(answered(replies)).drop("reply")
-    return hashed.select("id", "body_hash").join(parsed, "body_hash").drop("body_hash")
+    prompts = bodies.select("body_hash", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("prompt"))
+    replies = answered(ask(prompts, answer, "body_hash", partitions))
+    return hashed.select("id", "body_hash").join(parse_label_replies(replies).drop("reply"), "body_hash").drop("body_hash")
 
 
 def is_rate_limit(error: Column) -> Column:

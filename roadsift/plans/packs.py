@@ -75,6 +75,29 @@ def sibling_preview(items: DataFrame, themes: DataFrame | None = None, n: int =
     return listed.select("id", F.array_join(lines, "\n").alias("preview"))
 
 
+def opinion_packs(roadmap: DataFrame, roles: DataFrame) -> DataFrame:
+    """(position, role, pack) per panel member: who they are, what they care about, and the roadmap.
+
+    ``roles(position, role, mandate)`` is the caller's.
+    """
+    text = roadmap.select("roadmap").scalar()
+    pack = F.concat(
+        F.lit("You are the "), F.col("role"), F.lit(". "), F.col("mandate"),
+        F.lit("\n\nRICE-ranked roadmap:\n"), text, F.lit("\n"),
+    )
+    return roles.select("position", "role", pack.alias("pack"))
+
+
+def decision_pack(roadmap: DataFrame, opinions: DataFrame) -> DataFrame:
+    """One row: the roadmap and the panel's opinions (position, role, opinion), for the one who decides."""
+    parts = opinions.select(
+        "position", F.concat(F.lit("### "), F.col("role"), F.lit("\n"), F.col("opinion")).alias("_part")
+    )
+    panel = parts.agg(F.coalesce(ordered_lines("_part", "position", "\\n\\n"), F.lit("")).alias("_panel")).scalar()
+    pack = F.concat(F.lit("ROADMAP:\n"), F.col("roadmap"), F.lit("\n\nPANEL OPINIONS:\n"), panel, F.lit("\n"))
+    return roadmap.select(pack.alias("pack"))
+
+
 def memo_markdown(roadmap: DataFrame, opinions: DataFrame, decision: str) -> DataFrame:
     """(target_kind, target_id, markdown): roadmap text, the panel's opinions and the decision.
 
