@@ -42,9 +42,9 @@ def golden_sample(items: DataFrame, per_type: int = GOLDEN_PER_TYPE) -> DataFram
 
 
 def judge_prompts(items: DataFrame) -> DataFrame:
-    """(id, prompt) asking a judge whether the assigned type fits."""
+    """(id, fb_type, prompt) asking a judge whether the assigned type fits."""
     prompt = F.concat(F.lit(JUDGE_HEAD), F.col("body"), F.lit(JUDGE_MIDDLE), shown(F.col("fb_type")), F.lit(JUDGE_TAIL))
-    return items.select("id", prompt.alias("prompt"))
+    return items.select("id", "fb_type", prompt.alias("prompt"))
 
 
 def parse_verdicts(replies: DataFrame, reply: str = "reply", assigned: str = "fb_type") -> DataFrame:
@@ -72,9 +72,8 @@ def parse_verdicts(replies: DataFrame, reply: str = "reply", assigned: str = "fb
 
 def judge_with(items: DataFrame, answer: Answer, partitions: int | None = None) -> DataFrame:
     """(item_id, fb_type, type_correct, suggested_type, reasoning, error) by a model that judges every given item."""
-    replies = ask(judge_prompts(items), answer, "id", partitions)
-    assigned = items.select("id", "fb_type").join(replies, "id").withColumnRenamed("id", "item_id")
-    return parse_verdicts(assigned).drop("reply")
+    replies = ask(judge_prompts(items), answer, partitions).withColumnRenamed("id", "item_id")
+    return parse_verdicts(replies).drop("reply")
 
 
 def labelled_golden(golden: DataFrame) -> DataFrame:

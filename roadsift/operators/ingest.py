@@ -51,13 +51,14 @@ def stored_hits(stored: DataFrame, incoming: DataFrame, incoming_rows: int, limi
 
 
 def with_item_ids(df: DataFrame, start: int, *order: Column) -> DataFrame:
-    """Adds ``id``: unique, above every stored one (``start``), and rising in arrival order.
+    """Adds ``id``: unique, above every stored one (``start``), and rising in the given order, if there is one.
 
-    A range sort keeps it parallel; the ids have gaps between tasks. Hashes would collide at tens of billions of
+    A range sort keeps that parallel; the ids have gaps between tasks. Hashes would collide at tens of billions of
     items. To be applied right before the rows are written, since only stored ids are stable, and by one importer
     at a time.
     """
-    return df.orderBy(*order).withColumn("id", F.lit(start).cast("bigint") + F.monotonically_increasing_id())
+    laid_out = df.orderBy(*order) if order else df
+    return laid_out.withColumn("id", F.lit(start).cast("bigint") + F.monotonically_increasing_id())
 
 
 def next_import(items: DataFrame) -> tuple[int, int]:

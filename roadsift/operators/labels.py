@@ -132,7 +132,7 @@ def label_with(
     hashed = items.select("id", "body", body_hash(F.col("body")).alias("body_hash"))
     bodies = hashed.select("body_hash", "body").dropDuplicates(["body_hash"])
     prompts = bodies.select("body_hash", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("prompt"))
-    replies = answered(ask(prompts, answer, "body_hash", partitions))
+    replies = answered(ask(prompts, answer, partitions))
     return hashed.select("id", "body_hash").join(parse_label_replies(replies).drop("reply"), "body_hash").drop("body_hash")
 
 

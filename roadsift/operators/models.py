@@ -2,26 +2,29 @@
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 Answer = Callable[[list[str]], list[tuple[str | None, str | None]]]
 
 
-def ask(prompts: DataFrame, answer: Answer, key: str = "id", partitions: int | None = None) -> DataFrame:
-    """(key, reply, error) for rows of (key, prompt).
+def ask(prompts: DataFrame, answer: Answer, partitions: int | None = None) -> DataFrame:
+    """The rows with (reply, error) in place of their ``prompt``; all other columns pass through untouched.
 
-    ``answer`` gets the prompts of an Arrow batch and returns a (reply, error) pair for each.
+    ``answer`` gets the prompts of an Arrow batch and returns a (reply, error) pair for each. ``partitions`` is the
+    number of batches under way at a time, given enough cores.
     """
-    kind = prompts.schema[key].dataType.simpleString()
-    rows = prompts.select(key, "prompt")
-    spread = rows.repartition(partitions, key) if partitions else rows
+    others = [field for field in prompts.schema.fields if field.name != "prompt"]
+    rows = prompts.select(*[field.name for field in others], "prompt")
+    spread = rows.repartition(partitions) if partitions else rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = answer(list(batch["prompt"]))
-            yield pd.DataFrame(
-                {key: batch[key].to_numpy(), "reply": [reply for reply, _ in pairs], "error": [error for _, error in pairs]}
-            )
+            pairs = answer(batch.column("prompt").to_pylist())
+            answers = [pa.array([pair[side] for pair in pairs], pa.string()) for side in (0, 1)]
+            columns = [batch.column(field.name) for field in others]
+            yield pa.RecordBatch.from_arrays(columns + answers, names=[field.name for field in others] + ["reply", "error"])
 
-    return spread.mapInPandas(run, f"{key} {kind}, reply string, error string")
+    schema = StructType(others + [StructField("reply", StringType()), StructField("error", StringType())])
+    return spread.mapInArrow(run, schema)

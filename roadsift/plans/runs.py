@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadsift.operators import themes as th
 from roadsift.operators.ingest import dedup_new, filter_usable, next_import, stored_hits, with_item_ids
 from roadsift.operators.labels import label_events, label_with
+from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
 from roadsift.operators.small import hinted
 from roadsift.operators.state import correction_events, reset_events, unlabeled
@@ -30,11 +31,12 @@ def import_feedback(
     order: Sequence[Column],
     batch_rows: int | None = None,
     stamp: Column | None = None,
-) -> int:
-    """Stores the usable, not yet stored items of a batch and returns their number.
+    ids_in_order: bool = True,
+) -> tuple[int, int]:
+    """Stores the usable, not yet stored items of a batch; returns their number and the number of the import.
 
     ``order`` says which copy came first. ``batch_rows``, where known, lets a small batch be matched without
-    shuffling the stored keys.
+    shuffling the stored keys. Without ``ids_in_order`` a large import saves the sort by arrival.
     """
     items = read_table(spark, directory, "items")
     usable = filter_usable(normalized)
@@ -43,9 +45,9 @@ def import_feedback(
     stamped = fresh.withColumn("ingested_at", F.current_timestamp() if stamp is None else stamp)
     counted = Observation()
     import_no, first_id = next_import(items)
-    with_ids = with_item_ids(stamped, first_id, *order).withColumn("import_no", F.lit(import_no))
+    with_ids = with_item_ids(stamped, first_id, *(order if ids_in_order else [])).withColumn("import_no", F.lit(import_no))
     append(with_ids.observe(counted, F.count(F.lit(1)).alias("inserted")), directory, "items")
-    return counted.get["inserted"]
+    return counted.get["inserted"], import_no
 
 
 def _slices(rows: DataFrame, key: str, slices: int) -> list[DataFrame]:
@@ -55,7 +57,7 @@ def _slices(rows: DataFrame, key: str, slices: int) -> list[DataFrame]:
 
 
 def label_new(
-    spark: SparkSession, directory: str, answer: Callable | None = None, partitions: int | None = None, slices: int = 1
+    spark: SparkSession, directory: str, answer: Answer | None = None, partitions: int | None = None, slices: int = 1
 ) -> int:
     """Labels every new item and returns the run's sequence number; rate-limited items stay new.
 
@@ -71,6 +73,17 @@ def label_new(
     return seq
 
 
+def label_import(
+    spark: SparkSession, directory: str, import_no: int, answer: Answer | None = None, partitions: int | None = None
+) -> int:
+    """Labels the items of one import that no label run has seen yet. Only that import is read."""
+    items = read_table(spark, directory, "items").filter(F.col("import_no") == import_no)
+    seq = _next(read_table(spark, directory, "label_events"), "seq")
+    labelled = label_with(items.select("id", "body"), answer, partitions=partitions)
+    append(label_events(labelled, seq), directory, "label_events")
+    return seq
+
+
 def correct(spark: SparkSession, directory: str, edits: DataFrame) -> int:
     """Stores a reviewer's edits (item_id, fb_type, severity)."""
     seq = max(_next(read_table(spark, directory, name), "seq") for name in ("corrections", "label_events"))

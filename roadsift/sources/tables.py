@@ -20,9 +20,10 @@ TABLES = {
 }
 
 # A theme run replaces the one before: partitions let readers skip all older runs. Imports are told apart so that
-# the highest item id is found in the last of them.
+# the highest item id is found in the last of them, label runs so that the last one is found by its partition.
 PARTITIONED_BY = {
     "items": ["import_no"],
+    "label_events": ["seq"],
     "themes": ["run_id"],
     "theme_assignments": ["run_id"],
     "opportunities": ["run_id"],

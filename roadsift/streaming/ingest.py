@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from roadsift.plans.runs import import_feedback, label_new
+from roadsift.operators.models import Answer
+from roadsift.plans.runs import import_feedback, label_import, label_new
 
 
 def landed_files(
@@ -23,21 +24,25 @@ def start_ingest(
     checkpoint: str,
     normalize: Callable[[DataFrame], DataFrame],
     order: Sequence[Column],
-    answer: Callable | None = None,
+    answer: Answer | None = None,
 ) -> StreamingQuery:
     """Imports and labels everything that has landed, then stops.
 
-    A micro-batch that is replayed meets its own rows as stored keys and inserts nothing; labelling always takes
-    whatever is still new. So nothing is lost and nothing is doubled.
+    Items an earlier run left without a label are taken up before the stream starts. After that a micro-batch labels
+    its own import only and does not look at the rest of the tables. A micro-batch that is replayed meets its own
+    rows as stored keys and inserts nothing. So nothing is lost and nothing is doubled.
     """
+    label_new(raw.sparkSession, directory, answer)
 
     def process(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
         normalized = normalize(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            import_feedback(batch.sparkSession, directory, normalized, order, normalized.count())
+            inserted, import_no = import_feedback(spark, directory, normalized, order, normalized.count())
         finally:
             normalized.unpersist()
-        label_new(batch.sparkSession, directory, answer)
+        if inserted:
+            label_import(spark, directory, import_no, answer)
 
     writer = raw.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -63,3 +63,15 @@ def test_correction_rate(make_items):
     assert (row.correction_rate, row.themed_share) == (1 / 3, 0.25)
     empty = evaluation.correction_rate(make_items({"status": "new"}).limit(0)).first()
     assert (empty.correction_rate, empty.themed_share) == (None, None)
+
+
+def test_judge_hook_keeps_errors(make_items):
+    items = make_items({"body": "good body"}, {"body": "bad body", "fb_type": None})
+
+    def answer(prompts):
+        return [(None, "quota") if "bad body" in p else ('{"type_correct": false, "suggested_type": "praise"}', None) for p in prompts]
+
+    rows = evaluation.judge_with(items, answer, partitions=2).orderBy("item_id").collect()
+    assert [(r.type_correct, r.suggested_type, r.reasoning, r.error) for r in rows] == [
+        (False, "praise", "", None), (None, None, "judge error: quota", "quota"),
+    ]

@@ -111,7 +111,7 @@ def test_import_in_any_order_and_split_ends_the_same(spark):
         inserted = 0
         for batch in (mixed[:50], mixed[30:], mixed):
             frame = spark.createDataFrame([(*r, "ann", 1, None) for r in batch], normalized)
-            inserted += runs.import_feedback(spark, directory, frame, [F.col("arrival")], len(batch) if attempt else None)
+            inserted += runs.import_feedback(spark, directory, frame, [F.col("arrival")], len(batch) if attempt else None)[0]
         stored = tables.read_table(spark, directory, "items").collect()
         assert sorted((r.source, r.external_id) for r in stored) == want
         assert inserted == len(stored) == len({r.id for r in stored})
@@ -121,6 +121,7 @@ def test_first_copy_wins_and_ids_follow_arrival(spark):
     directory = shared_folder(spark)
     rows = [(i, "s", f"k{i % 5}", f"a body that is long enough, number {i}", "ann", 1, None) for i in range(20)]
     frame = spark.createDataFrame(rows[::-1], "arrival long, source string, external_id string, body string, author string, rating int, created_at timestamp")
-    assert runs.import_feedback(spark, directory, frame.repartition(3), [F.col("arrival")]) == 5
+    assert runs.import_feedback(spark, directory, frame.repartition(3), [F.col("arrival")]) == (5, 1)
+    assert runs.import_feedback(spark, directory, frame, [F.col("arrival")], ids_in_order=False)[0] == 0
     stored = tables.read_table(spark, directory, "items").orderBy("id").collect()
     assert [r.body[-1] for r in stored] == ["0", "1", "2", "3", "4"]

@@ -60,3 +60,18 @@ def test_daily_counts_include_late_rows(spark):
     streamed = drift.drift_from_daily(daily.read_daily_counts(spark, f"{path}/daily"), themes)
     whole = drift.drift(spark.createDataFrame(batches[0] + batches[1], schema), themes)
     assert streamed.collect() == whole.collect() and whole.count() == 2
+
+
+def test_items_left_by_a_broken_run_are_labelled_at_the_next_start(spark):
+    path = shared_folder(spark)
+    land(spark, f"{path}/landed", [row(1, "a"), row(2, "b")])
+    schema = spark.createDataFrame([], SCHEMA)
+    raw = ingest.landed_files(spark, f"{path}/landed", schema.schema)
+
+    def answer(prompts):
+        return [(None, "429") if "user 1" in prompt else ('{"type": "praise"}', None) for prompt in prompts]
+
+    ingest.start_ingest(raw, f"{path}/tables", f"{path}/state", lambda batch: batch, [F.col("arrival")], answer).awaitTermination()
+    current = tables.read_current(spark, f"{path}/tables")
+    assert {r.external_id: r.status for r in current.collect()} == {"a": "new", "b": "classified"}
+    assert {r.external_id: r.fb_type for r in take_in(spark, path).collect()} == {"a": "bug", "b": "praise"}
