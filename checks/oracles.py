@@ -380,6 +380,9 @@ KEPT = f"""kept AS (SELECT source, external_id, author, {strip('body')} AS body
 ORACLES["batch_runs"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type, {keyword_case(3)} AS severity FROM kept)
  SELECT source, external_id, author, 'classified' AS status, CASE WHEN fb_type = 'question' THEN 'bug' ELSE fb_type END AS fb_type,
   CAST(CASE WHEN fb_type = 'question' THEN 4 ELSE severity END AS INT) AS severity, CAST(fb_type = 'question' AS INT) AS human_corrected FROM typed"""
+ORACLES["theme_run"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type FROM kept),
+ counted AS (SELECT count(*) AS n FROM typed WHERE fb_type <> 'praise')
+ SELECT CAST(greatest(4, least(8, round_even(n / 18.0::DOUBLE, 0))) AS BIGINT) AS themes, n AS reach FROM counted"""
 ORACLES["stream_ingest"] = f"""WITH {KEPT} SELECT source, external_id, author, 'classified' AS status, {keyword_case(0)} AS fb_type,
  CAST({keyword_case(3)} AS INT) AS severity FROM kept"""
 

@@ -643,6 +643,19 @@ def _normalized(given: Inputs) -> DataFrame:
     return items.select("source", "external_id", "author", "body", "rating", F.col("created_at").cast("timestamp").alias("created_at"), F.col("id").alias("arrival"))
 
 
+@query
+def theme_run(given):
+    """Import, labels, themes from the words of the texts, names and scores; the totals that must come out."""
+    path, spark = shared_folder(given.spark), given.spark
+    runs.import_feedback(spark, path, _normalized(given), [F.col("arrival")])
+    runs.label_new(spark, path)
+    runs.build_themes(spark, path)
+    runs.score_themes(spark, path)
+    scored = tables.newest_run(tables.read_table(spark, path, "opportunities"))
+    named = scoring.named(scored, tables.newest_run(tables.read_table(spark, path, "themes")))
+    return named.agg(F.count("name").alias("themes"), F.sum("reach").alias("reach"))
+
+
 @query
 def stream_ingest(given):
     """The same items landed as files and taken in by a stream."""

@@ -85,7 +85,7 @@ def vectorize(items: DataFrame, cache: DataFrame) -> DataFrame:
     return unit_vectors(hashed.join(cache, "body_hash").select("id", "features"))
 
 
-def word_vectors(items: DataFrame, size: int = 4096) -> DataFrame:
+def word_vectors(items: DataFrame, size: int = 1024) -> DataFrame:
     """(id, features) unit TF-IDF vectors of the whole texts, for work without an embedding model."""
     words = RegexTokenizer(inputCol="body", outputCol="_words", pattern=r"\W+").transform(items.select("id", "body"))
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(words)
@@ -100,7 +100,7 @@ def cluster(
     seeds: Iterable[int] = SEEDS,
     min_size: int = 0,
     max_iter: int = 20,
-    parallelism: int = 4,
+    parallelism: int = 10,
 ) -> DataFrame:
     """(id, cluster, features): the cheapest of one k-means fit per seed, several of them at a time.
 
