@@ -24,3 +24,10 @@ def test_query_agrees_with_its_sql(spark, connection, name):
 
 def test_only_kmeans_has_no_sql():
     assert set(QUERIES) - set(ORACLES) == {"kmeans_themes"} and set(ORACLES) <= set(QUERIES)
+
+
+def test_driver_contract(spark):
+    import __spark_entry__ as contract
+
+    assert contract.entry(spark).count() == 10
+    assert contract.queries().keys() >= contract.oracle_sql().keys()
