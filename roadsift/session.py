@@ -20,8 +20,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local temporary folder only where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadsift-")
+    """A fresh path below ``spark.checkpoint.dir``.
+
+    Only a session within one process, as in tests, may leave that unset and gets a temporary folder; on a cluster
+    the executors would each write to a disk of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="roadsift-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
