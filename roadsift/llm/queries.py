@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import exact_dedup, simhash
+from roadsift.llm import bpe, exact_dedup, fingerprints, simhash
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,14 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query
+def op1_document_fingerprints(spark, directory):
+    return fingerprints.fingerprints_with_neighbours(_table(spark, directory, "documents"))
+
+
 @query
 def op2_simhash_near_dedup(spark, directory):
     return simhash.near_duplicates(_table(spark, directory, "documents"))
@@ -28,3 +37,8 @@ def op2_simhash_near_dedup(spark, directory):
 @query
 def op5_exact_dedup(spark, directory):
     return exact_dedup.decisions(_table(spark, directory, "documents"), keep="largest")
+
+
+@query
+def op8_byte_level_bpe(spark, directory):
+    return bpe.digests(_table(spark, directory, "documents"), public_tokenizers.path(VOCABULARY))
