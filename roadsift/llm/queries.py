@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, exact_dedup, fingerprints, simhash
+from roadsift.llm import bpe, exact_dedup, fingerprints, mixing, simhash
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op2_simhash_near_dedup(spark, directory):
     return simhash.near_duplicates(_table(spark, directory, "documents"))
 
 
+@query
+def op3_source_mixing(spark, directory):
+    return mixing.decisions(_table(spark, directory, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, directory):
     return exact_dedup.decisions(_table(spark, directory, "documents"), keep="largest")

@@ -3,6 +3,42 @@
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op3_source_mixing": r"""
+        WITH items AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5)
+                       / 4503599627370496.0::DOUBLE AS u
+            FROM documents),
+        sizes AS (
+            SELECT source, sum(size)::BIGINT AS source_size, sum(size)::BIGINT * 3 AS cap,
+                   [1, 2, 3][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM items GROUP BY source),
+        leveled AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                   / sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM sizes),
+        aims AS (
+            SELECT source, source_size,
+                   CASE WHEN cap::DOUBLE / weight <= level THEN cap::DOUBLE
+                        ELSE max(CASE WHEN cap::DOUBLE / weight > level THEN level END) OVER () * weight END AS target
+            FROM leveled),
+        expected AS (
+            SELECT i.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS e
+            FROM items i JOIN aims a ON i.source IS NOT DISTINCT FROM a.source),
+        ranked AS (
+            SELECT *, floor(e)::BIGINT AS certain, target - source_size * floor(e) AS rest,
+                   CASE WHEN e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS rank
+            FROM expected),
+        summed AS (
+            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST) AS so_far,
+                   sum(size) OVER (PARTITION BY source, rank, doc_id) AS own
+            FROM ranked)
+        SELECT doc_id, size, source_size, target,
+               size * (certain + CASE WHEN rank IS NOT NULL AND (so_far <= rest OR so_far - own < rest AND so_far - rest <= rest - (so_far - own))
+                                      THEN 1 ELSE 0 END) AS taken
+        FROM summed""",
     "op5_exact_dedup": f"""
         WITH bodies AS (SELECT doc_id, {LOWERED} AS body FROM documents),
         groups AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM bodies GROUP BY body)
