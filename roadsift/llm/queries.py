@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, exact_dedup, fingerprints, mixing, simhash
+from roadsift.llm import bpe, exact_dedup, fingerprints, mixing, simhash, url_filter, warc
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,18 @@ def op5_exact_dedup(spark, directory):
 @query
 def op8_byte_level_bpe(spark, directory):
     return bpe.digests(_table(spark, directory, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op6_warc_archive(spark, directory):
+    return warc.round_trip(_table(spark, directory, "pages"))
+
+
+#: The listed hosts and paths.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op10_url_filter(spark, directory):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(_table(spark, directory, "pages"), rules)

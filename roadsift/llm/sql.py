@@ -44,4 +44,32 @@ ORACLES = {
         groups AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM bodies GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM bodies JOIN groups USING (body)""",
+    "op6_warc_archive": """
+        WITH hashed AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        named AS (
+            SELECT page_id, payload_bytes,
+                   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + (((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::INT >> (5 * (3 - i % 4))::INT) & 31)), 1)), '') AS payload_digest,
+                   max(page_id) OVER (PARTITION BY h) AS first
+            FROM hashed)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM named""",
+    "op10_url_filter": """
+        WITH rules(rule_host, rule_path, verdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+            FROM pages),
+        urls AS (SELECT DISTINCT host, path FROM parts),
+        best AS (
+            SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                   arg_max(verdict, length(rule_host || rule_path)) AS verdict
+            FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY host, path)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)""",
 }
