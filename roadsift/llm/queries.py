@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, exact_dedup, fingerprints, mixing, simhash, url_filter, warc
+from roadsift.llm import bpe, exact_dedup, fingerprints, language, mixing, simhash, url_filter, warc
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_source_mixing(spark, directory):
     return mixing.decisions(_table(spark, directory, "documents"))
 
 
+@query
+def op4_language_id(spark, directory):
+    return language.identified(_table(spark, directory, "documents"))
+
+
 @query
 def op5_exact_dedup(spark, directory):
     return exact_dedup.decisions(_table(spark, directory, "documents"), keep="largest")
