@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, exact_dedup, fingerprints, language, mixing, simhash, url_filter, warc
+from roadsift.llm import bpe, exact_dedup, fingerprints, language, licenses, mixing, simhash, token_rollups, url_filter, warc
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,13 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 def op10_url_filter(spark, directory):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judged(_table(spark, directory, "pages"), rules)
+
+
+@query
+def op7_token_rollups(spark, directory):
+    return token_rollups.maintained(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
+@query
+def op9_license_scan(spark, directory):
+    return licenses.matches(_table(spark, directory, "documents"))

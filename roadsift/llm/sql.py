@@ -72,4 +72,17 @@ ORACLES = {
             FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
             GROUP BY host, path)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (host, path)""",
+    "op7_token_rollups": r"""
+        WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+        bodies AS (
+            SELECT d.doc_id, source, lang,
+                   CASE WHEN m.quality = 0 THEN regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}\x20\x09-\x0D]+', ' ', 'g')
+                        ELSE coalesce(text, '') END AS body
+            FROM documents d LEFT JOIN marks m ON m.doc_id = d.doc_id
+            WHERE coalesce(m.toxic, 0) <> 1),
+        counted AS (
+            SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS n FROM bodies
+            UNION ALL
+            SELECT source, lang, 'pieces-1', len(regexp_extract_all(body, '\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+')) FROM bodies)
+        SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL""",
 }

@@ -26,11 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadsift.llm.batches import bounded
+from roadsift.llm.files import Store, moved, opened
 from roadsift.llm.texts import utf8
 from roadsift.session import shared_folder, written
 
@@ -160,7 +160,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byte
     ordered = rows.repartition(count, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _opened(folder)
+        store, base = opened(folder)
         attempt = f"{base}/temporary/{uuid.uuid4().hex}"
         with _Files(store, attempt, roll_bytes) as files:
             for batch in bounded(batches, "html"):
@@ -174,53 +174,35 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byte
     files = spark.read.parquet(listed)
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _opened(folder)
+        store, base = opened(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                _move(store, row["temporary"], f"{base}/{row['name']}")
+                moved(store, row["temporary"], f"{base}/{row['name']}")
             yield batch.select(["records", "bytes"])
 
     totals = files.select("temporary", "name", "records", "bytes").mapInArrow(rename, "records bigint, bytes bigint").agg(F.count(F.lit(1)), F.sum("records"), F.sum("bytes")).first()
-    store, base = _opened(folder)
-    with store.open_output_stream(f"{base}/temporary-manifest.json") as out:
+    store, base = opened(folder)
+    with store.writer(f"{base}/temporary-manifest.json") as out:
         out.write(json.dumps({"files": totals[0], "records": totals[1] or 0, "bytes": totals[2] or 0, "list": "files"}).encode())
-    _move(store, f"{base}/temporary-manifest.json", f"{base}/manifest.json")
-    if store.get_file_info(f"{base}/temporary").type == pyarrow.fs.FileType.Directory:
-        store.delete_dir(f"{base}/temporary")  # what broken attempts have left
+    moved(store, f"{base}/temporary-manifest.json", f"{base}/manifest.json")
+    store.delete_dir(f"{base}/temporary")  # what broken attempts have left
     return folder
 
 
 _FILES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("name", pa.string()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
 
-def _opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder, and its path there."""
-    if "://" not in folder:
-        folder = folder.removeprefix("file:")
-        return pyarrow.fs.LocalFileSystem(), folder
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
-def _move(store: pyarrow.fs.FileSystem, temporary: str, final: str) -> None:
-    """Renames a file; nothing happens if an earlier attempt did so."""
-    if store.get_file_info(temporary).type == pyarrow.fs.FileType.NotFound:
-        if store.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
-            raise FileNotFoundError(temporary)
-        return
-    store.move(temporary, final)
-
-
 class _Files:
     """The files of one task's attempt, rolled by compressed size."""
 
-    def __init__(self, store: pyarrow.fs.FileSystem, folder: str, roll_bytes: int):
+    def __init__(self, store: Store, folder: str, roll_bytes: int):
         self.store, self.folder, self.roll_bytes = store, folder, roll_bytes
         self.finished: list[dict] = []
         self.out = None
         self.shard = None
 
     def __enter__(self) -> "_Files":
-        self.store.create_dir(self.folder, recursive=True)
+        self.store.create_dir(self.folder)
         return self
 
     def add(self, shard: int, page_id: int | None, data: bytes) -> None:
@@ -232,7 +214,7 @@ class _Files:
             name = f"pages-{shard:06d}-{part:05d}.warc.gz"
             self.row = {"shard": shard, "part": part, "name": name, "temporary": f"{self.folder}/{name}", "records": 0, "bytes": 0}
             self.hashed = hashlib.sha1()
-            self.out = self.store.open_output_stream(self.row["temporary"], compression=None)
+            self.out = self.store.writer(self.row["temporary"])
         packed = compressed(data)
         self.out.write(packed)
         self.hashed.update(packed)
@@ -254,18 +236,18 @@ class _Files:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record of a finished archive: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    store, base = _opened(folder)
-    with store.open_input_stream(f"{base}/manifest.json") as source:
+    store, base = opened(folder)
+    with store.reader(f"{base}/manifest.json") as source:
         manifest = json.loads(source.read())
     files = spark.read.parquet(f"{folder}/{manifest['list']}").select("name", "sha1")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _opened(folder)
+        store, base = opened(folder)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                with store.open_input_stream(f"{base}/{name}", compression=None) as source:
+                with store.reader(f"{base}/{name}") as source:
                     rows: list[tuple] = []
                     for found in read_records(source):
                         rows.append(described(*found))
