@@ -170,6 +170,8 @@ class Labeler:
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed label probabilities of its words, and their number."""
         totals, numbers = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts))
+        if not self.model.labels:
+            return totals, numbers
         held: list[str] = []
         owners: list[tuple[int, int]] = []
         for owner, text in enumerate(texts):

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules: sentences become identifiers, identifier sequences become licences.
 
 A text is cut into sentences at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space or the end, once with line breaks ending
-sentences too and once with lines joined, so that wrapped paragraphs are found as well. Normalised (letters and digits
+sentences too and once with the lines of a paragraph joined, so that wrapped sentences are found as well. Normalised (letters and digits
 only, lower case, single blanks), a sentence is looked up among known licence sentences. Known sentences in order of place
 form the document's identifier sequence; a rule is an ordered sequence of identifiers with its licence, and matches
 where its identifiers follow each other, with at most ``GAP`` characters between two of them. Of overlapping matches the
@@ -102,6 +102,8 @@ GAP = 400
 
 LETTERS = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?;:]+(?=\s|$)")
+#: Lines joined: a sentence ends at a mark, or where a line is blank but for comment marks.
+SENTENCE_OR_PARAGRAPH_END = re.compile(r"[.!?;:]+(?=\s|$)|\n[\s#/*;%!-]*(?=\n)")
 SENTENCE_OR_LINE_END = re.compile(r"[.!?;:]+(?=\s|$)|\n")
 COMMENT = re.compile(r"^[\s#/*;%!-]+", re.M)
 
@@ -131,14 +133,14 @@ class Scanner:
     def sentences(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, identifier) of the known sentences in a text, in order of place."""
         found: dict[tuple[int, str], int] = {}
-        for cut in (SENTENCE_OR_LINE_END, SENTENCE_END):
+        for cut in (SENTENCE_OR_LINE_END, SENTENCE_OR_PARAGRAPH_END):
             start = 0
             for end, after in [*((mark.start(), mark.end()) for mark in cut.finditer(text)), (len(text), len(text))]:
                 piece = text[start:end]
                 if cut is SENTENCE_OR_LINE_END or "\n" in piece:
                     name = self.known.get(normalised(piece if cut is SENTENCE_OR_LINE_END else COMMENT.sub(" ", piece)))
                     if name is not None:
-                        found.setdefault((start + len(piece) - len(piece.lstrip()), name), end)
+                        found.setdefault((start + LETTERS.search(piece).start(), name), end)
                 start = after
         return sorted((start, end, name) for (start, name), end in found.items())
 

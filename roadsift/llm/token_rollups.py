@@ -56,7 +56,7 @@ def committed(spark: SparkSession, folder: str) -> dict[str, str]:
 
 def _read(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
     batches = committed(spark, folder).values()
-    paths = [f"{folder}/{kind}/{rows}" for rows in sorted(batches)]
+    paths = [f"{folder}/{kind}/{rows}" for rows in sorted(set(batches))]  # compacted batches share one
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
