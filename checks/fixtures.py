@@ -132,7 +132,7 @@ JOIN ranked_items c ON c.theme_id = f.theme_id AND c.place = 9
 WHERE f.status = 'classified'""",
     "quoting_drafts": """
 SELECT id AS doc_id, concat('One said [#', CAST(id AS STRING), '] "', q, '", another [#', CAST(id + 1 AS STRING), ']: "', q, '".') AS markdown
-FROM (SELECT doc_id AS id, regexp_extract(text, '([a-zA-Z ,]+)', 1) AS q FROM documents) d""",
+FROM (SELECT doc_id AS id, regexp_extract(text, '([a-zA-ZÀ-ɏ ,]+)', 1) AS q FROM documents) d""",
     "name_replies": """
 SELECT id AS theme_id, CASE id % 3
  WHEN 0 THEN concat('{"name": "Trouble with number ', CAST(id AS STRING), repeat(' and on', 10), '", "summary": "All of it."}')

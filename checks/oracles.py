@@ -336,8 +336,8 @@ ORACLES["report_counters"] = f"""SELECT doc_id, CAST(nullif(regexp_extract(markd
  CAST(nullif(regexp_extract(markdown, 'Valid [^:]*: \\*\\*([0-9]+)', 1), '') AS INT) AS n_valid,
  CAST(nullif(regexp_extract(markdown, 'Hallucinated[^:]*: \\*\\*([0-9]+)', 1), '') AS INT) AS n_hallucinated FROM reports"""
 ORACLES["quote_check"] = """WITH pairs AS (
- SELECT d.doc_id, d.doc_id AS item_id, regexp_extract(d.text, '([a-zA-Z ,]+)', 1) AS quote FROM documents d
- UNION ALL SELECT d.doc_id, d.doc_id + 1, regexp_extract(d.text, '([a-zA-Z ,]+)', 1) FROM documents d)
+ SELECT d.doc_id, d.doc_id AS item_id, regexp_extract(d.text, '([a-zA-ZÀ-ɏ ,]+)', 1) AS quote FROM documents d
+ UNION ALL SELECT d.doc_id, d.doc_id + 1, regexp_extract(d.text, '([a-zA-ZÀ-ɏ ,]+)', 1) FROM documents d)
 SELECT p.doc_id, p.item_id, p.quote, coalesce(contains(x.text, p.quote), false) AS found FROM pairs p LEFT JOIN documents x ON x.doc_id = p.item_id WHERE p.quote <> ''"""
 
 
@@ -380,9 +380,19 @@ KEPT = f"""kept AS (SELECT source, external_id, author, {strip('body')} AS body
 ORACLES["batch_runs"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type, {keyword_case(3)} AS severity FROM kept)
  SELECT source, external_id, author, 'classified' AS status, CASE WHEN fb_type = 'question' THEN 'bug' ELSE fb_type END AS fb_type,
   CAST(CASE WHEN fb_type = 'question' THEN 4 ELSE severity END AS INT) AS severity, CAST(fb_type = 'question' AS INT) AS human_corrected FROM typed"""
-ORACLES["theme_run"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type FROM kept),
+ORACLES["theme_run"] = ORACLES["theme_restart"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type FROM kept),
  counted AS (SELECT count(*) AS n FROM typed WHERE fb_type <> 'praise')
- SELECT CAST(greatest(4, least(8, round_even(n / 18.0::DOUBLE, 0))) AS BIGINT) AS themes, n AS reach FROM counted"""
+ SELECT source, external_id, fb_type, fb_type <> 'praise' AS themed,
+  CAST(greatest(4, least(8, round_even(n / 18.0::DOUBLE, 0))) AS INT) AS themes, CAST(n AS INT) AS reach FROM typed CROSS JOIN counted"""
+ORACLES["kmeans_themes"] = """SELECT count(*) AS items, count(DISTINCT vec_id) AS distinct_items,
+ CAST(greatest(4, least(8, round_even(count(*) / 18.0::DOUBLE, 0))) AS BIGINT) AS clusters, true AS repeat_is_equal, true AS no_start_is_cheaper
+ FROM embeddings WHERE list_dot_product(embedding, embedding) > 0"""
+ORACLES["script_vectors"] = "SELECT id, CAST(1.0 AS DOUBLE) AS squared_length FROM plain_items WHERE body <> ''"
+ORACLES["overlong_citations"] = """SELECT id, concat(CAST(id AS VARCHAR), ',', least_one, ',', most) AS cited, CAST(id AS VARCHAR) AS valid,
+ concat(least_one, ',', most) AS hallucinated FROM (
+ SELECT id, concat('1', repeat('0', 25), CAST(id AS VARCHAR)) AS most, concat(repeat('9', 25), CAST(id AS VARCHAR)) AS least_one FROM plain_items) n"""
+ORACLES["huge_numbers"] = """SELECT item_id, CAST([4, 1, 4, 2, 2, 1][1 + item_id % 6] AS INT) AS severity,
+ CAST([1.0, 0.0, 1.0, 1.0, 1.0, 7e-310][1 + item_id % 6] AS DOUBLE) AS confidence FROM replies"""
 ORACLES["stream_ingest"] = f"""WITH {KEPT} SELECT source, external_id, author, 'classified' AS status, {keyword_case(0)} AS fb_type,
  CAST({keyword_case(3)} AS INT) AS severity FROM kept"""
 

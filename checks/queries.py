@@ -2,6 +2,8 @@
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,6 +285,16 @@ def reply_validate(given):
     return labels.parse_label_replies(given.replies).drop("reply", "error")
 
 
+@query
+def huge_numbers(given):
+    """Replies with numbers near and beyond the largest double."""
+    numbers = F.array(*map(F.lit, ["1e301", "-1e305", "1e308", '"1e308"', '"2"', "7e-310"]))
+    number = F.get(numbers, (F.col("item_id") % 6).cast("int"))
+    reply = F.concat(F.lit('{"type": "bug", "severity": '), number, F.lit(', "confidence": '), number, F.lit("}"))
+    replies = given.replies.select("item_id", reply.alias("reply"))
+    return labels.parse_label_replies(replies).select("item_id", "severity", "confidence")
+
+
 @query
 def keyword_labels(given):
     return labels.keyword_labels(given.plain_items)
@@ -463,7 +475,7 @@ def nearest_centroid(given):
     vectors = given.table("embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("theme_id"), F.col("embedding").alias("features")
     )
-    return themes.nearest_centroid(vectors, themes.read_centers(themes.centroids(vectors)))
+    return themes.nearest_centroid(vectors, themes.centroids(vectors))
 
 
 def _unit(given: Inputs) -> DataFrame:
@@ -475,8 +487,27 @@ def _unit(given: Inputs) -> DataFrame:
 
 @query
 def kmeans_themes(given):
-    clustered = themes.cluster(_unit(given).select("id", "features"))
-    return overview.theme_sizes(themes.assignments(clustered, 1))
+    """What must hold for a clustering whatever its start points: all items, the right number of clusters, the same
+    again on a repeat, and no single start that is cheaper."""
+    vectors, seeds = _unit(given).select("id", "features"), range(42, 45)
+    chosen = themes.cluster(vectors, seeds=seeds)
+    again = themes.cluster(vectors.repartition(3), seeds=seeds).select("id", F.col("cluster").alias("again"))
+
+    def cost(clustered: DataFrame) -> float:
+        """Of unit vectors: their number less, for each cluster, its size times its mean's squared length."""
+        sums = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean("features").alias("mean"))
+        squares = F.aggregate(vector_to_array("mean"), F.lit(0.0), lambda total, x: total + x * x)
+        return sums.agg(F.sum(F.col("n") * (1 - squares))).first()[0]
+
+    singles = [cost(themes.cluster(vectors, seeds=[seed])) for seed in seeds]
+    least = cost(chosen) <= min(singles) + 1e-9
+    facts = chosen.join(again, "id", "left").agg(
+        F.count("id").alias("items"),
+        F.countDistinct("id").alias("distinct_items"),
+        F.countDistinct("cluster").alias("clusters"),
+        F.every(F.col("cluster").eqNullSafe(F.col("again"))).alias("repeat_is_equal"),
+    )
+    return facts.withColumn("no_start_is_cheaper", F.lit(least))
 
 
 @query
@@ -519,6 +550,15 @@ def citation_ids(given):
     )
 
 
+@query
+def overlong_citations(given):
+    """Cited numbers of 26 digits and more, and with leading zeros."""
+    number = F.col("id").cast("string")
+    markdown = F.concat(F.lit("[#00"), number, F.lit("] [#"), F.repeat(F.lit("9"), F.lit(25)), number, F.lit("] [#1"), F.repeat(F.lit("0"), F.lit(25)), number, F.lit("]"))
+    checked = citations.check_citations(given.plain_items.select("id", markdown.alias("markdown")), F.array("id"))
+    return checked.select("id", *[F.array_join(name, ",").alias(name) for name in ("cited", "valid", "hallucinated")])
+
+
 @query
 def review_citation_check(given):
     checked = citations.check_review_documents(given.review_drafts, given.feedback_items, given.themes)
@@ -544,7 +584,8 @@ def report_counters(given):
 
 @query
 def quote_check(given):
-    return citations.check_quotes(given.quoting_drafts, given.plain_items, "doc_id")
+    checked = citations.check_quotes(given.quoting_drafts, given.plain_items, "doc_id")
+    return checked.withColumn("item_id", F.col("item_id").cast("bigint"))
 
 
 @query
@@ -645,15 +686,59 @@ def _normalized(given: Inputs) -> DataFrame:
 
 @query
 def theme_run(given):
-    """Import, labels, themes from the words of the texts, names and scores; the totals that must come out."""
-    path, spark = shared_folder(given.spark), given.spark
-    runs.import_feedback(spark, path, _normalized(given), [F.col("arrival")])
-    runs.label_new(spark, path)
-    runs.build_themes(spark, path)
+    """Import, labels, themes from the words of the texts, names and scores; what must come out for every item."""
+    path = shared_folder(given.spark)
+    _labelled(given, path)
+    runs.build_themes(given.spark, path)
+    return _themed(given, path)
+
+
+def _labelled(given: Inputs, path: str) -> None:
+    runs.import_feedback(given.spark, path, _normalized(given), [F.col("arrival")])
+    runs.label_new(given.spark, path)
+
+
+def _themed(given: Inputs, path: str) -> DataFrame:
+    """Each item with its type and whether it has a theme, beside the totals of the scored themes."""
+    spark = given.spark
     runs.score_themes(spark, path)
     scored = tables.newest_run(tables.read_table(spark, path, "opportunities"))
     named = scoring.named(scored, tables.newest_run(tables.read_table(spark, path, "themes")))
-    return named.agg(F.count("name").alias("themes"), F.sum("reach").alias("reach"))
+    total = named.agg(F.count("name").alias("themes"), F.sum("reach").alias("reach")).first()
+    current = tables.read_current(spark, path).select("source", "external_id", "fb_type", F.col("theme_id").isNotNull().alias("themed"))
+    return current.withColumns({name: F.lit(total[name]) for name in ("themes", "reach")})
+
+
+@query
+def theme_restart(given):
+    """A theme run that breaks off twice, at the names and after the assignments, and is started again."""
+    path, spark = shared_folder(given.spark), given.spark
+    _labelled(given, path)
+
+    def broken(prompts):
+        raise RuntimeError("no namer")
+
+    for _ in range(2):
+        try:
+            runs.build_themes(spark, path, name=broken)
+        except RuntimeError:
+            assert tables.read_table(spark, path, "themes").isEmpty()
+    runs.build_themes(spark, path)
+    return _themed(given, path)
+
+
+@query
+def script_vectors(given):
+    """Word vectors of the texts in Cyrillic letters, in symbols only, and as they are: no item is lost."""
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+    body = (
+        F.when(F.col("id") % 3 == 0, F.translate(F.lower("body"), latin, cyrillic))
+        .when(F.col("id") % 3 == 1, F.regexp_replace("body", r"[\p{L}\p{N}]", "☆"))
+        .otherwise(F.col("body"))
+    )
+    vectors = themes.word_vectors(given.plain_items.withColumn("body", body))
+    length = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda total, x: total + x * x)
+    return vectors.select("id", F.round(length, 6).alias("squared_length"))
 
 
 @query

@@ -21,9 +21,6 @@ WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 DECIMAL_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-FINITE = 1e300  # beyond it a number is taken as infinite
-
-
 def json_span(reply: Column) -> Column:
     """From the first ``{`` to the last ``}``; empty when there is no such span."""
     return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
@@ -58,7 +55,7 @@ def one_of(text: Column, domain: list[str], default: str) -> Column:
 
 
 def bounded(number: Column, low: int | float, high: int | float, default: int | float) -> Column:
-    finite = number.between(-FINITE, FINITE)
+    finite = F.abs(number) < float("inf")  # NaN is greater than all numbers
     return F.when(finite, clamp(number, low, high)).otherwise(F.lit(float(default)))
 
 

@@ -28,8 +28,7 @@ VALID_COUNTER = r"Valid[^:\n]*:\s*\*\*([0-9]+)\*\*"
 HALLUCINATED_COUNTER = r"Hallucinated[^:\n]*:\s*\*\*([0-9]+)\*\*"
 
 QUOTE = r'#([0-9]+)[^"\n]*"([^"\n]+)"'
-EVIDENCE_CHARS = 300  # no line format shows more of an item
-NO_SUCH_ID = 2**63 - 1  # stands for a cited number beyond 64 bits
+EVIDENCE_CHARS = 300  # kept of an item for the report, unless a caller asks for more
 
 ITEM = ["id", "fb_type", "severity", "body"]
 
@@ -49,21 +48,25 @@ def evidence_pool(items: DataFrame, themes: DataFrame | bool | None = None, n: i
     return attach(picked, themed, ["fb_type", "body"], themes, n).select("theme_id", "rank", *ITEM)
 
 
-def pool_by_theme(pool: DataFrame) -> DataFrame:
-    """(theme_id, pool): the ranked items of a theme as one array, texts cut to what reports can show."""
-    entry = F.struct("rank", "id", "fb_type", "severity", cut(F.col("body"), EVIDENCE_CHARS).alias("body"))
+def pool_by_theme(pool: DataFrame, chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """(theme_id, pool): the ranked items of a theme as one array, texts cut to ``chars``."""
+    entry = F.struct("rank", "id", "fb_type", "severity", cut(F.col("body"), chars).alias("body"))
     return pool.groupBy("theme_id").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
 
 
 def with_siblings(
-    targets: DataFrame, items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT
+    targets: DataFrame,
+    items: DataFrame,
+    themes: DataFrame | None = None,
+    n: int = SIBLING_COUNT,
+    chars: int = EVIDENCE_CHARS,
 ) -> DataFrame:
     """Target rows (id, theme_id, …) with ``siblings``: the n worst other items of the same theme, none without one.
 
     The n + 1 worst of a theme hold the n worst others of every member.
     """
     few = is_small(themes, n + 1)
-    pools = pool_by_theme(evidence_pool(items, few, n + 1))
+    pools = pool_by_theme(evidence_pool(items, few, n + 1), chars)
     others = F.slice(F.filter("pool", lambda other: other["id"] != F.col("id")), 1, n)
     empty = F.filter("pool", lambda other: F.lit(False))
     return (
@@ -80,17 +83,22 @@ def siblings(items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING
 
 
 def cited_ids(markdown: Column) -> Column:
-    """Distinct cited ids in ascending order."""
+    """Distinct cited ids in ascending order, as digits: a cited number may exceed any integer type."""
     numbers = F.transform(
         F.regexp_extract_all(markdown, F.lit(CITATION), F.lit(1)),
-        lambda digits: F.coalesce(digits.try_cast("bigint"), F.lit(NO_SUCH_ID)),
+        lambda digits: F.struct(F.length(canonical(digits)).alias("length"), canonical(digits).alias("digits")),
     )
-    return F.array_sort(F.array_distinct(numbers))
+    return F.array_sort(F.array_distinct(numbers))["digits"]
+
+
+def canonical(digits: Column) -> Column:
+    """A whole number's digits without leading zeros."""
+    return F.regexp_replace(digits, "^0+(?=[0-9])", "")
 
 
 def check_citations(documents: DataFrame, valid_ids: Column) -> DataFrame:
     """Adds cited, valid and hallucinated ids of each document, against the ids its writer was shown."""
-    allowed = F.coalesce(valid_ids, F.array().cast("array<bigint>"))
+    allowed = F.coalesce(valid_ids, F.array()).cast("array<string>")
     cited = documents.withColumn("cited", cited_ids(F.col("markdown"))).withColumn("_allowed", allowed)
     return cited.withColumns(
         {
@@ -110,37 +118,46 @@ def citation_counts(checked: DataFrame, *keys: str) -> DataFrame:
 
 
 def check_theme_documents(
-    documents: DataFrame, items: DataFrame, themes: DataFrame | None = None, pool_size: int = EVIDENCE_POOL_SIZE
+    documents: DataFrame,
+    items: DataFrame,
+    themes: DataFrame | None = None,
+    pool_size: int = EVIDENCE_POOL_SIZE,
+    chars: int = EVIDENCE_CHARS,
 ) -> DataFrame:
     """Documents about themes (theme_id, markdown); only the pool shown to the writer is valid."""
     few = is_small(themes, pool_size)
-    pools = pool_by_theme(evidence_pool(items, few, pool_size)).withColumnRenamed("pool", "evidence")
+    pools = pool_by_theme(evidence_pool(items, few, pool_size), chars).withColumnRenamed("pool", "evidence")
     joined = documents.join(hinted(pools, few), "theme_id", "left")
     return check_citations(joined, F.transform("evidence", lambda entry: entry["id"]))
 
 
 def check_review_documents(
-    documents: DataFrame, items: DataFrame, themes: DataFrame | None = None, n: int = SIBLING_COUNT
+    documents: DataFrame,
+    items: DataFrame,
+    themes: DataFrame | None = None,
+    n: int = SIBLING_COUNT,
+    chars: int = EVIDENCE_CHARS,
 ) -> DataFrame:
     """Documents about single items (item_id, markdown); the item and its siblings are valid."""
     target = F.struct(
-        F.lit(0).alias("rank"), "id", "fb_type", "severity", cut(F.col("body"), EVIDENCE_CHARS).alias("body")
+        F.lit(0).alias("rank"), "id", "fb_type", "severity", cut(F.col("body"), chars).alias("body")
     )
     lines = items.select("id", "theme_id", target.alias("_target"))
     about = documents.join(lines, documents["item_id"] == lines["id"])
-    shown = with_siblings(about, items, themes, n)
+    shown = with_siblings(about, items, themes, n, chars)
     joined = shown.withColumn("evidence", F.concat(F.array("_target"), F.col("siblings")))
     checked = joined.drop("id", "theme_id", "_target", "siblings")
     return check_citations(checked, F.transform("evidence", lambda entry: entry["id"]))
 
 
-def verification_report(checked: DataFrame, *keys: str) -> DataFrame:
-    """(keys, markdown): the document with its citation counts and the cited items quoted from the table."""
-    flagged = F.concat(F.lit(REPORT_FLAGGED + "["), F.array_join(F.col("hallucinated").cast("array<string>"), ", "), F.lit("]"))
-    cited = F.filter("evidence", lambda entry: F.array_contains("valid", entry["id"]))
+def verification_report(checked: DataFrame, *keys: str, chars: int = 280) -> DataFrame:
+    """(keys, markdown): the document with its citation counts and the cited items quoted from the table, as far as
+    ``chars`` and the evidence go."""
+    flagged = F.concat(F.lit(REPORT_FLAGGED + "["), F.array_join("hallucinated", ", "), F.lit("]"))
+    cited = F.filter("evidence", lambda entry: F.array_contains("valid", entry["id"].cast("string")))
     by_id = F.array_sort(F.transform(cited, lambda entry: F.struct(entry["id"], entry["fb_type"], entry["severity"], entry["body"])))
     quotes = F.transform(
-        by_id, lambda entry: verbatim_line(entry["id"], entry["fb_type"], entry["severity"], entry["body"])
+        by_id, lambda entry: verbatim_line(entry["id"], entry["fb_type"], entry["severity"], entry["body"], chars)
     )
 
     def count(ids: str) -> Column:
@@ -174,14 +191,14 @@ def report_counters(documents: DataFrame, *keys: str) -> DataFrame:
 
 
 def quotes(documents: DataFrame, *keys: str) -> DataFrame:
-    """(keys, item_id, quote): quoted text that follows a citation on the same line."""
+    """(keys, item_id, quote): quoted text that follows a citation on the same line; the id as digits."""
     text = F.col("markdown")
     ids = F.regexp_extract_all(text, F.lit(QUOTE), F.lit(1))
     spans = F.regexp_extract_all(text, F.lit(QUOTE), F.lit(2))
     found = documents.select(*keys, F.explode(F.arrays_zip(ids.alias("item"), spans.alias("quote"))).alias("_pair"))
     return found.select(
         *keys,
-        F.coalesce(F.col("_pair")["item"].try_cast("bigint"), F.lit(NO_SUCH_ID)).alias("item_id"),
+        canonical(F.col("_pair")["item"]).alias("item_id"),
         F.col("_pair")["quote"].alias("quote"),
     ).distinct()
 
@@ -194,7 +211,7 @@ def check_quotes(documents: DataFrame, items: DataFrame, *keys: str) -> DataFram
     """
     listed = quotes(documents, *keys)
     wanted = listed.select("item_id", "quote").distinct()
-    bodies = items.select(F.col("id").alias("item_id"), "body")
+    bodies = items.select(F.col("id").cast("string").alias("item_id"), "body")
     if is_small(wanted):
         bodies = bodies.join(F.broadcast(wanted.select("item_id").distinct()), "item_id", "left_semi")
     answers = wanted.join(bodies, "item_id", "left").select(

@@ -15,10 +15,15 @@ def latest(log: DataFrame, key: str, columns: list[str], name: str) -> DataFrame
     return log.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("seq")).alias(name))
 
 
-def latest_themes(assignments: DataFrame) -> DataFrame:
-    """(item_id, theme_id) of the newest theme run; items it left out have no theme any more."""
-    newest = assignments.agg(F.max("run_id").alias("run_id"))
-    return assignments.filter(F.col("run_id") == newest.scalar()).select("item_id", "theme_id")
+def latest_themes(assignments: DataFrame, published: DataFrame | None = None) -> DataFrame:
+    """(item_id, theme_id) of the newest theme run; items it left out have no theme any more.
+
+    ``published``, rows with the ``run_id`` of finished runs, leaves out runs that broke off. An item that a run
+    lists twice counts once.
+    """
+    newest = (assignments if published is None else published).agg(F.max("run_id").alias("run_id"))
+    of_run = assignments.filter(F.col("run_id") == newest.scalar())
+    return of_run.groupBy("item_id").agg(F.max("theme_id").alias("theme_id"))
 
 
 def correction_events(edits: DataFrame, seq: int | Column) -> DataFrame:
@@ -33,7 +38,11 @@ def correction_events(edits: DataFrame, seq: int | Column) -> DataFrame:
 
 
 def current_items(
-    items: DataFrame, label_events: DataFrame, corrections: DataFrame, assignments: DataFrame
+    items: DataFrame,
+    label_events: DataFrame,
+    corrections: DataFrame,
+    assignments: DataFrame,
+    theme_runs: DataFrame | None = None,
 ) -> DataFrame:
     """Items with status, labels, correction flag and theme.
 
@@ -51,7 +60,7 @@ def current_items(
         .drop("item_id")
         .join(fixes, F.col("id") == fixes["item_id"], "left")
         .drop("item_id")
-        .join(latest_themes(assignments), F.col("id") == F.col("item_id"), "left")
+        .join(latest_themes(assignments, theme_runs), F.col("id") == F.col("item_id"), "left")
         .drop("item_id")
     )
     fixed = F.col("_fix").isNotNull()

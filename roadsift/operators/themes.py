@@ -1,6 +1,7 @@
 """Feature vectors, clustering into themes, and theme names."""
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -9,11 +10,13 @@ import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadsift.functions.keys import body_hash
 from roadsift.functions.numbers import theme_count
@@ -31,7 +34,10 @@ DEFAULT_GROUP_AREA = "general"
 NAME_SUFFIX = " issues"
 FALLBACK_SUMMARY = "(auto-named by product area — LLM naming unavailable)"
 
-MAX_CENTERS = 10_000  # rows that may be sent to every task
+FEW_CLUSTERS = 10_000  # rows that may be sent to every task
+BLOCK_BYTES = 32 << 20  # of centroids sent to every task at a time
+
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 NAMING_HEAD = (
     "The user reviews below were grouped into one theme. Give it a short, specific name and a one-sentence "
@@ -86,8 +92,17 @@ def vectorize(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def word_vectors(items: DataFrame, size: int = 1024) -> DataFrame:
-    """(id, features) unit TF-IDF vectors of the whole texts, for work without an embedding model."""
-    words = RegexTokenizer(inputCol="body", outputCol="_words", pattern=r"\W+").transform(items.select("id", "body"))
+    """(id, features) unit TF-IDF vectors of the whole texts, for work without an embedding model.
+
+    Words are runs of letters and digits of any script; a text without any is taken by its characters. Only empty
+    texts have no vector.
+    """
+    bodies = items.select("id", F.lower(F.coalesce("body", F.lit(""))).alias("_body"))
+    split = F.filter(F.split("_body", WORD_BREAK), lambda word: word != "")
+    characters = F.filter(F.split("_body", ""), lambda character: character != "")
+    words = bodies.select("id", F.when(F.size(split) > 0, split).otherwise(characters).alias("_words"))
+    if words.isEmpty():  # nothing to weigh the words by
+        return items.sparkSession.createDataFrame([], T.StructType([items.schema["id"], T.StructField("features", VectorUDT())]))
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(words)
     weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
     scaled = Normalizer(inputCol="_weighted", outputCol="features").transform(weighted)
@@ -114,6 +129,8 @@ def cluster(
     try:
         size, wanted = laid_out.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
         k = min(k or wanted, size)
+        if k < 2:  # none or all in one cluster
+            return vectors.select("id", F.lit(0).alias("cluster"), "features").filter(F.lit(size >= max(1, min_size)))
         estimator = KMeans(k=k, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
         fit = inheritable_thread_target(vectors.sparkSession)(lambda seed: estimator.fit(laid_out, {estimator.seed: seed}))
         with ThreadPool(parallelism) as pool:
@@ -124,7 +141,7 @@ def cluster(
     clustered = best.transform(vectors).select("id", "cluster", "features")
     if min_size > 1:
         kept = clustered.groupBy("cluster").count().filter(F.col("count") >= min_size).select("cluster")
-        small = F.broadcast(kept) if k <= MAX_CENTERS else kept
+        small = F.broadcast(kept) if k <= FEW_CLUSTERS else kept
         clustered = clustered.join(small, "cluster", "left_semi").select("id", "cluster", "features")
     return clustered
 
@@ -150,38 +167,57 @@ def centroids(vectors: DataFrame, group: str = "theme_id", features: str = "feat
     return means.select(group, vector_to_array("_mean").alias("centroid"))
 
 
-def read_centers(table: DataFrame, group: str = "theme_id") -> list[tuple[int, list[float]]]:
-    """The few centroid rows for the driver; refuses a table that is not small."""
-    rows = table.select(group, "centroid").limit(MAX_CENTERS + 1).collect()
-    if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centroids")
-    return [(row[0], row[1]) for row in rows]
+def _center_blocks(centers: DataFrame, group: str) -> Iterator[list[tuple[int, list[float]]]]:
+    """The centroids in blocks of bounded size, in order of their ids."""
+    size, width = centers.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    rows = max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
+    last = None
+    for _ in range(0, size, rows):
+        left = centers if last is None else centers.filter(F.col(group) > last)
+        block = [(row[0], row[1]) for row in left.select(group, "centroid").orderBy(group).limit(rows).collect()]
+        last = block[-1][0]
+        yield block
 
 
 def nearest_centroid(
-    vectors: DataFrame, centers: list[tuple[int, list[float]]], digits: int = 6, features: str = "features"
+    vectors: DataFrame, centers: DataFrame, group: str = "theme_id", digits: int = 6, features: str = "features"
 ) -> DataFrame:
     """(id, theme_id, distance) of the closest centre by squared distance; the lower theme id wins a tie.
 
-    Arrow batches reach numpy as one flat buffer, without a Python object per row.
+    ``centers`` holds (group, centroid). They go to the tasks in blocks of bounded size, each compared with all vectors;
+    of several blocks the best is kept by id. Arrow batches reach numpy as one flat buffer, without a Python object per
+    row.
     """
-    ordered = sorted(centers)
-    theme_ids = np.array([theme for theme, _ in ordered], dtype="int64")
-    matrix = np.array([center for _, center in ordered], dtype="float64")
+    known = vectors.filter(F.col(features).isNotNull()).select(F.col("id").cast("bigint").alias("id"), features)
+    found = [_nearest_of(known, block, digits) for block in _center_blocks(written(centers.select(group, "centroid")), group)]
+    if len(found) == 1:
+        return found[0]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], NEAREST)
+    every = reduce(DataFrame.unionByName, found)
+    best = every.groupBy("id").agg(F.min(F.struct("distance", "theme_id")).alias("best"))
+    return best.select("id", "best.theme_id", "best.distance")
+
+
+NEAREST = "id bigint, theme_id bigint, distance double"
+
+
+def _nearest_of(known: DataFrame, block: list[tuple[int, list[float]]], digits: int) -> DataFrame:
+    theme_ids = np.array([theme for theme, _ in block], dtype="int64")
+    matrix = known.sparkSession.sparkContext.broadcast(np.array([center for _, center in block], dtype="float64"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = batch.column(0), batch.column(1)
             points = values.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(ids), -1)
-            distances = np.stack([((points - center) ** 2).sum(axis=1) for center in matrix], axis=1).round(digits)
+            distances = np.stack([((points - center) ** 2).sum(axis=1) for center in matrix.value], axis=1).round(digits)
             best = distances.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(theme_ids[best]), pa.array(distances[np.arange(len(ids)), best])],
                 names=["id", "theme_id", "distance"],
             )
 
-    known = vectors.filter(F.col(features).isNotNull()).select(F.col("id").cast("bigint").alias("id"), features)
-    return known.mapInArrow(run, "id bigint, theme_id bigint, distance double")
+    return known.mapInArrow(run, NEAREST)
 
 
 def theme_samples(

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from roadsift.functions.keys import body_hash
 from roadsift.operators import themes as th
 from roadsift.operators.ingest import dedup_new, filter_usable, next_import, stored_hits, with_item_ids
 from roadsift.operators.labels import label_events, label_with
@@ -16,7 +17,7 @@ from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
 from roadsift.operators.small import hinted
 from roadsift.operators.state import correction_events, reset_events, unlabeled
-from roadsift.session import written
+from roadsift.session import shared_folder, written
 from roadsift.sources.tables import append, newest_run, read_current, read_table
 
 
@@ -24,6 +25,17 @@ def _next(table: DataFrame, column: str) -> int:
     return table.agg(F.coalesce(F.max(column), F.lit(0)) + 1).first()[0]
 
 
+def _by_slice(rows: DataFrame, slices: int) -> list[DataFrame]:
+    """The rows (with ``body_hash``), written once, in so many parts; rows of equal text are in one part."""
+    if slices == 1:
+        return [written(rows)]
+    path = shared_folder(rows.sparkSession)
+    part = F.pmod(F.xxhash64("body_hash"), F.lit(slices)).alias("slice")
+    rows.select("*", part).write.partitionBy("slice").parquet(path)
+    stored = rows.sparkSession.read.schema(rows.select("*", part).schema).parquet(path)
+    return [stored.filter(F.col("slice") == number).drop("slice") for number in range(slices)]
+
+
 def import_feedback(
     spark: SparkSession,
     directory: str,
@@ -50,26 +62,22 @@ def import_feedback(
     return counted.get["inserted"], import_no
 
 
-def _slices(rows: DataFrame, key: str, slices: int) -> list[DataFrame]:
-    """The rows in that many parts of about equal size; together they are all rows."""
-    part = F.pmod(F.xxhash64(key), F.lit(slices))
-    return [rows] if slices == 1 else [rows.filter(part == number) for number in range(slices)]
-
-
 def label_new(
     spark: SparkSession, directory: str, answer: Answer | None = None, partitions: int | None = None, slices: int = 1
 ) -> int:
     """Labels every new item and returns the run's sequence number; rate-limited items stay new.
 
-    The ids to label are written down first. If they are few, the items are scanned for them and not shuffled.
-    Labels are stored slice by slice, so a run that breaks off keeps what it has paid for.
+    The ids to label are written down first; if they are few, the items are scanned for them and not shuffled. The
+    texts are written once, by slices of their hash: the model sees a text once, whatever the slices. Labels are
+    stored slice by slice, so a run that breaks off keeps what it has paid for.
     """
     items, events = read_table(spark, directory, "items"), read_table(spark, directory, "label_events")
     seq = _next(events, "seq")
     todo = written(unlabeled(items, events))
-    for ids in _slices(todo, "id", slices):
-        wanted = items.select("id", "body").join(hinted(ids, ids), "id")
-        append(label_events(label_with(wanted, answer, partitions=partitions), seq), directory, "label_events")
+    wanted = items.select("id", "body", body_hash(F.col("body")).alias("body_hash")).join(hinted(todo, todo), "id")
+    for part in _by_slice(wanted, slices):
+        labelled = label_with(part.drop("body_hash"), answer, partitions=partitions)
+        append(label_events(labelled, seq), directory, "label_events")
     return seq
 
 
@@ -111,18 +119,21 @@ def build_themes(
     """Clusters the actionable items and returns the run id.
 
     With ``embed``, only texts without stored features are embedded, and the features are kept, slice by slice.
-    ``name`` turns (theme_id, prompt) rows into (theme_id, reply) rows. Theme ids go on rising from run to run.
+    ``name`` turns (theme_id, prompt) rows into (theme_id, reply) rows. Theme ids go on rising from run to run. The
+    themes are stored last, and only runs that have them count; one that broke off leaves the run before it current
+    and its numbers unused. A run over no items ends without themes.
     """
-    items = th.actionable(read_current(spark, directory)).select("id", "body", "product_area")
+    items = written(th.actionable(read_current(spark, directory)).select("id", "body", "product_area"))
     if embed is None:
         vectors = th.word_vectors(items)
     else:
-        misses = written(th.cache_misses(items, read_table(spark, directory, "feature_cache")))
-        for texts in _slices(misses, "body_hash", slices):
+        misses = th.cache_misses(items, read_table(spark, directory, "feature_cache"))
+        for texts in _by_slice(misses, slices):
             append(th.compute_features(texts, embed, partitions), directory, "feature_cache")
         vectors = th.vectorize(items, read_table(spark, directory, "feature_cache"))
-    old = read_table(spark, directory, "themes")
-    run_id, first_id = _next(old, "run_id"), _next(old, "id")
+    old, tried = read_table(spark, directory, "themes"), read_table(spark, directory, "theme_assignments")
+    run_id = max(_next(old, "run_id"), _next(tried, "run_id"))
+    first_id = max(_next(old, "id"), _next(tried, "theme_id"))
     append(th.assignments(th.cluster(vectors, k, min_size=min_size), run_id, first_id), directory, "theme_assignments")
     assigned = read_table(spark, directory, "theme_assignments").filter(F.col("run_id") == run_id)
     members = items.join(assigned.select(F.col("item_id").alias("id"), "theme_id"), "id")

@@ -70,7 +70,8 @@ def read_current(spark: SparkSession, directory: str) -> DataFrame:
     """Items with their current labels, corrections and themes, worked out from the logs."""
     items = read_table(spark, directory, "items").drop("import_no")
     return current_items(
-        items, *[read_table(spark, directory, name) for name in ("label_events", "corrections", "theme_assignments")]
+        items,
+        *[read_table(spark, directory, name) for name in ("label_events", "corrections", "theme_assignments", "themes")],
     )
 
 

@@ -62,16 +62,44 @@ def test_silhouette_and_nearest_centroid(spark, vectors):
     clustered = themes.cluster(vectors, seeds=[42])
     assert themes.silhouette(clustered) > 0.9
     flat = clustered.select("id", F.col("cluster").alias("theme_id"), vector_to_array("features").alias("features"))
-    centers = themes.read_centers(themes.centroids(flat))
-    near = {r.id: r.theme_id for r in themes.nearest_centroid(flat, centers).collect()}
+    near = {r.id: r.theme_id for r in themes.nearest_centroid(flat, themes.centroids(flat)).collect()}
     assert near == {r.id: r.theme_id for r in flat.collect()}
 
 
-def test_too_many_centers_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(themes, "MAX_CENTERS", 3)
-    table = spark.createDataFrame([(i, [1.0]) for i in range(4)], "theme_id long, centroid array<double>")
-    with pytest.raises(ValueError):
-        themes.read_centers(table)
+def test_centers_in_blocks_give_the_same(spark, vectors, monkeypatch):
+    flat = vectors.select("id", vector_to_array("features").alias("features"))
+    centers = flat.select(F.col("id").alias("theme_id"), F.col("features").alias("centroid")).filter("id % 3 = 0")
+    whole = {tuple(r) for r in themes.nearest_centroid(flat, centers).collect()}
+    monkeypatch.setattr(themes, "BLOCK_BYTES", 8 * 8 * 4)
+    assert {tuple(r) for r in themes.nearest_centroid(flat, centers).collect()} == whole
+    assert themes.nearest_centroid(flat, centers.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("count", [0, 1, 2])
+def test_runs_over_very_few_items(spark, make_items, count):
+    directory = shared_folder(spark)
+    bodies = ["an item about crashes", "кириллица и ничего больше"][:count]
+    tables.append(make_items(*[{"body": body} for body in bodies]), directory, "items")
+    runs.label_new(spark, directory, lambda prompts: [('{"type": "bug"}', None) for _ in prompts])
+    runs.build_themes(spark, directory)
+    current = tables.read_current(spark, directory).collect()
+    assert len(current) == count and all(r.theme_id is not None for r in current)
+    assert tables.read_table(spark, directory, "themes").count() == count
+
+
+def test_a_text_is_asked_once_over_all_slices(spark, make_items, tmp_path):
+    directory, log = shared_folder(spark), str(tmp_path / "asked")
+    tables.append(make_items(*[{"body": f"one of five texts, number {at % 5}"} for at in range(40)]), directory, "items")
+
+    def answer(prompts):
+        with open(log, "a") as file:
+            file.write("x\n" * len(prompts))
+        return [('{"type": "bug"}', None) for _ in prompts]
+
+    runs.label_new(spark, directory, answer, slices=4)
+    with open(log) as file:
+        assert len(file.readlines()) == 5
+    assert tables.read_current(spark, directory).filter("status = 'classified'").count() == 40
 
 
 def test_area_mode_prefers_first_seen(make_items):
@@ -127,6 +155,6 @@ def test_theme_run_with_an_embedder_embeds_each_text_once(spark, make_items, tmp
 
 def test_word_vectors_read_whole_texts(spark, make_items):
     padding = "filler " * 5000
-    items = make_items({"body": padding + "apple"}, {"body": padding + "pear"}, {"body": "---"})
-    rows = themes.word_vectors(items).collect()
-    assert [r.id for r in rows] == [1, 2] and rows[0].features != rows[1].features
+    items = make_items({"body": padding + "apple"}, {"body": padding + "pear"}, {"body": "---"}, {"body": ""}, {"body": "漢字"})
+    rows = sorted(themes.word_vectors(items).collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == [1, 2, 3, 5] and rows[0].features != rows[1].features
