@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Bytes of text that a task works on at a time; a longer text goes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

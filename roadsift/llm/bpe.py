@@ -32,8 +32,8 @@ from roadsift.llm.texts import utf8
 
 #: States, pairs and pieces remembered per task before the tables start anew.
 MOST_STATES = 100_000
-MOST_PAIRS = 500_000
-MOST_PIECES = 250_000
+MOST_PAIRS = 300_000
+MOST_PIECES = 100_000
 #: Pieces or ids of a text that are handled at a time.
 GROUP = 65_536
 #: A vocabulary is shipped to every executor; larger files are refused.
@@ -69,22 +69,22 @@ class Transducer:
                     self.edges[key] = count
                 node = self.edges[key]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int | None, int], bool] = {}
-        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}  # (token before or -1, token)
+        self.halves: dict[int, tuple] = {}
         self._restart()
 
     def _restart(self) -> None:
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.table: list[dict[int, tuple[int, tuple]]] = []
-        self._number(((0, None, ()),))
+        self.table: dict[int, int] = {}  # (state, byte) to the next state, or to its complement if tokens are written
+        self.outputs: dict[int, tuple] = {}
+        self._number(((0, -1, ()),))
 
     def _number(self, threads: tuple) -> int:
         number = self.numbers.get(threads)
         if number is None:
             number = self.numbers[threads] = len(self.states)
             self.states.append(threads)
-            self.table.append({})
         return number
 
     def _merge(self, text: bytes, until: int) -> list[bytes]:
@@ -99,18 +99,19 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge made this one; None for a byte or a token that merging never makes."""
-        if token not in self.halves:
+    def _halves(self, token: int) -> tuple[int, int] | tuple[()]:
+        """The two tokens whose merge made this one; empty for a byte or a token that merging never makes."""
+        found = self.halves.get(token)
+        if found is None:
             text = self.bytes_of[token]
             parts = self._merge(text, 2) if len(text) > 1 else []
             made = len(parts) == 2 and parts[0] + parts[1] == text
-            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if made else None
-        return self.halves[token]
+            found = self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if made else ()
+        return found
 
     def _made(self, token: int) -> bool:
         """Whether merging makes the token."""
-        return len(self.bytes_of[token]) == 1 or self._halves(token) is not None
+        return len(self.bytes_of[token]) == 1 or self._halves(token) != ()
 
     def _meets(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their bytes are merged together.
@@ -119,49 +120,65 @@ class Transducer:
         neighbour must not have a merge across the boundary that would have come before the one just undone; equal
         ranks merge from the left.
         """
-        before = len(self.ranks)
+        ranks, bytes_of, before = self.ranks, self.bytes_of, len(self.ranks)
+        halves, others = self._halves(left), self._halves(right)
         while True:
-            across = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-            if across is not None and across < before:
+            if ranks.get(bytes_of[left] + bytes_of[right], before) < before:
                 return False
-            halves, others = self._halves(left), self._halves(right)
-            if halves is not None and (others is None or left > right):
+            if halves and (not others or left > right):
                 before, left = left, halves[1]
-            elif others is not None:
+                halves = self._halves(left)
+            elif others:
                 before, right = right + 1, others[0]
+                others = self._halves(right)
             else:
                 return True
 
-    def _follows(self, before: int | None, token: int) -> bool:
-        """Whether the token may stand after the other one, or at the start."""
-        known = self.pairs.get((before, token))
+    def _follows(self, before: int, token: int) -> bool:
+        """Whether the token may stand after the other one, or (-1) at the start."""
+        known = self.pairs.get(before << 32 | token)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[before, token] = self._made(token) and (before is None or self._meets(before, token))
+            known = self.pairs[before << 32 | token] = self._made(token) and (before < 0 or self._meets(before, token))
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The transition of a state on a byte: the next state and the tokens written."""
+    def _step(self, state: int, byte: int) -> int:
+        """Works out a state's transition on a byte and remembers it."""
+        edges, token_at, pairs, inner = self.edges, self.token_at, self.pairs, self.inner
         alive, born = [], None
         for node, before, held in self.states[state]:
-            child = self.edges.get(node << 8 | byte)
+            child = edges.get(node << 8 | byte)
             if child is None:
                 continue
-            token = self.token_at.get(child)
-            if born is None and token is not None and self._follows(before, token):
-                born = (0, token, (*held, token))
-            if child in self.inner:
+            if born is None:
+                token = token_at.get(child)
+                if token is not None:
+                    follows = pairs.get(before << 32 | token)
+                    if follows is None:
+                        follows = self._follows(before, token)
+                    if follows:
+                        born = (0, token, (*held, token))
+            if child in inner:
                 alive.append((child, before, held))
-        alive.append(born)
-        sure = 0
-        shortest = min(len(held) for _, _, held in alive)
-        while sure < shortest and len({held[sure] for _, _, held in alive}) == 1:
-            sure += 1
-        written = born[2][:sure]
-        following = self._number(tuple((node, before, held[sure:]) for node, before, held in alive))
-        self.table[state][byte] = following, written
-        return following, written
+        written = ()
+        if alive and not alive[0][2]:  # the oldest thread has nothing to write yet
+            alive.append(born)
+        else:
+            alive.append(born)
+            shortest = min([held for _, _, held in alive], key=len)
+            sure = 0
+            while sure < len(shortest) and all(held[sure] == shortest[sure] for _, _, held in alive):
+                sure += 1
+            if sure:
+                written = shortest[:sure]
+                alive = [(node, before, held[sure:]) for node, before, held in alive]
+        following = self._number(tuple(alive))
+        if written:
+            self.outputs[state << 8 | byte] = written
+            following = ~following
+        self.table[state << 8 | byte] = following
+        return following
 
     def _last(self, state: int, byte: int) -> tuple:
         """What is still to be written when a piece ends with the byte; no state is made for it."""
@@ -180,9 +197,13 @@ class Transducer:
             self._restart()
         state, out, table = 0, [], self.table
         for byte in piece[:-1]:
-            state, written = table[state].get(byte) or self._step(state, byte)
-            if written:
-                out += written
+            following = table.get(state << 8 | byte)
+            if following is None:
+                following = self._step(state, byte)
+            if following < 0:
+                out += self.outputs[state << 8 | byte]
+                following = ~following
+            state = following
         if piece:
             out += self._last(state, piece[-1])
         return out
