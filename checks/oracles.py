@@ -385,7 +385,7 @@ ORACLES["theme_run"] = ORACLES["theme_restart"] = f"""WITH {KEPT}, typed AS (SEL
  SELECT source, external_id, fb_type, fb_type <> 'praise' AS themed,
   CAST(greatest(4, least(8, round_even(n / 18.0::DOUBLE, 0))) AS INT) AS themes, CAST(n AS INT) AS reach FROM typed CROSS JOIN counted"""
 ORACLES["kmeans_themes"] = """SELECT count(*) AS items, count(DISTINCT vec_id) AS distinct_items,
- CAST(greatest(4, least(8, round_even(count(*) / 18.0::DOUBLE, 0))) AS BIGINT) AS clusters, true AS repeat_is_equal, true AS no_start_is_cheaper
+ CAST(greatest(4, least(8, round_even(count(*) / 18.0::DOUBLE, 0))) AS BIGINT) AS clusters, true AS repeat_is_close, true AS no_start_is_cheaper
  FROM embeddings WHERE list_dot_product(embedding, embedding) > 0"""
 ORACLES["script_vectors"] = "SELECT id, CAST(1.0 AS DOUBLE) AS squared_length FROM plain_items WHERE body <> ''"
 ORACLES["overlong_citations"] = """SELECT id, concat(CAST(id AS VARCHAR), ',', least_one, ',', most) AS cited, CAST(id AS VARCHAR) AS valid,
