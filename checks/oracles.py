@@ -72,6 +72,8 @@ brief AS (
     (SELECT name FROM leader) AS top_theme, (SELECT printf('%.1f', rice_score) FROM leader) AS top_score
   FROM drifted)"""
 ORACLES["drift_table"] = f"WITH {DRIFT} SELECT * FROM drifted"
+ORACLES["drift_printout"] = f"""WITH {DRIFT} SELECT theme_id, concat('  [', CASE WHEN change > 0 THEN 'UP  ' WHEN change < 0 THEN 'DOWN' ELSE 'flat' END, '] ',
+ CASE WHEN length(theme) < 42 THEN rpad(theme, 42, ' ') ELSE theme END, printf(' %2d -> %2d  (%+d)', previous, recent, change)) AS line FROM drifted"""
 ORACLES["stream_daily_counts"] = ORACLES["drift_table"]
 ORACLES["drift_brief"] = f"WITH {BRIEF} SELECT * FROM brief"
 ORACLES["brief_document"] = f"""WITH {BRIEF} SELECT 'brief' AS target_kind, concat('# State of Feedback — week ending ', week_ending, chr(10), chr(10),

@@ -105,6 +105,11 @@ def drift_table(given):
     return _drift(given).withColumn("anchor", F.col("anchor").cast("string"))
 
 
+@query
+def drift_printout(given):
+    return drift.drift_lines(_drift(given))
+
+
 @query
 def drift_brief(given):
     top = scoring.top_opportunity(_opportunities(given), given.themes)

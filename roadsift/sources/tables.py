@@ -31,6 +31,7 @@ PARTITIONED_BY = {
 }
 
 SNAPSHOTS = "current_items"
+FINISHED = "finished_snapshots"
 
 
 def table_path(directory: str, name: str) -> str:
@@ -83,12 +84,15 @@ def write_snapshot(spark: SparkSession, directory: str) -> int:
     """
     number = _snapshots(spark, directory) + 1
     read_current(spark, directory).write.mode("overwrite").parquet(f"{table_path(directory, SNAPSHOTS)}/snapshot={number}")
+    finished = spark.createDataFrame([(number,)], "snapshot bigint")
+    finished.coalesce(1).write.mode("append").parquet(table_path(directory, FINISHED))
     return number
 
 
 def _snapshots(spark: SparkSession, directory: str) -> int:
+    """The number of the newest finished snapshot, 0 before the first."""
     try:
-        stored = spark.read.parquet(table_path(directory, SNAPSHOTS))
+        stored = spark.read.parquet(table_path(directory, FINISHED))
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -97,7 +101,7 @@ def _snapshots(spark: SparkSession, directory: str) -> int:
 
 
 def read_snapshot(spark: SparkSession, directory: str) -> DataFrame:
-    """The newest snapshot; only its own files are listed."""
+    """The newest finished snapshot; only its own files are listed."""
     newest = _snapshots(spark, directory)
     return spark.read.parquet(f"{table_path(directory, SNAPSHOTS)}/snapshot={newest}")
 

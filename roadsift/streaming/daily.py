@@ -14,16 +14,18 @@ def daily_theme_counts(stream: DataFrame) -> DataFrame:
 
 
 def start_daily_counts(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes the whole (small) table of counts as a new version per micro-batch."""
+    """Writes the whole (small) table of counts as a new version per micro-batch, and lists the version once it is there."""
 
     def publish(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{out}/version={batch_id:012d}")
+        counts.write.mode("overwrite").parquet(f"{out}/counts/version={batch_id:012d}")
+        published = counts.sparkSession.createDataFrame([(batch_id,)], "version bigint")
+        published.coalesce(1).write.mode("append").parquet(f"{out}/published")
 
     writer = daily_theme_counts(stream).writeStream.outputMode("complete").foreachBatch(publish)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_daily_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version."""
-    versions = spark.read.parquet(out)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).select("day", "theme_id", "items")
+    """The newest finished version."""
+    newest = spark.read.parquet(f"{out}/published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{out}/counts/version={newest:012d}").select("day", "theme_id", "items")
