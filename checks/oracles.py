@@ -1,11 +1,29 @@
 """What every registered query must return, as SQL for DuckDB, written independently of the engine's plans."""
 
 from checks.fixtures import with_views
-from roadsift.operators import citations, evaluation, labels, themes
+from roadsift.operators import evaluation, labels
 from roadsift.plans import packs
 
 ORACLES: dict[str, str] = {}
 
+# Fixed values that results must show, stated apart from the engine's own: keyword rules and default (type, area,
+# sentiment, severity, confidence), error texts, report wording, the summary of an unnamed theme.
+KEYWORD_RULES = [
+    (["not opening", "crash", "bug", "laggy"], "bug", "general", "negative", 3, 0.6),
+    (["how to", "how do"], "question", "onboarding", "neutral", 1, 0.6),
+    (["love", "great", "best"], "praise", "general", "positive", 1, 0.7),
+]
+KEYWORD_DEFAULT = ("other", "general", "neutral", 2, 0.4)
+LABEL_FIELDS = ["fb_type", "product_area", "sentiment", "severity", "confidence"]
+NO_OBJECT = "no JSON object in the reply"
+BROKEN_OBJECT = "the reply's JSON object cannot be read"
+REPORT_HEAD = "\n---\n## Citation Verification (automated guardrail)"
+REPORT_FOUND = "- Citations found: **"
+REPORT_VALID = "- Valid (point to a real review): **"
+REPORT_HALLUCINATED = "- Hallucinated: **"
+EVIDENCE_HEAD = "\n## Evidence - verbatim from source (rendered from the database, not the model)"
+UNNAMED_SUMMARY = "(auto-named by product area — LLM naming unavailable)"
+
 
 def text(value: str) -> str:
     """SQL literal."""
@@ -146,8 +164,8 @@ ORACLES["judge_prompts"] = f"""SELECT id, md5(concat({text(evaluation.JUDGE_HEAD
  {text(evaluation.JUDGE_TAIL)})) AS prompt_md5 FROM feedback_items WHERE status = 'classified'"""
 
 SPAN = r"regexp_extract(reply, '(?s)\{.*\}')"
-ERROR = f"""CASE WHEN reply IS NULL THEN NULL WHEN {SPAN} = '' THEN {text(labels.NO_OBJECT)}
- WHEN NOT json_valid({SPAN}) THEN {text(labels.BROKEN_OBJECT)} END"""
+ERROR = f"""CASE WHEN reply IS NULL THEN NULL WHEN {SPAN} = '' THEN {text(NO_OBJECT)}
+ WHEN NOT json_valid({SPAN}) THEN {text(BROKEN_OBJECT)} END"""
 READ = f"read AS (SELECT *, CASE WHEN {SPAN} <> '' AND json_valid({SPAN}) THEN {SPAN} END AS span, {ERROR} AS error FROM replies)"
 SEVERITY_NUMBER = """CASE WHEN json_type(span, '$.severity') = 'VARCHAR'
    THEN CASE WHEN regexp_full_match(json_extract_string(span, '$.severity'), '[+-]?[0-9]+') THEN CAST(json_extract_string(span, '$.severity') AS DOUBLE) END
@@ -167,25 +185,25 @@ ORACLES["reply_parse"] = f"WITH {READ} SELECT item_id, error FROM read"
 ORACLES["reply_validate"] = f"WITH {VALIDATED} SELECT item_id, fb_type, product_area, sentiment, severity, confidence FROM checked"
 EVENTS = "SELECT item_id, CAST(7 AS BIGINT) AS seq, CASE WHEN error IS NULL THEN 'label' ELSE 'fail' END AS kind"
 ORACLES["label_run_events"] = f"""WITH {VALIDATED} {EVENTS}, """ + ", ".join(
-    f"CASE WHEN error IS NULL THEN {field} END AS {field}" for field in labels.LABEL_FIELDS
+    f"CASE WHEN error IS NULL THEN {field} END AS {field}" for field in LABEL_FIELDS
 ) + " FROM checked WHERE fb_type IS NOT NULL"
 ORACLES["label_run_summary"] = f"""WITH {VALIDATED} SELECT count(*) FILTER (WHERE kind = 'label') AS classified,
  count(*) FILTER (WHERE kind = 'fail') AS failed FROM ({EVENTS} FROM checked WHERE fb_type IS NOT NULL) e"""
 
 
 def keyword_case(field: int, body: str = "body") -> str:
-    rules = [(words, values[field]) for words, *values in labels.KEYWORD_RULES]
+    rules = [(words, values[field]) for words, *values in KEYWORD_RULES]
     cases = " ".join(
         "WHEN " + " OR ".join(f"contains(lower({body}), {text(word)})" for word in words) + f" THEN {text(value) if isinstance(value, str) else value}"
         for words, value in rules
     )
-    default = labels.KEYWORD_DEFAULT[field]
+    default = KEYWORD_DEFAULT[field]
     return f"CASE {cases} ELSE {text(default) if isinstance(default, str) else default} END"
 
 
 ORACLES["keyword_labels"] = "SELECT id, " + ", ".join(
     f"CAST({keyword_case(at)} AS {kind}) AS {field}"
-    for at, (field, kind) in enumerate(zip(labels.LABEL_FIELDS, ["VARCHAR", "VARCHAR", "VARCHAR", "INT", "DOUBLE"], strict=True))
+    for at, (field, kind) in enumerate(zip(LABEL_FIELDS, ["VARCHAR", "VARCHAR", "VARCHAR", "INT", "DOUBLE"], strict=True))
 ) + " FROM plain_items"
 ORACLES["hooked_labels"] = """SELECT id, CASE WHEN length(body) % 2 = 1 THEN 'bug' ELSE 'other' END AS fb_type,
  CASE WHEN length(body) % 2 = 1 THEN 3 ELSE 2 END AS severity, CASE WHEN length(body) % 2 = 0 THEN '503 overloaded' END AS error FROM plain_items"""
@@ -230,8 +248,8 @@ VERDICT_READ = f"read AS (SELECT *, CASE WHEN {SPAN} <> '' AND json_valid({SPAN}
 ORACLES["verdict_parse"] = f"""WITH {VERDICT_READ} SELECT item_id, fb_type,
  CASE WHEN span IS NOT NULL THEN coalesce(json_extract_string(span, '$.type_correct') IN ('true', '1'), false) END AS type_correct,
  coalesce(json_extract_string(span, '$.suggested_type'), fb_type) AS suggested_type,
- CASE WHEN span IS NULL THEN {text('judge error: ' + labels.BROKEN_OBJECT)} ELSE substring(coalesce(json_extract_string(span, '$.reasoning'), ''), 1, 300) END AS reasoning,
- CASE WHEN span IS NULL THEN {text(labels.BROKEN_OBJECT)} END AS error FROM read"""
+ CASE WHEN span IS NULL THEN {text('judge error: ' + BROKEN_OBJECT)} ELSE substring(coalesce(json_extract_string(span, '$.reasoning'), ''), 1, 300) END AS reasoning,
+ CASE WHEN span IS NULL THEN {text(BROKEN_OBJECT)} END AS error FROM read"""
 CERTIFIED = """certified AS (
  SELECT f.id, f.fb_type AS predicted, trim(g.gold_type) AS gold_type, coalesce(trim(g.gold_type) = f.fb_type, false) AS human_correct,
   v.type_correct AS judge_correct,
@@ -271,7 +289,7 @@ ORACLES["theme_names"] = f"""WITH {AREAS}, named AS (SELECT a.theme_id, a.area,
   FROM areas a LEFT JOIN name_replies r ON r.theme_id = a.theme_id)
  SELECT theme_id AS id, CASE WHEN span IS NULL THEN concat(upper(substring(area, 1, 1)), lower(substring(area, 2)), ' issues')
    ELSE substring(coalesce(json_extract_string(span, '$.name'), 'Unnamed'), 1, 60) END AS name,
-  CASE WHEN span IS NULL THEN {text(themes.FALLBACK_SUMMARY)} ELSE substring(coalesce(json_extract_string(span, '$.summary'), ''), 1, 200) END AS summary FROM named"""
+  CASE WHEN span IS NULL THEN {text(UNNAMED_SUMMARY)} ELSE substring(coalesce(json_extract_string(span, '$.summary'), ''), 1, 200) END AS summary FROM named"""
 ORACLES["theme_sample_text"] = """SELECT theme_id, string_agg(concat('- ', substring(body, 1, 160)), chr(10) ORDER BY id) AS sample FROM (
  SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY id) AS nth FROM feedback_items WHERE theme_id IS NOT NULL) r WHERE nth <= 12 GROUP BY theme_id"""
 FLAT = """flat AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
@@ -325,9 +343,9 @@ def report(drafts: str, key: str, judged: str) -> str:
     line = "concat(chr(10), '- **[#', CAST(id AS VARCHAR), ']** (', fb_type, ', sev ', CAST(severity AS VARCHAR), '): \"', substring(body, 1, 280), '\"')"
     return f"""WITH {judged}, parts AS (SELECT doc, {COUNTS}, {flagged} AS flagged,
   coalesce(string_agg({line}, '' ORDER BY id) FILTER (WHERE id IS NOT NULL), '') AS evidence FROM judged GROUP BY doc)
- SELECT d.{key}, concat({strip('d.markdown')}, chr(10), {text(citations.REPORT_HEAD)}, chr(10), {text(citations.REPORT_FOUND)}, CAST(n_cited AS VARCHAR), '**', chr(10),
-  {text(citations.REPORT_VALID)}, CAST(n_valid AS VARCHAR), '**', chr(10), {text(citations.REPORT_HALLUCINATED)}, CAST(n_hallucinated AS VARCHAR), '**',
-  CASE WHEN flagged IS NULL THEN ' - none' ELSE concat(' - flagged: [', flagged, ']') END, chr(10), {text(citations.EVIDENCE_HEAD)}, evidence, chr(10)) AS markdown
+ SELECT d.{key}, concat({strip('d.markdown')}, chr(10), {text(REPORT_HEAD)}, chr(10), {text(REPORT_FOUND)}, CAST(n_cited AS VARCHAR), '**', chr(10),
+  {text(REPORT_VALID)}, CAST(n_valid AS VARCHAR), '**', chr(10), {text(REPORT_HALLUCINATED)}, CAST(n_hallucinated AS VARCHAR), '**',
+  CASE WHEN flagged IS NULL THEN ' - none' ELSE concat(' - flagged: [', flagged, ']') END, chr(10), {text(EVIDENCE_HEAD)}, evidence, chr(10)) AS markdown
  FROM {drafts} d JOIN parts p ON p.doc = d.{key}"""
 
 
