@@ -5,7 +5,8 @@ document's language is the one with the largest sum of word probabilities, its s
 crc32(doc_id as text) leaves 2 when divided by 4 are held out of learning. Only the text is an input of a prediction.
 
 Sample: ``PER_LANGUAGE`` documents of each language, those of smallest hashed id, and from each a window of ``WINDOW``
-characters at a hashed place. A model of ``FEATURES`` x labels weights goes to the executors; nothing is shuffled to predict.
+characters at a hashed place; of more than ``MOST_LANGUAGES`` language values those with most rows are learned. A model of
+``FEATURES`` x labels weights goes to the executors; nothing is shuffled to predict.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where nothing was learned; rows without an id are
 predicted, never learned from, and not held out; ties go to the first language in order; repeated rows are alike; an empty
@@ -28,6 +29,7 @@ from roadsift.session import written
 
 PER_LANGUAGE = 200
 WINDOW = 2_000
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: A document whose best language has a smaller share of its words is rejected by ``recognised``.
 LEAST_SCORE = 0.3
@@ -43,7 +45,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, window: int = WIND
     rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id")))
     rows = rows.withColumn("drawn", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
     # Rows beyond a generous threshold are dropped before ranking, so that no task ranks a whole language.
-    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    counts = written(counts.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES))
     likely = rows.join(counts, "lang").filter(F.col("drawn") < F.lit(3.0 * per_language) / F.col("rows"))
     place = 1 + F.floor(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) * F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int")
     cut = likely.select("lang", "drawn", "doc_id", F.substring(F.col("text"), place, F.lit(window)).alias("text"))
