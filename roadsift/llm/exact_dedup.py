@@ -58,7 +58,8 @@ def deduplicated(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colu
     body = lowered(docs["text"])
     rows = whole_rows(docs, doc_id=docs["doc_id"], hash=digest(body), text_sha256=F.sha2(body, 256))
     judged = _judged(docs, keep, digest).filter(~F.col("stays") | (F.col("copies") > 1))
-    settled = written(judged.select("doc_id", "hash", "text_sha256", "stays"))
+    # Grows with the input, so it is joined by one plan at every size: shuffled, and hashed rather than the texts sorted.
+    settled = written(judged.select("doc_id", "hash", "text_sha256", "stays")).hint("shuffle_hash")
 
     def same(left: DataFrame, right: DataFrame) -> Column:
         return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["hash"] == right["hash"]) & (left["text_sha256"] == right["text_sha256"])
