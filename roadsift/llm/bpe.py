@@ -31,9 +31,9 @@ from roadsift.llm.batches import bounded
 from roadsift.llm.texts import utf8
 
 #: States, pairs and pieces remembered per task before the tables start anew.
-MOST_STATES = 100_000
+MOST_STATES = 150_000
 MOST_PAIRS = 300_000
-MOST_PIECES = 100_000
+MOST_PIECES = 200_000
 #: Pieces or ids of a text that are handled at a time.
 GROUP = 65_536
 #: A vocabulary is shipped to every executor; larger files are refused.
