@@ -138,7 +138,9 @@ def maintained(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tokenizer = F.explode(F.array(*map(F.lit, VERSIONS))).alias("tokenizer")
     gone = toxic.select("doc_id", none.alias("source"), none.alias("lang"), tokenizer, F.lit(0).alias("tokens"), F.lit("delete").alias("operation"))
     apply_batch(spark, folder, "toxic", gone)
-    cleaned = docs.join(marks.filter("quality = 0").select("doc_id"), "doc_id").withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\x20\x09-\x0D]+", " "))
-    apply_batch(spark, folder, "cleaned", counted(cleaned).withColumn("operation", F.lit("revise")))
+    # Counted before they are picked: the counts are shuffled, not the texts.
+    cleaned = counted(docs.withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\x20\x09-\x0D]+", " ")))
+    low = marks.filter("quality = 0").select("doc_id")
+    apply_batch(spark, folder, "cleaned", cleaned.join(low, "doc_id").withColumn("operation", F.lit("revise")))
     apply_batch(spark, folder, "toxic", gone)
     return totals(spark, folder)
