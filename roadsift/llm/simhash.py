@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadsift.llm.texts import utf8, whole_rows
+from roadsift.llm.texts import text_key, utf8, whole_rows
 from roadsift.session import written
 
 SHINGLE = 3
@@ -72,14 +72,15 @@ def _signed(values) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.fromiter((fingerprint(text.as_py()) for text in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_signed(values))], names=["doc_id", "fp"])
+        others = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(_signed(values))], names=[*others, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint's 64 bits as a long, per row; reads whole texts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(docs["doc_id"].alias("doc_id"), utf8(docs["text"]).alias("text"))
-    return texts.mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp bigint")
+def fingerprints(docs: DataFrame, **computed: Column) -> DataFrame:
+    """doc_id, computed columns and ``fp``, the fingerprint's 64 bits as a long, per row; reads whole texts."""
+    own = docs.select(docs["doc_id"].alias("doc_id"), *(column.alias(name) for name, column in computed.items()))
+    texts = docs.select(docs["doc_id"].alias("doc_id"), *(column.alias(name) for name, column in computed.items()), utf8(docs["text"]).alias("text"))
+    return texts.mapInArrow(_fingerprint_batches, ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in own.schema) + ", fp bigint")
 
 
 # Vantage-point trees
@@ -249,20 +250,45 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (its smallest doc_id)."""
     narrow = written(fingerprints(docs))
-    distinct = written(narrow.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(shard_links(distinct, radius, sample, shard))
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(narrow, radius, sample, shard)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return narrow.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(narrow: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint with its smallest doc_id and its component."""
+    distinct = written(narrow.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(shard_links(distinct, radius, sample, shard))
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def thinned(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+    """One row of ``docs`` for each component, with all its columns; see ``one_of_each``."""
+    narrow = written(fingerprints(docs, key=text_key(docs["text"])))
+    return one_of_each(docs, narrow.join(_rooted(narrow).select("fp", "root"), "fp").select("doc_id", "key", "root"))
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The first row of each group; ``grouped`` has doc_id, ``key`` (the text's) and ``root`` (the group) per row of ``docs``.
 
-    Rows without an id stay only where no row of the component has one. Repeated rows of the kept id all stay: removing
-    them is the exact deduplication's work, which needs their texts.
+    First is the smallest id, rows without an id last, then the smallest hash of the text, so each row is judged by its
+    own id and text. Where that row is given several times and differs in other columns, the first by its JSON form stays.
     """
-    dropped = written(near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    rows = whole_rows(docs, doc_id=docs["doc_id"])
-    return rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti").select("row.*")
+    names = ["doc_id", "key", "root"]
+    pairs = grouped.groupBy(names).agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key"))
+    judged = pairs.join(grouped.groupBy("root").agg(first.alias("first")), "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    settled = written(judged.select("doc_id", "key", stays.alias("stays"), "copies").filter("NOT stays OR copies > 1")).hint("shuffle_hash")
+    rows = whole_rows(docs, doc_id=docs["doc_id"], key=text_key(docs["text"]))
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"])
+
+    plain = rows.join(settled, same(rows, settled), "left_anti").select("row.*")
+    twice = settled.filter("stays")
+    if twice.isEmpty():
+        return plain
+    repeated = rows.join(twice, same(rows, twice), "left_semi").groupBy("doc_id", "key")
+    return plain.union(repeated.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

@@ -18,6 +18,11 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for the text as it is; null counts as empty."""
+    return F.unhex(F.md5(utf8(text)))
+
+
 def words(text: Column) -> Column:
     """How many words the text has."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

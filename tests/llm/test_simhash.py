@@ -117,3 +117,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.schema == odd_docs.schema
     assert sorted(row["doc_id"] for row in kept.collect()) == [1, 3, 6, 8, 10, 11, 12, 13]
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.thinned(no_docs).collect() == []
+
+
+def test_thinning_judges_each_row_by_its_own_id_and_text(make_docs):
+    docs = make_docs(
+        (1, "one two three four"), (None, "ONE two three four"), (None, "alone without an id"), (None, "only nulls here now"), (None, "ONLY nulls here now"),
+        (7, "a repeated id with its first text"), (7, "quite another text stands below seven"), (3, "A repeated id with its first text"), (8, "given twice"), (8, "given twice"),
+    )
+    kept = simhash.thinned(docs).collect()
+    assert sorted((row["doc_id"] or 0, row["text"].lower()) for row in kept) == [
+        (0, "alone without an id"), (0, "only nulls here now"), (1, "one two three four"), (3, "a repeated id with its first text"),
+        (7, "quite another text stands below seven"), (8, "given twice"),
+    ]
