@@ -8,8 +8,9 @@ texts have equal fingerprints.
 
 Scale: signatures are made where the texts are, in blocks of bounded memory. The neighbour in id order comes from a range
 partition of the rows, walked in order by each task with only the previous row in hand; a range's last row meets the
-next range's first, which is sent along. Bands are joined in Spark through one representative per bucket, so a bucket
-with very many documents gives as many rows, not pairs.
+next range's first, which is sent along. Bands are joined in Spark over distinct texts. A bucket of few texts gives its pairs;
+one with very many, such as those that share a passage, gives two pairs for each text, and those of its texts that are not yet
+linked go on into smaller buckets until each is linked or told apart.
 """
 
 import hashlib
@@ -19,11 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadsift.llm.batches import bounded
-from roadsift.llm.texts import utf8
+from roadsift.llm.simhash import components, one_of_each
+from roadsift.llm.texts import text_key, utf8
 from roadsift.session import written
 
 SHINGLE = 5
@@ -32,6 +34,13 @@ SEED = 20240229
 #: Bands of the signature; with 4 rows a pair of similarity 0.8 meets in one of 32 with probability 1 - 5e-8.
 BANDS = 32
 SIMILARITY = 0.8
+#: A bucket of at most so many texts is compared pair by pair; a larger one is split by so many further signature rows, in
+#: so many ways for each text: a pair of similarity 0.8 meets again in one of the ways with probability 0.985.
+WHOLE, FURTHER, WAYS = 32, 4, 8
+#: Pairs whose signatures agree in a smaller share are not looked at: 0.2 below the similarity, or 5.6 standard errors.
+LIKELY = 0.6
+#: Steps of such splitting before what is left is compared pair by pair at any size.
+DEPTH = 3
 #: Shingles permuted at a time, so that the block stays in the processor's cache.
 BLOCK = 1024
 
@@ -152,45 +161,121 @@ def _compared(doc_id, text: str, sign: np.ndarray, following: str, following_sig
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, "text"):
-        signs = [signature(shingle_hashes(text.as_py().decode())).astype(">u4").tobytes() for text in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signs, pa.binary())], names=["doc_id", "sign"])
+        words, signs = [], []
+        for value in batch.column("text"):
+            text = value.as_py().decode()
+            words.append(hashlib.md5(" ".join(text.lower().split()).encode()).digest())
+            signs.append(signature(shingle_hashes(text)).astype(">u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(words, pa.binary()), pa.array(signs, pa.binary())], names=["key", "words", "sign"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id and ``sign``, the signature's bytes, per row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"].alias("doc_id"), utf8(docs["text"]).alias("text")).mapInArrow(_signature_batches, f"doc_id {kind}, sign binary")
+    """``key`` of the text, ``words`` (a hash of its words) and ``sign``, the signature's bytes, per row."""
+    return docs.select(text_key(docs["text"]).alias("key"), utf8(docs["text"]).alias("text")).mapInArrow(_signature_batches, "key binary, words binary, sign binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """(doc_id, other_id, jaccard): links of documents to smaller ids, verified on their shingles.
+def _buckets(level: int, bands: int) -> Column:
+    """The buckets a text enters: the bands' at level 0, below that those of further signature rows."""
+    if level == 0:
+        width = PERMUTATIONS // bands
+        rows = [range(at * width, (at + 1) * width) for at in range(bands)]
+    else:
+        draw = np.random.default_rng((SEED, level))
+        rows = [draw.choice(PERMUTATIONS, FURTHER, replace=False) for _ in range(WAYS)]
+    values = [[F.substring("sign", 4 * int(at) + 1, 4) for at in some] for some in rows]
+    return F.array(*(F.xxhash64("bucket", F.lit(at), *some) for at, some in enumerate(values)))
 
-    Documents of equal signature are compared through the one of smallest id. In each band's bucket every document
-    meets the bucket's smallest id and one drawn by hash, a different one in each band, and is linked to them if their true
-    Jaccard similarity reaches ``similarity``. Rows without an id take no part; texts without shingles are alike.
-    """
-    width = 4 * PERMUTATIONS // bands
-    by_id, by_hash = F.col("doc_id"), F.xxhash64("doc_id", "band")
-    signed = written(signatures(docs.filter(docs["doc_id"].isNotNull())))
-    same = signed.groupBy("sign").agg(F.min("doc_id").alias("doc_id"))
-    banded = same.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda at: F.xxhash64(F.substring("sign", at * width + 1, F.lit(width))))).alias("band", "key"))
-    bucket = banded.groupBy("band", "key").agg(F.min(by_id).alias("least"), F.min(F.struct(by_hash.alias("hash"), "doc_id")).alias("drawn"))
-    met = banded.join(bucket, ["band", "key"]).select("doc_id", F.explode(F.array("least", "drawn.doc_id")).alias("with"))
-    first = met.select(F.greatest("doc_id", "with").alias("doc_id"), F.least("doc_id", "with").alias("other_id"))
-    twins = signed.join(same.withColumnRenamed("doc_id", "other_id"), "sign").select("doc_id", "other_id")
-    pairs = written(first.union(twins).filter("other_id < doc_id").distinct())
-    texts = docs.select(docs["doc_id"].alias("id"), utf8(docs["text"]).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-    left = texts.select(F.col("id").alias("doc_id"), "text")
-    right = texts.select(F.col("id").alias("other_id"), F.col("text").alias("other_text"))
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for name in ("sign", "other_sign"))
+        yield batch.select(["key", "other"]).filter(pa.array((left == right).sum(axis=1) >= LIKELY * PERMUTATIONS))
+
+
+def _verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(key, other, jaccard) of the pairs whose true similarity reaches ``similarity``; texts are read for likely pairs only."""
+    signs = distinct.select("key", "sign")
+    signed = pairs.join(signs, "key").join(signs.select(F.col("key").alias("other"), F.col("sign").alias("other_sign")), "other")
+    pairs = written(signed.select("key", "other", "sign", "other_sign").mapInArrow(_likely, "key binary, other binary"))
+    needed = pairs.select("key").union(pairs.select("other")).distinct()
+    named = docs.select(text_key(docs["text"]).alias("key"), utf8(docs["text"]).alias("text"))
+    texts = written(named.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(bounded(batches, "text"), "other_text"):
             scores = [jaccard(a.as_py().decode(), b.as_py().decode()) for a, b in zip(batch.column("text"), batch.column("other_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("other_id"), pa.array(scores, pa.float64())], names=["doc_id", "other_id", "jaccard"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other"), pa.array(scores, pa.float64())], names=["key", "other", "jaccard"])
+
+    right = texts.select(F.col("key").alias("other"), F.col("text").alias("other_text"))
+    both = pairs.join(texts, "key").join(right, "other").select("key", "other", "text", "other_text")
+    return both.mapInArrow(verified, "key binary, other binary, jaccard double").filter(F.col("jaccard") >= similarity)
+
 
+def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """(key, other, jaccard): links between distinct texts, ``signed`` being their written signatures.
+
+    Texts of equal words are linked to the one of least key, which alone goes on. In a bucket of at most ``WHOLE`` texts
+    all pairs are verified. In a larger one each text is verified against two representatives, the least and one drawn by
+    hash; those linked to one of them leave it, and the others are dealt by further signature rows into smaller
+    buckets, ``WAYS`` for each text. What is still too large after ``DEPTH`` such steps is compared pair by pair.
+    """
+    distinct = written(signed.groupBy("words").agg(F.min("key").alias("key"), F.first("sign").alias("sign")))
+    twins = signed.select("words", F.col("key").alias("own")).join(distinct.select("words", F.col("key").alias("other")), "words")
+    found = written(twins.filter("own <> other").select(F.col("own").alias("key"), "other", F.lit(1.0).alias("jaccard")).distinct())
+    entered = distinct.withColumn("bucket", F.lit(0).cast("long"))
+    for level in range(DEPTH + 1):
+        members = entered.select("key", F.explode(_buckets(level, bands)).alias("bucket"))
+        by_hash = F.struct(F.xxhash64("key", "bucket").alias("hash"), "key")
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("least"), F.min(by_hash).alias("drawn"))
+        shared = written(members.join(sizes.filter("size > 1"), "bucket").select("key", "bucket", "size", "least", F.col("drawn.key").alias("drawn")))
+        if shared.isEmpty():
+            break
+        listed = shared.filter(F.col("size") <= WHOLE).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        placed = listed.select("keys", F.posexplode("keys").alias("at", "other"))
+        small = placed.select(F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("key"), "other")
+        large = shared.filter(F.col("size") > WHOLE)
+        met = large.select("key", "bucket", F.explode(F.array("least", "drawn")).alias("with")).filter("key <> with")
+        met = met.select("key", "bucket", F.greatest("key", "with").alias("a"), F.least("key", "with").alias("b"))
+        new = written(_verified(docs, distinct, small.union(met.select("a", "b")).distinct(), similarity))
+        found = found.union(new)
+        if large.isEmpty():
+            break
+        settled = met.join(new.select(F.col("key").alias("a"), F.col("other").alias("b")), ["a", "b"]).select("key", "bucket")
+        representatives = large.filter("key = least OR key = drawn").select("key", "bucket")
+        left = written(large.select("key", "bucket").join(settled.union(representatives).distinct(), ["key", "bucket"], "left_anti"))
+        if left.isEmpty():
+            break
+        if level == DEPTH:
+            others = left.select(F.col("key").alias("other"), "bucket")
+            found = found.union(written(_verified(docs, distinct, left.join(others, "bucket").filter("other < key").select("key", "other").distinct(), similarity)))
+        entered = left.join(distinct.select("key", "sign"), "key")
+    return found.distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """(doc_id, other_id, jaccard): links of documents to smaller ids, verified on their shingles; see ``links``.
+
+    Rows without an id take no part; texts without shingles are alike. Rows of equal texts are linked to the smallest id.
+    """
+    owned = docs.filter(docs["doc_id"].isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = pairs.join(left, "doc_id").join(right, "other_id").select("doc_id", "other_id", "text", "other_text")
-    return both.mapInArrow(verified, f"doc_id {kind}, other_id {kind}, jaccard double").filter(F.col("jaccard") >= similarity)
+    found = links(owned, written(signatures(owned).dropDuplicates(["key"])), similarity, bands)
+    ids = written(owned.select(text_key(owned["text"]).alias("key"), owned["doc_id"].alias("id")).distinct())
+    least = ids.groupBy("key").agg(F.min("id").alias("least"))
+    a, b = least.select("key", F.col("least").alias("x")), least.select(F.col("key").alias("other"), F.col("least").alias("y"))
+    between = found.join(a, "key").join(b, "other").select(F.greatest("x", "y").alias("doc_id"), F.least("x", "y").alias("other_id"), "jaccard")
+    within = ids.join(least, "key").select(F.col("id").alias("doc_id"), F.col("least").alias("other_id"), F.lit(1.0).alias("jaccard"))
+    both = between.union(within).filter("other_id < doc_id").groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard"))
+    return both.select(F.col("doc_id").cast(kind).alias("doc_id"), "other_id", "jaccard")
+
+
+def thinned(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """One row of ``docs`` for each group of linked texts, with all its columns; see ``simhash.one_of_each``."""
+    signed = written(signatures(docs).dropDuplicates(["key"]))
+    found = links(docs, signed, similarity, bands)
+    roots = components(found.select(F.col("key").alias("fp"), "other")).select(F.col("fp").alias("key"), "root")
+    grouped = docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key")).join(roots, "key", "left")
+    return one_of_each(docs, written(grouped.select("doc_id", "key", F.coalesce("root", "key").alias("root"))))
 
 
 def jaccard(left: str, right: str) -> float:

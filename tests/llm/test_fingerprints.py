@@ -91,3 +91,23 @@ def test_near_duplicates_are_true_and_found(make_docs):
     for row in sorted(links, key=lambda row: row["doc_id"]):
         root[row["doc_id"]] = min(root.get(row["doc_id"], row["doc_id"]), root.get(row["other_id"], row["other_id"]))
     assert all(root.get(at, at) == at // 4 * 4 for at in range(100)) and root[200] == 0 and root[202] == 201
+
+
+def test_a_passage_that_many_share_hides_no_copies(make_docs):
+    rows, want = [], set()
+    for group in range(4):
+        passage = [f"g{group}p{at}" for at in range(200)]
+        rows += [(1000 * group + at, " ".join([*passage, *(f"g{group}d{at}w{n}" for n in range(55))])) for at in range(250)]
+        a, b = 10**9 + 2 * group, 10**9 + 2 * group + 1  # alike in every band, as the other holders of the passage are in many
+        rows += [(at, " ".join([*passage, f"copy{at}"])) for at in (a, b)]
+        want.add((b, a))
+    assert {(row["doc_id"], row["other_id"]) for row in fingerprints.near_duplicates(make_docs(*rows)).collect()} == want
+
+
+def test_thinning_keeps_one_of_edited_copies(make_docs):
+    words = [f"w{at}" for at in range(120)]
+    edited = " ".join([*words[:40], "other", *words[41:]])
+    docs = make_docs((4, edited), (2, " ".join(words)), (None, " ".join(words) + " more"), (None, "no copy of any"), (9, "no copy at all"), (9, "a text of its own"))
+    kept = fingerprints.thinned(docs).collect()
+    assert sorted((row["doc_id"] or 0, row["text"]) for row in kept) == [(0, "no copy of any"), (2, " ".join(words)), (9, "a text of its own"), (9, "no copy at all")]
+    assert kept[0].asDict().keys() == set(docs.columns)
