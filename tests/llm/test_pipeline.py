@@ -9,7 +9,7 @@ from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
 from checks.compare import canonical, types
-from roadsift.llm import bpe, crf, language, queries
+from roadsift.llm import bpe, crf, fingerprints, language, queries
 from roadsift.llm.sql import ORACLES
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -66,3 +66,14 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_near_stage_removes_edited_copies(spark):
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    kept = corpus_pipeline.near(spark, corpus_pipeline.exact(spark, docs, DIRECTORY), DIRECTORY)
+    texts = {row["doc_id"]: row["text"] for row in docs.collect()}
+    ids = sorted(row["doc_id"] for row in kept.collect())
+    shingles = {doc_id: set(fingerprints.shingle_hashes(texts[doc_id]).tolist()) for doc_id in texts}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    assert not any(alike(a, b) for a in ids for b in ids if a < b)
+    assert all(any(alike(a, b) for b in ids if b < a) for a in set(texts) - set(ids))
