@@ -263,10 +263,10 @@ def _rooted(narrow: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard
     return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def thinned(docs: DataFrame) -> DataFrame:
+def thinned(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns; see ``one_of_each``."""
     narrow = written(fingerprints(docs, key=text_key(docs["text"])))
-    return one_of_each(docs, narrow.join(_rooted(narrow).select("fp", "root"), "fp").select("doc_id", "key", "root"))
+    return one_of_each(docs, narrow.join(_rooted(narrow, radius).select("fp", "root"), "fp").select("doc_id", "key", "root"))
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
