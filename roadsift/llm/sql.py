@@ -85,4 +85,24 @@ ORACLES = {
             UNION ALL
             SELECT source, lang, 'pieces-1', len(regexp_extract_all(body, '\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+')) FROM bodies)
         SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL""",
+    "op13_fill_in_middle": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+                   list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), i::INT, 8))::BIGINT) AS h
+            FROM documents),
+        cut AS (
+            SELECT *, len(units)::BIGINT AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+                   greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+                   CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM units),
+        pieces AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+            FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM pieces""",
 }

@@ -1,15 +1,15 @@
 import zlib
+from collections import Counter
 
 import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
-from test_mixing import plain_targets
 from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
 from checks.compare import canonical, types
-from roadsift.llm import bpe, crf, fingerprints, language, queries
+from roadsift.llm import bpe, crf, language, queries
 from roadsift.llm.sql import ORACLES
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -32,18 +32,19 @@ def test_run_equals_brute_force(spark):
         group = least[marks[row["doc_id"]]]
         stays[group] = min(stays.get(group, row["doc_id"]), row["doc_id"])
     left = {row["doc_id"]: row for row in first.values() if row["doc_id"] in set(stays.values())}
+    kept = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, DIRECTORY)
+    assert sorted(row["doc_id"] for row in kept.collect()) == sorted(left)
+    connection = duckdb.connect()
+    connection.register("documents", kept.toArrow())
+    copies = connection.sql(f"SELECT doc_id, CASE WHEN size > 0 THEN taken // size END FROM ({ORACLES['op3_source_mixing']})").fetchall()
     got = corpus_pipeline.run(spark, DIRECTORY).collect()
-    assert {row["doc_id"] for row in got} <= set(left)
+    often = Counter(row["doc_id"] for row in got)
+    assert all(often[doc_id] == n for doc_id, n in copies if n is not None) and set(often) <= set(left)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY)), special_tokens={})
     for row in got:
         assert list(memoryview(row["token_ids"]).cast("I")) == library.encode_ordinary(left[row["doc_id"]]["text"]) and row["n_tokens"] == len(row["token_ids"]) // 4
-    sizes: dict = {}
-    for row in left.values():
-        sizes[row["source"]] = sizes.get(row["source"], 0) + len(row["text"].split())
-    longest = max(len(row["text"].split()) for row in left.values())
-    for source, target in plain_targets(sizes).items():
-        taken = sum(len(left[row["doc_id"]]["text"].split()) for row in got if row["source"] == source)
-        assert abs(taken - target) <= longest / 2
 
 
 def test_stages_hand_documents_on(odd_docs, spark, no_docs):
@@ -65,15 +66,4 @@ def test_query_agrees_with_its_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
-
-
-def test_near_stage_removes_edited_copies(spark):
-    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
-    kept = corpus_pipeline.near(spark, corpus_pipeline.exact(spark, docs, DIRECTORY), DIRECTORY)
-    texts = {row["doc_id"]: row["text"] for row in docs.collect()}
-    ids = sorted(row["doc_id"] for row in kept.collect())
-    shingles = {doc_id: set(fingerprints.shingle_hashes(texts[doc_id]).tolist()) for doc_id in texts}
-    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
-    assert not any(alike(a, b) for a in ids for b in ids if a < b)
-    assert all(any(alike(a, b) for b in ids if b < a) for a in set(texts) - set(ids))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
