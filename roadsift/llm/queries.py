@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, exact_dedup, fingerprints, infilling, language, licenses, mixing, simhash, token_rollups, url_filter, warc
+from roadsift.llm import bpe, divergence, exact_dedup, fingerprints, infilling, language, licenses, mixing, simhash, token_rollups, url_filter, warc
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op9_license_scan(spark, directory):
 @query
 def op13_fill_in_middle(spark, directory):
     return infilling.digests(_table(spark, directory, "documents"))
+
+
+@query
+def op12_source_divergence(spark, directory):
+    return divergence.audit(_table(spark, directory, "documents"))

@@ -105,4 +105,31 @@ ORACLES = {
                       ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(body) AS restored_sha256
         FROM pieces""",
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        occurrences AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+        vocabulary AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        held AS (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+        languages AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY lang),
+        totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN held USING (lang, source) GROUP BY ALL),
+        shares AS (
+            SELECT lang, source, term, coalesce(h.n, 0) AS n, 1 + (1000000000 * (coalesce(h.n, 0) + 5)::HUGEINT) // (t.total + 5 * l.v) AS p
+            FROM totals t JOIN languages l USING (lang) JOIN vocabulary USING (lang) LEFT JOIN held h USING (lang, source, term)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(p.p - q.p)), 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN shares p ON p.lang = a.lang AND p.source = a.source
+            LEFT JOIN shares q ON q.lang = b.lang AND q.source = b.source AND q.term = p.term
+            GROUP BY ALL),
+        own AS (
+            SELECT lang, source, term AS item, p - (1 + (1000000000 * (v.n + 5)::HUGEINT) // (l.total + 5 * l.v)) AS value
+            FROM shares s JOIN vocabulary v USING (lang, term) JOIN languages l USING (lang) WHERE s.n > 0),
+        parts AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM own WHERE value > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
