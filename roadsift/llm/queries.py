@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadsift.llm import bpe, divergence, exact_dedup, fingerprints, infilling, language, licenses, mixing, simhash, token_rollups, url_filter, warc
+from roadsift.llm import bpe, divergence, exact_dedup, fingerprints, infilling, language, licenses, mixing, packing, simhash, token_rollups, url_filter, warc
 from roadsift.llm.sql import ORACLES  # noqa: F401  for the driver contract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKING_VOCABULARY = "byte_bpe_50k.json"
 
 
 @query
@@ -84,6 +85,11 @@ def op13_fill_in_middle(spark, directory):
     return infilling.digests(_table(spark, directory, "documents"))
 
 
+@query
+def op11_best_fit_packing(spark, directory):
+    return packing.layout(_table(spark, directory, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
+
+
 @query
 def op12_source_divergence(spark, directory):
     return divergence.audit(_table(spark, directory, "documents"))
