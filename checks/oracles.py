@@ -404,9 +404,49 @@ ORACLES["theme_run"] = ORACLES["theme_restart"] = f"""WITH {KEPT}, typed AS (SEL
  counted AS (SELECT count(*) AS n FROM typed WHERE fb_type <> 'praise')
  SELECT source, external_id, fb_type, fb_type <> 'praise' AS themed,
   CAST(greatest(4, least(8, round_even(n / 18.0::DOUBLE, 0))) AS INT) AS themes, CAST(n AS INT) AS reach FROM typed CROSS JOIN counted"""
-ORACLES["kmeans_themes"] = """SELECT count(*) AS items, count(DISTINCT vec_id) AS distinct_items,
- CAST(greatest(4, least(8, round_even(count(*) / 18.0::DOUBLE, 0))) AS BIGINT) AS clusters, true AS repeat_is_close, true AS no_start_is_cheaper
- FROM embeddings WHERE list_dot_product(embedding, embedding) > 0"""
+
+
+def _mixed(x: str) -> str:
+    """splitmix64 of an unsigned 64-bit expression; products are taken in 128 bits."""
+    word = "18446744073709551616::UHUGEINT"
+    z = f"(({x})::UHUGEINT + 11400714819323198485::UHUGEINT) % {word}"
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        z = f"(xor(({z})::UBIGINT, ({z})::UBIGINT >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {word}"
+    return f"xor(({z})::UBIGINT, ({z})::UBIGINT >> 31)"
+
+
+def kmeans_sql(k: int = 8, seeds: range = range(42, 52), steps: int = 20) -> str:
+    """k-means in SQL: a race of hashed draws for each further centre, then a chain of Lloyd steps on whole numbers."""
+    apart = "(list_inner_product({0}, {0}) + list_inner_product({1}, {1}) - 2 * list_inner_product({0}, {1}))"
+    draws = ", ".join(f"({seed}::BIGINT, {number}, {(seed << 32) + number}::UBIGINT)" for seed in seeds for number in range(k))
+    parts = [
+        "p AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda v: floor(v::DOUBLE * 16777216 + 0.5)) AS x FROM embeddings)",
+        f"salts AS MATERIALIZED (SELECT seed, number, {_mixed('salt')} AS salt FROM (VALUES {draws}) t(seed, number, salt))",
+        f"mixed_ids AS MATERIALIZED (SELECT id, {_mixed('id::UBIGINT')} AS m FROM p)",
+        "salted AS MATERIALIZED (SELECT seed, number, id, xor(m, salt) AS s FROM mixed_ids, salts)",
+        f"draws AS MATERIALIZED (SELECT seed, number, id, -ln((({_mixed('s')} >> 11)::DOUBLE + 0.5) / 9007199254740992.0::DOUBLE) AS t FROM salted)",
+        "w0 AS MATERIALIZED (SELECT seed, arg_min(x, t) AS x FROM p JOIN draws USING (id) WHERE number = 0 GROUP BY seed)",
+        f"d0 AS MATERIALIZED (SELECT seed, id, p.x, {apart.format('p.x', 'w0.x')} AS d FROM p, w0)",
+    ]
+    for at in range(1, k):
+        parts += [
+            f"w{at} AS MATERIALIZED (SELECT seed, arg_min(x, t / d) AS x FROM d{at - 1} JOIN draws USING (seed, id) WHERE number = {at} AND d > 0 GROUP BY seed)",
+            f"d{at} AS MATERIALIZED (SELECT seed, id, o.x, least(o.d, {apart.format('o.x', f'w{at}.x')}) AS d FROM d{at - 1} o JOIN w{at} USING (seed))",
+        ]
+    parts.append("m0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT seed, {at} AS c, x FROM w{at}" for at in range(k)) + ")")
+    for step in range(steps + 1):
+        nearest = f"min(struct_pack(d := {apart.format('p.x', f'm{step}.x')}, c := c))"
+        parts.append(f"a{step} AS MATERIALIZED (SELECT seed, id, any_value(p.x) AS x, {nearest} AS best FROM p, m{step} GROUP BY seed, id)")
+        if step < steps:
+            sums = f"SELECT seed, c, place, floor((2 * sum(v) + count(*)) / (2 * count(*))) AS v FROM (SELECT seed, best.c AS c, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM a{step}) GROUP BY seed, c, place"
+            moved = f"SELECT seed, c, list(v ORDER BY place) AS x FROM ({sums}) GROUP BY seed, c"
+            kept = f"SELECT seed, c, x FROM m{step} ANTI JOIN (SELECT DISTINCT seed, best.c AS c FROM a{step}) USING (seed, c)"
+            parts.append(f"m{step + 1} AS MATERIALIZED ({moved} UNION ALL {kept})")
+    parts.append(f"costs AS (SELECT seed, sum(best.d::HUGEINT) AS cost FROM a{steps} GROUP BY seed ORDER BY cost, seed LIMIT 1)")
+    return f"WITH {', '.join(parts)} SELECT id, best.c::INTEGER AS cluster, seed AS start, cost::VARCHAR AS cost FROM a{steps} JOIN costs USING (seed)"
+
+
+ORACLES["kmeans_themes"] = kmeans_sql()
 ORACLES["script_vectors"] = "SELECT id, CAST(1.0 AS DOUBLE) AS squared_length FROM plain_items WHERE body <> ''"
 ORACLES["overlong_citations"] = """SELECT id, concat(CAST(id AS VARCHAR), ',', least_one, ',', most) AS cited, CAST(id AS VARCHAR) AS valid,
  concat(least_one, ',', most) AS hallucinated FROM (

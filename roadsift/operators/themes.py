@@ -2,13 +2,10 @@
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,6 +19,7 @@ from roadsift.functions.keys import body_hash
 from roadsift.functions.numbers import theme_count
 from roadsift.functions.replies import with_record
 from roadsift.functions.text import cut, or_default, ordered_lines, title_words
+from roadsift.operators import kmeans
 from roadsift.operators.ranking import attach, top_per_group
 from roadsift.schemas import NAMING_SAMPLE_CHARS, NAMING_SAMPLE_SIZE
 from roadsift.session import written
@@ -115,30 +113,19 @@ def cluster(
     seeds: Iterable[int] = SEEDS,
     min_size: int = 0,
     max_iter: int = 20,
-    parallelism: int = 10,
 ) -> DataFrame:
-    """(id, cluster, features): the cheapest of one k-means fit per seed, several of them at a time.
+    """(id, cluster, features): the cheapest of one k-means run per seed; equal vectors give equal clusters on any layout.
 
-    Vectors are written down once, laid out by id, which makes a fit repeatable whatever the input's partitioning.
-    ``k`` follows the number of vectors unless given, and never exceeds it. Clusters below ``min_size`` lose their
-    items.
+    Vectors are written down once; all seeds share each pass over them. ``k`` follows the number of vectors unless given,
+    and never exceeds it. Clusters below ``min_size`` lose their items.
     """
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vectors = written(vectors.select("id", "features").repartition(partitions, "id").sortWithinPartitions("id"))
-    laid_out = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        size, wanted = laid_out.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
-        k = min(k or wanted, size)
-        if k < 2:  # none or all in one cluster
-            return vectors.select("id", F.lit(0).alias("cluster"), "features").filter(F.lit(size >= max(1, min_size)))
-        estimator = KMeans(k=k, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
-        fit = inheritable_thread_target(vectors.sparkSession)(lambda seed: estimator.fit(laid_out, {estimator.seed: seed}))
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(fit, seeds)
-        best = min(models, key=lambda model: model.summary.trainingCost)
-    finally:
-        laid_out.unpersist()
-    clustered = best.transform(vectors).select("id", "cluster", "features")
+    flat = written(vectors.select(F.col("id").cast("bigint").alias("id"), vector_to_array("features").alias("features")))
+    size, wanted = flat.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
+    k = min(k or wanted, size)
+    if k < 2:  # none or all in one cluster
+        return vectors.select("id", F.lit(0).alias("cluster"), "features").filter(F.lit(size >= max(1, min_size)))
+    clustered = kmeans.assigned(flat, kmeans.fit(flat, k, list(seeds), max_iter))
+    clustered = clustered.select("id", "cluster", array_to_vector("features").alias("features"))
     if min_size > 1:
         kept = clustered.groupBy("cluster").count().filter(F.col("count") >= min_size).select("cluster")
         small = F.broadcast(kept) if k <= FEW_CLUSTERS else kept

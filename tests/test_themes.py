@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from roadsift.operators import themes
+from roadsift.operators import kmeans, themes
 from roadsift.plans import runs
 from roadsift.session import shared_folder
 from roadsift.sources import tables
@@ -33,6 +33,34 @@ def test_clusters_find_the_groups_and_repeat(vectors):
     assert [len({first[g * 15 + i] for i in range(15)}) for g in range(4)] == [1] * 4 and len(set(first.values())) == 4
 
 
+def test_any_layout_gives_the_same_bits(spark):
+    frame = spark.createDataFrame(blobs(5, 40, 16, 3), "id long, features array<double>")
+    unit = themes.unit_vectors(frame.union(frame.selectExpr("id + 1000", "features")))  # every vector twice
+    models = []
+    for layout in (unit, unit.repartition(7), unit.coalesce(1), unit.orderBy(F.desc("id"))):
+        flat = layout.select("id", vector_to_array("features").alias("features"))
+        models.append(kmeans.fit(flat, 6, [42, 43, 44]))
+    first = models[0]
+    assert all(np.array_equal(model.centers, first.centers) and (model.cost, model.seed) == (first.cost, first.seed) for model in models)
+
+
+def test_starts_are_distinct_points_far_apart(spark):
+    flat = spark.createDataFrame([(i, [float(i // 10), 0.0]) for i in range(40)], "id long, features array<double>")
+    for centers in kmeans.starting_centers(flat, 4, [1, 2, 3]).values():
+        assert sorted(centers[:, 0] / kmeans.GRID) == [0.0, 1.0, 2.0, 3.0]
+    assert len(kmeans.starting_centers(flat, 9, [1])[1]) == 4  # no more points than these
+    many = spark.createDataFrame([(i, [i / 200, 1.0]) for i in range(200)], "id long, features array<double>")
+    assert {len(centers) for centers in kmeans.starting_centers(many, 50, [1, 2]).values()} == {50}
+    with pytest.raises(ValueError):
+        kmeans.fit(spark.createDataFrame([(1, [5.0])], "id long, features array<double>"), 1, [1])
+
+
+def test_draws_are_even_and_differ_by_seed():
+    ids = np.arange(20_000)
+    one, other = kmeans.drawn(ids, 42, 0), kmeans.drawn(ids, 43, 0)
+    assert abs(one.mean() - 0.5) < 0.01 and abs(np.corrcoef(one, other)[0, 1]) < 0.03 and 0 < one.min() and one.max() < 1
+
+
 def test_best_start_is_kept(vectors):
     def cost(frame):
         rows = frame.select("cluster", vector_to_array("features").alias("v")).collect()
