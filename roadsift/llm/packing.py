@@ -45,9 +45,9 @@ GROUPS = 512
 BORDERS = (2, 3, 4, 5, 6, 8)
 #: Rows of the written table that are ranked together.
 BLOCK = 1 << 16
-#: Words whose ids are kept within a task, and characters of a text that are encoded at a time.
-WORDS = 300_000
-PART = 1 << 20
+#: Words of a generation whose ids are kept within a task (two generations are), and characters that are looked up at a time.
+WORDS = 500_000
+PART = 4 << 20
 
 # What byte-level pre-tokenizers take for letters, numbers and white space below U+0250, and their pattern.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -66,7 +66,7 @@ class Encoder:
 
     The library encodes each pre-token on its own, so a word seen before has the same ids again. That is used for texts
     of characters below U+0250, whose classes all versions of Unicode agree on, without added tokens; all others go to the
-    library as they are. Long texts are encoded in parts, cut where a single space stands between letters or digits.
+    library as they are.
     """
 
     def __init__(self, vocabulary: str):
@@ -79,30 +79,53 @@ class Encoder:
         known = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.library.normalizer is None
         self.remembers = known and self.library.post_processor is None
         self.words: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, without special tokens of the library's own accord."""
-        if len(text) <= PART or not self.remembers:
-            return self._part(text)
-        parts, start = [], 0
-        while start < len(text):
-            cut = _BETWEEN.search(text, start + PART)
-            end = cut.start() if cut else len(text)
-            parts.append(self._part(text[start:end]))
-            start = end
-        return np.concatenate(parts)
-
-    def _part(self, text: str) -> np.ndarray:
-        if not self.remembers or not _PLAIN.fullmatch(text) or any(token in text for token in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        found = _WORD.findall(text)
-        new = [word for word in set(found) if word not in self.words]
-        if len(self.words) + len(new) > WORDS and self.words:
-            self.words.clear()
-            new = list(set(found))
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without special tokens of the library's own accord."""
+        whole: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []  # words of texts whose turn comes together
+        held = 0
+        for at, text in enumerate(texts):
+            if not self.remembers or not _PLAIN.fullmatch(text) or any(token in text for token in self.added):
+                for part in _parts(text) if self.remembers else [text]:
+                    whole[at].append(np.array(self.library.encode(part, add_special_tokens=False).ids, "<u4"))
+                continue
+            for part in _parts(text):
+                waiting.append((at, _WORD.findall(part)))
+                held += len(part)
+                if held >= PART:
+                    self._looked_up(waiting, whole)
+                    waiting, held = [], 0
+        self._looked_up(waiting, whole)
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in whole]
+
+    def _looked_up(self, waiting: list[tuple[int, list[str]]], whole: list[list[np.ndarray]]) -> None:
+        """Words of the generation before are carried over, so that frequent ones last; the others are encoded at once."""
+        if len(self.words) > WORDS:
+            self.older, self.words = self.words, {}
+        new = []
+        for word in set().union(*(found for _, found in waiting)):
+            if word not in self.words:
+                if (known := self.older.get(word)) is None:
+                    new.append(word)
+                else:
+                    self.words[word] = known
         for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.words[word] = np.array(encoded.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, found)), "<u4")
+        for at, found in waiting:
+            whole[at].append(np.frombuffer(b"".join(map(self.words.__getitem__, found)), "<u4"))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts, cut where a single space stands between letters or digits, so that no word is cut."""
+    start = 0
+    while True:
+        cut = _BETWEEN.search(text, start + PART)
+        yield text[start : cut.start() if cut else len(text)]
+        if cut is None:
+            return
+        start = cut.start()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,8 +149,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
         encoder = _ENCODERS[name]
         for batch in bounded(batches, "text"):
             rows, owners = [], []
-            for owner, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(encoder.ids(text), np.array([end], "<u4")).astype("<u4")
+            for owner, own_ids in enumerate(encoder.ids(batch.column("text").to_pylist())):
+                ids = np.append(own_ids, np.array([end], "<u4")).astype("<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     own = ids[start : first if piece == 0 else start + capacity].tobytes()
