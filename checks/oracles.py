@@ -447,6 +447,11 @@ def kmeans_sql(k: int = 8, seeds: range = range(42, 52), steps: int = 20) -> str
 
 
 ORACLES["kmeans_themes"] = kmeans_sql()
+ORACLES["filtered_imports"] = f"""WITH batches AS (
+  SELECT CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = u.id) THEN 1 WHEN source = 'en' THEN 2 ELSE 3 END::BIGINT AS import_no,
+         source, external_id, id AS arrival FROM {USABLE} u),
+ firsts AS (SELECT source, external_id, min(struct_pack(import_no := import_no, arrival := arrival)) AS f FROM batches GROUP BY source, external_id)
+ SELECT row_number() OVER (ORDER BY f) - 1 AS id, source, external_id, f.import_no AS import_no FROM firsts"""
 ORACLES["script_vectors"] = "SELECT id, CAST(1.0 AS DOUBLE) AS squared_length FROM plain_items WHERE body <> ''"
 ORACLES["overlong_citations"] = """SELECT id, concat(CAST(id AS VARCHAR), ',', least_one, ',', most) AS cited, CAST(id AS VARCHAR) AS valid,
  concat(least_one, ',', most) AS hallucinated FROM (

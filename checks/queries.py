@@ -671,6 +671,18 @@ def _normalized(given: Inputs) -> DataFrame:
     return items.select("source", "external_id", "author", "body", "rating", F.col("created_at").cast("timestamp").alias("created_at"), F.col("id").alias("arrival"))
 
 
+@query
+def filtered_imports(given):
+    """Items as four imports store them, with their ids: the labelled ones, the English ones, all, and all again."""
+    path, spark = shared_folder(given.spark), given.spark
+    items = given.plain_items.withColumn("arrival", F.col("id")).drop("id")
+    items = items.withColumns({"author": F.lit("ann"), "rating": F.lit(1), "created_at": F.lit(None).cast("timestamp")})
+    marked = given.table("labels").select(F.col("doc_id").alias("arrival"))
+    for batch in (items.join(marked, "arrival", "left_semi"), items.filter("source = 'en'"), items, items):
+        runs.import_feedback(spark, path, batch, [F.col("arrival")])
+    return tables.read_table(spark, path, "items").select("id", "source", "external_id", "import_no")
+
+
 @query
 def theme_run(given):
     """Import, labels, themes from the words of the texts, names and scores; what must come out for every item."""

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadsift.functions.text import strip
+from roadsift.operators.key_filter import KEY
 from roadsift.schemas import MIN_BODY_CHARS
+from roadsift.session import written
 
-KEY = ["source", "external_id"]
 BROADCAST_KEYS = 200_000  # keys of one batch sent to every task, some 20 MB
 
 
@@ -50,15 +51,41 @@ def stored_hits(stored: DataFrame, incoming: DataFrame, incoming_rows: int, limi
     return keys.join(F.broadcast(incoming.select(*KEY).distinct()), KEY, "left_semi")
 
 
-def with_item_ids(df: DataFrame, start: int, *order: Column) -> DataFrame:
-    """Adds ``id``: unique, above every stored one (``start``), and rising in the given order, if there is one.
+def arrivals(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """place, file and row of the rows of a written batch that are to be stored: ``dedup_new`` without the texts.
 
-    A range sort keeps that parallel; the ids have gaps between tasks. Hashes would collide at tens of billions of
-    items. To be applied right before the rows are written, since only stored ids are stable, and by one importer
-    at a time.
+    ``batch`` is a table read back from files, with the order of its rows in the column ``place``. Of the copies of a key
+    the first by place, then by file and row, counts. ``known`` holds the stored keys the batch can meet.
     """
-    laid_out = df.orderBy(*order) if order else df
-    return laid_out.withColumn("id", F.lit(start).cast("bigint") + F.monotonically_increasing_id())
+    here = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    narrow = batch.filter(F.col("source").isNotNull() & F.col("body").isNotNull()).select(*KEY, "place", *here)
+    copies = narrow.filter(F.col("external_id").isNotNull()).groupBy(*KEY)
+    first = copies.agg(F.min(F.struct("place", "file", "row")).alias("first"))
+    fresh = first if known is None else first.join(known.select(*KEY), KEY, "left_anti")
+    return fresh.select("first.*").unionByName(narrow.filter(F.col("external_id").isNull()).select("place", "file", "row"))
+
+
+def with_item_ids(chosen: DataFrame, start: int, ordered: bool = True) -> DataFrame:
+    """file, row and ``id`` per chosen row: ids from ``start`` on without gaps, rising by place if ``ordered``.
+
+    Only these narrow rows are sorted, by ranges, and written; an id is then the start, the rows of the files before its own,
+    and the place within the file. So ids stay below 2^63 for any number of tasks. To be used by one importer at a
+    time.
+    """
+    laid_out = chosen.repartitionByRange("place").sortWithinPartitions("place", "file", "row") if ordered else chosen
+    stored = written(laid_out.select("file", "row"))
+    own = stored.select("file", "row", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"))
+    number = [F.regexp_extract("part", pattern, 1).cast("int") for pattern in (r"^part-(\d+)", r"-c(\d+)[^-]*$")]
+    before = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per file
+    firsts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return own.join(F.broadcast(firsts), "part").select("file", "row", (F.lit(start).cast("long") + F.col("first") + F.col("at")).alias("id"))
+
+
+def numbered_rows(batch: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a written batch that have an id, with it. The bodies are shuffled once at most and not sorted."""
+    rows = batch.drop("place").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.join(ids.hint("shuffle_hash"), ["file", "row"]).drop("file", "row")
 
 
 def next_import(items: DataFrame) -> tuple[int, int]:

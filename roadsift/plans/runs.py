@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from roadsift.functions.keys import body_hash
 from roadsift.operators import themes as th
-from roadsift.operators.ingest import dedup_new, filter_usable, next_import, stored_hits, with_item_ids
+from roadsift.operators.ingest import arrivals, filter_usable, next_import, numbered_rows, with_item_ids
+from roadsift.operators.key_filter import KEY
 from roadsift.operators.labels import label_events, label_with
 from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
 from roadsift.operators.small import hinted
 from roadsift.operators.state import correction_events, reset_events, unlabeled
 from roadsift.session import shared_folder, written
+from roadsift.sources.key_filters import extend, known_keys
 from roadsift.sources.tables import append, newest_run, read_current, read_table
 
 
@@ -41,25 +43,30 @@ def import_feedback(
     directory: str,
     normalized: DataFrame,
     order: Sequence[Column],
-    batch_rows: int | None = None,
     stamp: Column | None = None,
     ids_in_order: bool = True,
 ) -> tuple[int, int]:
     """Stores the usable, not yet stored items of a batch; returns their number and the number of the import.
 
-    ``order`` says which copy came first. ``batch_rows``, where known, lets a small batch be matched without
-    shuffling the stored keys. Without ``ids_in_order`` a large import saves the sort by arrival.
+    ``order`` (rising) says which copy came first. The batch is written once; which of its rows are stored, and under which ids,
+    is worked out on keys and row numbers, so texts are shuffled once and never sorted. Stored keys are read only where
+    the key filters let keys of the batch pass: an import of new keys reads none. The filter of the import is published
+    last; a run that breaks off before leaves an import that is read in full.
     """
-    items = read_table(spark, directory, "items")
     usable = filter_usable(normalized)
-    stored = items if batch_rows is None else stored_hits(items, usable, batch_rows)
-    fresh = dedup_new(usable, stored, order)
+    batch = written(usable.withColumn("place", F.struct(*(order or [F.lit(0)]))))
+    import_no, first_id = next_import(read_table(spark, directory, "items"))
+    keys = written(batch.filter(F.col("source").isNotNull() & F.col("external_id").isNotNull()).select(*KEY).distinct())
+    chosen = arrivals(batch, known_keys(spark, directory, keys))
+    fresh = numbered_rows(batch, with_item_ids(chosen, first_id, ids_in_order))
     stamped = fresh.withColumn("ingested_at", F.current_timestamp() if stamp is None else stamp)
     counted = Observation()
-    import_no, first_id = next_import(items)
-    with_ids = with_item_ids(stamped, first_id, *(order if ids_in_order else [])).withColumn("import_no", F.lit(import_no))
-    append(with_ids.observe(counted, F.count(F.lit(1)).alias("inserted")), directory, "items")
-    return counted.get["inserted"], import_no
+    rows = stamped.withColumn("import_no", F.lit(import_no)).observe(counted, F.count(F.lit(1)).alias("inserted"))
+    append(rows, directory, "items")
+    inserted = counted.get["inserted"]
+    if inserted:
+        extend(spark, directory, import_no)
+    return inserted, import_no
 
 
 def label_new(

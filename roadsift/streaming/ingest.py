@@ -2,7 +2,6 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -36,11 +35,7 @@ def start_ingest(
 
     def process(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        normalized = normalize(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            inserted, import_no = import_feedback(spark, directory, normalized, order, normalized.count())
-        finally:
-            normalized.unpersist()
+        inserted, import_no = import_feedback(spark, directory, normalize(batch), order)
         if inserted:
             label_import(spark, directory, import_no, answer)
 

@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadsift.operators import ingest
+from roadsift.operators import ingest, key_filter
 from roadsift.plans import runs
-from roadsift.session import shared_folder
-from roadsift.sources import feedback_csv, golden, reviews, tables
+from roadsift.session import shared_folder, written
+from roadsift.sources import feedback_csv, golden, key_filters, reviews, tables
 
 BATCH = "id long, source string, external_id string, body string"
 
@@ -111,7 +111,7 @@ def test_import_in_any_order_and_split_ends_the_same(spark):
         inserted = 0
         for batch in (mixed[:50], mixed[30:], mixed):
             frame = spark.createDataFrame([(*r, "ann", 1, None) for r in batch], normalized)
-            inserted += runs.import_feedback(spark, directory, frame, [F.col("arrival")], len(batch) if attempt else None)[0]
+            inserted += runs.import_feedback(spark, directory, frame, [F.col("arrival")], ids_in_order=not attempt)[0]
         stored = tables.read_table(spark, directory, "items").collect()
         assert sorted((r.source, r.external_id) for r in stored) == want
         assert inserted == len(stored) == len({r.id for r in stored})
@@ -125,3 +125,84 @@ def test_first_copy_wins_and_ids_follow_arrival(spark):
     assert runs.import_feedback(spark, directory, frame, [F.col("arrival")], ids_in_order=False)[0] == 0
     stored = tables.read_table(spark, directory, "items").orderBy("id").collect()
     assert [r.body[-1] for r in stored] == ["0", "1", "2", "3", "4"]
+
+
+NORMALIZED = "arrival long, source string, external_id string, body string, author string, rating int, created_at timestamp"
+
+
+def batch_of(spark, keys, start=0):
+    return spark.createDataFrame([(start + at, "s", key, f"a body that is long enough, number {at}", "ann", 1, None) for at, key in enumerate(keys)], NORMALIZED)
+
+
+def test_filters_hold_every_key_and_few_others(spark):
+    keys = spark.range(20_000).selectExpr("concat('s', id % 3) AS source", "cast(id AS string) AS external_id")
+    others = keys.selectExpr("source", "concat('x', external_id) AS external_id")
+    blocks = key_filter.blocks_for(20_000)
+    filters = key_filter.filter_blocks(keys, blocks).withColumn("filter", F.lit("f")).persist()
+    assert key_filter.possible_hits(keys, filters, [("f", blocks)]).count() == 20_000
+    assert key_filter.possible_hits(others, filters, [("f", blocks)]).count() < 40
+
+
+def test_an_import_of_new_keys_reads_no_stored_key(spark, monkeypatch):
+    directory = shared_folder(spark)
+    runs.import_feedback(spark, directory, batch_of(spark, [f"a{at}" for at in range(50)]), [F.col("arrival")])
+    keys = spark.createDataFrame([("s", f"b{at}") for at in range(50)], "source string, external_id string")
+    assert key_filters.known_keys(spark, directory, keys) is None
+    read = []
+    whole = key_filters._keys_of
+    monkeypatch.setattr(key_filters, "_keys_of", lambda spark, directory, imports: read.append(imports) or whole(spark, directory, imports))
+    runs.import_feedback(spark, directory, batch_of(spark, [f"b{at}" for at in range(50)]), [F.col("arrival")])
+    assert read == [{2}]  # its own, for its filter
+    read.clear()
+    assert runs.import_feedback(spark, directory, batch_of(spark, ["b3", "c1"]), [F.col("arrival")])[0] == 1
+    assert read == [{2}, {3}]  # the import that holds b3, and its own
+
+
+def test_filters_merge_by_levels_and_nothing_is_stored_twice(spark, monkeypatch):
+    monkeypatch.setattr(key_filters, "LEVEL", 2)
+    directory = shared_folder(spark)
+    for at in range(5):
+        runs.import_feedback(spark, directory, batch_of(spark, [f"k{n}" for n in range(3 * at, 3 * at + 5)]), [F.col("arrival")])
+    live = key_filters.live_filters(spark, directory)
+    assert sorted(each.level for each in live) == [0, 2] and set().union(*(each.imports for each in live)) == {1, 2, 3, 4, 5}
+    assert sorted(r.external_id for r in tables.read_table(spark, directory, "items").collect()) == sorted(f"k{n}" for n in range(17))
+
+
+def test_imports_without_a_filter_are_read(spark, monkeypatch):
+    directory = shared_folder(spark)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "extend", broken)
+        with pytest.raises(RuntimeError):
+            runs.import_feedback(spark, directory, batch_of(spark, ["a", "b"]), [F.col("arrival")])
+    assert key_filters.live_filters(spark, directory) == []
+    assert runs.import_feedback(spark, directory, batch_of(spark, ["b", "c", None, None]), [F.col("arrival")]) == (3, 2)
+    assert runs.import_feedback(spark, directory, batch_of(spark, ["a", "c"]), [F.col("arrival")])[0] == 0
+
+
+def test_ids_have_no_gaps_over_many_partitions(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        directory = shared_folder(spark)
+        rows = batch_of(spark, [f"k{at}" for at in range(400)])
+        runs.import_feedback(spark, directory, rows.orderBy(F.rand(1)), [F.col("arrival")])
+        stored = tables.read_table(spark, directory, "items").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r.id, r.external_id) for r in stored] == [(at, f"k{at}") for at in range(400)]
+    chosen = spark.range(0, 20_000, 1, 10_000).selectExpr("id AS place", "'f' AS file", "id AS row")
+    largest = ingest.with_item_ids(chosen, (1 << 62), ordered=False).agg(F.max("id"), F.countDistinct("id")).first()
+    assert tuple(largest) == ((1 << 62) + 19_999, 20_000)
+
+
+def test_bodies_are_not_sorted(spark):
+    batch = written(batch_of(spark, [f"k{at}" for at in range(50)]).withColumn("place", F.struct("arrival")))
+    rows = ingest.numbered_rows(batch, ingest.with_item_ids(ingest.arrivals(batch, None), 0))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line and "_w" not in line]  # the files' sizes are added up in order
+    assert sorts == [] and "SortMergeJoin" not in plan
