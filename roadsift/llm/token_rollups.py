@@ -1,15 +1,18 @@
 """Delta-maintained token counts by source, language and tokenizer version.
 
-Changes come in batches of inserts, deletes and revised counts per (doc_id, tokenizer). A ledger of signed rows holds what
-counts: an insert or revision that differs from the document's entry adds -1 times the old row and +1 times the new
-one, a delete -1 times the old row. A batch's signed rows, summed by source, language and tokenizer, are its delta;
+Changes come in batches of inserts, deletes and revised counts per (doc_id, entry, tokenizer); ``entry`` tells documents with the
+same id, or without one, apart. A ledger of signed rows holds what counts: an insert or revision that differs from the
+ledger adds -1 times the old row and +1 times the new one, a delete -1 times the old row. A row that stands for several
+equal documents has their number, its ``copies``, in place of 1. A batch's signed rows, summed by source, language and tokenizer, are its delta;
 totals are the sums of the deltas. A batch is committed by a small file with its name that appears by a rename and names the
 folder of its rows, so a batch that breaks off leaves nothing that is read, and one that comes again changes nothing.
 One writer at a time is assumed.
 
 An insert of a document that is there replaces it; a delete or revision of one that is not there does nothing. Of several
 changes of a document in a batch the last by ``change_no`` counts, then by operation and count. Changes that differ
-only in being repeated count once. Null ids are ids like any other, as are null sources and languages; null counts are 0.
+only in being repeated count once. Null ids and entries are like any other, as are null sources and languages; null counts
+are 0. Tables of documents (``counted``) may repeat ids and rows and have null ids: every row counts. An empty batch is
+committed like any other and changes nothing; before the first batch there are no totals.
 
 Scale: the ledger is narrow, and read only for the batch's documents; deltas have a row per group and batch, and are
 combined within tasks, so a source with a third of all rows sends one row per task. ``compact`` folds the
@@ -23,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadsift.llm.files import moved, opened
-from roadsift.session import shared_folder
+from roadsift.llm.texts import utf8
+from roadsift.session import shared_folder, written
 
-KEYS = ["doc_id", "tokenizer"]
+KEYS = ["doc_id", "entry", "tokenizer"]
 GROUPS = ["source", "lang", "tokenizer"]
-LEDGER = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint, sign bigint"
+LEDGER = "doc_id bigint, entry string, source string, lang string, tokenizer string, tokens bigint, sign bigint"
 DELTAS = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 OPERATIONS = ("insert", "revise", "delete")
 
@@ -35,12 +39,18 @@ OPERATIONS = ("insert", "revise", "delete")
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]+"}
 
 
-def counted(docs: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
-    """doc_id, source, lang, tokenizer and tokens: a row per row of ``docs`` and tokenizer version."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    counts = [F.struct(F.lit(name).alias("tokenizer"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("tokens")) for name, pattern in versions.items()]
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), docs["lang"].alias("lang"), F.array(*counts).alias("counts"))
-    return rows.select("doc_id", "source", "lang", F.inline("counts"))
+def counted(docs: DataFrame, versions: dict[str, str] = VERSIONS, text: Column | None = None) -> DataFrame:
+    """doc_id, entry (a hash of the row's source, language and text), copies (equal rows), source, lang, tokenizer and tokens:
+    a row per different row of ``docs`` and tokenizer version.
+
+    The tokens are those of ``text``, a column of ``docs`` or made from them, if it is given.
+    """
+    counted_text = F.coalesce(docs["text"] if text is None else text, F.lit(""))
+    counts = [F.struct(F.lit(name).alias("tokenizer"), F.regexp_count(counted_text, F.lit(pattern)).cast("long").alias("tokens")) for name, pattern in versions.items()]
+    origin = F.struct(docs["source"].alias("source"), docs["lang"].alias("lang"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(F.concat(utf8(F.to_json(origin)), utf8(docs["text"]))).alias("entry"), origin.alias("origin"), F.array(*counts).alias("counts"))
+    different = rows.groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("origin", "counts")).alias("row"))
+    return different.select("doc_id", "entry", "copies", "row.origin.source", "row.origin.lang", F.inline("row.counts"))
 
 
 def committed(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -67,30 +77,43 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return condition
 
 
+def _current(ledger: DataFrame) -> DataFrame:
+    """The ledger's rows that count, with the number of their copies as ``sign``."""
+    return ledger.groupBy(*KEYS, "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).filter("sign > 0")
+
+
 def apply_batch(spark: SparkSession, folder: str, batch: str, changes: DataFrame) -> bool:
-    """Commits the changes (doc_id, source, lang, tokenizer, tokens, operation, and change_no if there is an order);
-    False if the batch was committed before."""
+    """Commits the changes (doc_id, source, lang, tokenizer, tokens, operation; and, where given, entry, copies and a
+    change_no for their order); False if the batch was committed before."""
     if batch in committed(spark, folder):
         return False
-    order = changes["change_no"].cast("long") if "change_no" in changes.columns else F.lit(0).cast("long")
-    given = changes.select(changes["doc_id"].cast("long").alias("doc_id"), *(changes[name].alias(name) for name in GROUPS), F.coalesce(changes["tokens"].cast("long"), F.lit(0)).alias("tokens"), changes["operation"].alias("operation"), order.alias("change_no"))
-    latest = given.groupBy(*KEYS).agg(F.max(F.struct("change_no", "operation", "tokens", "source", "lang")).alias("new")).select(*KEYS, "new.operation", "new.tokens", "new.source", "new.lang")
+
+    def given_or(name: str, kind: str, value: object) -> Column:
+        return (changes[name] if name in changes.columns else F.lit(value)).cast(kind).alias(name)
+
+    given = changes.select(
+        changes["doc_id"].cast("long").alias("doc_id"), given_or("entry", "string", None), *(changes[name].alias(name) for name in GROUPS),
+        F.coalesce(changes["tokens"].cast("long"), F.lit(0)).alias("tokens"), given_or("copies", "long", 1), changes["operation"].alias("operation"), given_or("change_no", "long", 0),
+    )
+    last = F.max(F.struct("change_no", "operation", "tokens", "source", "lang", "copies")).alias("new")
+    # Written, since both its keys and its rows are needed and the counts behind them are dear.
+    latest = written(given.groupBy(*KEYS).agg(last).select(*KEYS, "new.operation", "new.tokens", "new.source", "new.lang", "new.copies"))
     ledger = _read(spark, folder, "ledger", LEDGER)
     keys = latest.select(*(F.col(name).alias(f"old_{name}") for name in KEYS))
-    current = ledger.join(keys, _same(ledger, keys, KEYS), "left_semi").groupBy("doc_id", "tokenizer", "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).filter("sign > 0")
+    current = _current(ledger.join(keys, _same(ledger, keys, KEYS), "left_semi"))
     old = current.select(*(F.col(name).alias(f"old_{name}") for name in current.columns))
     both = latest.join(old, _same(latest, old, KEYS), "left")
     there = F.col("old_sign").isNotNull()
-    differs = ~(F.struct("tokens", "source", "lang").eqNullSafe(F.struct("old_tokens", "old_source", "old_lang")))
+    differs = ~(F.struct("tokens", "source", "lang", "copies").eqNullSafe(F.struct("old_tokens", "old_source", "old_lang", "old_sign")))
     leaves = there & ((F.col("operation") == "delete") | differs)
     enters = (F.col("operation") == "insert") & (~there | differs) | (F.col("operation") == "revise") & there & differs
-    minus = F.struct("doc_id", F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "tokenizer", F.col("old_tokens").alias("tokens"), F.lit(-1).cast("long").alias("sign"))
-    plus = F.struct("doc_id", "source", "lang", "tokenizer", "tokens", F.lit(1).cast("long").alias("sign"))
+    minus = F.struct("doc_id", "entry", F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "tokenizer", F.col("old_tokens").alias("tokens"), (-F.col("old_sign")).alias("sign"))
+    plus = F.struct("doc_id", "entry", "source", "lang", "tokenizer", "tokens", F.col("copies").alias("sign"))
     signed = both.select(F.explode(F.array_compact(F.array(F.when(leaves, minus), F.when(enters, plus)))).alias("r")).select("r.*")
     rows = uuid.uuid4().hex
     signed.write.parquet(f"{folder}/ledger/{rows}")
-    written = spark.read.schema(LEDGER).parquet(f"{folder}/ledger/{rows}")
-    _summed(written).write.parquet(f"{folder}/deltas/{rows}")
+    stored = spark.read.schema(LEDGER).parquet(f"{folder}/ledger/{rows}")
+    _summed(stored).write.parquet(f"{folder}/deltas/{rows}")
     _commit(folder, batch, rows)
     return True
 
@@ -117,10 +140,10 @@ def totals(spark: SparkSession, folder: str) -> DataFrame:
 def compact(spark: SparkSession, folder: str, into: str) -> str:
     """Folds all committed batches into one, in the new folder ``into``; they stay known there as committed."""
     rows = uuid.uuid4().hex
-    net = _read(spark, folder, "ledger", LEDGER).groupBy("doc_id", "source", "lang", "tokenizer", "tokens").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
+    net = _read(spark, folder, "ledger", LEDGER).groupBy(*KEYS, "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
     net.write.parquet(f"{into}/ledger/{rows}")
-    written = spark.read.schema(LEDGER).parquet(f"{into}/ledger/{rows}")
-    _summed(written).write.parquet(f"{into}/deltas/{rows}")
+    stored = spark.read.schema(LEDGER).parquet(f"{into}/ledger/{rows}")
+    _summed(stored).write.parquet(f"{into}/deltas/{rows}")
     for batch in committed(spark, folder):
         _commit(into, batch, rows)
     return into
@@ -128,19 +151,17 @@ def compact(spark: SparkSession, folder: str, into: str) -> str:
 
 def maintained(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Totals after four batches: all documents come in, those labelled toxic go, those of low quality are counted anew
-    without punctuation, and the second batch comes again by mistake."""
+    without punctuation, and the second batch comes again by mistake. A label holds for all rows of its id."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     marks = labels.groupBy(labels["doc_id"].alias("doc_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     apply_batch(spark, folder, "documents", counted(docs).withColumn("operation", F.lit("insert")))
     toxic = marks.filter("toxic = 1").select("doc_id")
-    none = F.lit(None).cast("string")
-    tokenizer = F.explode(F.array(*map(F.lit, VERSIONS))).alias("tokenizer")
-    gone = toxic.select("doc_id", none.alias("source"), none.alias("lang"), tokenizer, F.lit(0).alias("tokens"), F.lit("delete").alias("operation"))
+    gone = _current(_read(spark, folder, "ledger", LEDGER)).join(toxic, "doc_id", "left_semi").withColumn("operation", F.lit("delete"))
     apply_batch(spark, folder, "toxic", gone)
     # Counted before they are picked: the counts are shuffled, not the texts.
-    cleaned = counted(docs.withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\x20\x09-\x0D]+", " ")))
+    cleaned = counted(docs, text=F.regexp_replace(docs["text"], r"[^\p{L}\p{N}\x20\x09-\x0D]+", " "))
     low = marks.filter("quality = 0").select("doc_id")
-    apply_batch(spark, folder, "cleaned", cleaned.join(low, "doc_id").withColumn("operation", F.lit("revise")))
+    apply_batch(spark, folder, "cleaned", cleaned.join(low, "doc_id", "left_semi").withColumn("operation", F.lit("revise")))
     apply_batch(spark, folder, "toxic", gone)
     return totals(spark, folder)

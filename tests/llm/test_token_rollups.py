@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 
 from roadsift.llm import token_rollups as rollups
+from roadsift.llm.sql import ORACLES
 
 SCHEMA = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint, operation string, change_no bigint, sign string, documents string"
 
@@ -73,3 +75,19 @@ def test_empty_batches_and_tables(spark, changes, no_docs, odd_docs, tmp_path):
     assert rollups.counted(no_docs).collect() == []
     counts = {(row["doc_id"], row["tokenizer"]): row["tokens"] for row in rollups.counted(odd_docs).collect()}
     assert counts[3, "words-1"] == counts[4, "words-1"] == 0 and counts[1, "words-1"] == 6 and counts[1, "pieces-1"] == 7 and counts[6, "words-1"] == 30_000
+
+
+def test_null_and_repeated_ids_count_as_the_sql_counts_them(spark, make_docs, no_docs):
+    docs = make_docs(
+        (None, "one two three", "a", "en"), (None, "one two three", "a", "en"), (None, "one two three", "b", "en"), (None, "four, five!", "a", None),
+        (2, "x y", "a", "en"), (2, "x y", "a", "en"), (2, "x y z", "b", "de"), (3, "gone", "a", "en"), (3, "gone too", None, "en"),
+        (4, "low-quality, text?", "a", "en"), (4, "low-quality, text?", "a", "en"), (5, None, "a", "en"),
+    )
+    labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (3, 0, 0), (None, 0, 1), (9, 0, 1)], "doc_id bigint, quality int, toxic int")
+    connection = duckdb.connect()
+    for docs_at in (docs, docs.repartition(3), no_docs):
+        connection.register("documents", docs_at.select("doc_id", "text", "source", "lang").toArrow())
+        connection.register("labels", labels.toArrow())
+        want = {tuple(row) for row in connection.execute(ORACLES["op7_token_rollups"]).fetchall()}
+        assert {tuple(row) for row in rollups.maintained(docs_at, labels).collect()} == want
+    assert sum(row["documents"] for row in rollups.maintained(docs, labels).filter("tokenizer = 'words-1'").collect()) == 10
