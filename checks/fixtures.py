@@ -114,25 +114,27 @@ SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS reviewId,
        conv_id, turn
 FROM conversations WHERE role = 'user'""",
     "ranked_items": """
-SELECT * FROM (
-  SELECT theme_id, id, row_number() OVER (PARTITION BY theme_id ORDER BY severity DESC, id) AS place
-  FROM feedback_items WHERE theme_id IS NOT NULL) r
-WHERE place <= 40""",
+SELECT theme_id, id, row_number() OVER (PARTITION BY theme_id ORDER BY severity DESC, id) AS place,
+       count(*) OVER (PARTITION BY theme_id) AS places
+FROM feedback_items WHERE theme_id IS NOT NULL""",
     "theme_drafts": """
-SELECT theme_id, concat('  # PRD', chr(10), AGG(concat('claim ', CAST(place AS STRING), ' [#', CAST(id AS STRING), ']'), chr(10)),
+SELECT theme_id, draft, concat('  # PRD', chr(10), AGG(concat('claim ', CAST(place AS STRING), ' [#', CAST(id AS STRING), ']'), chr(10)),
        chr(10), 'see #999999999 and #', CAST(min(id) AS STRING), chr(10)) AS markdown
-FROM ranked_items GROUP BY theme_id""",
+FROM (SELECT *, CAST(floor((place - 1) / 40) AS BIGINT) AS draft FROM ranked_items) r GROUP BY theme_id, draft""",
     "review_drafts": """
 SELECT f.id AS item_id, concat('# PRD for [#', CAST(f.id AS STRING), ']', chr(10), 'also [#', CAST(a.id AS STRING), '], [#',
        CAST(b.id AS STRING), '], [#', CAST(c.id AS STRING), '] and #', CAST(f.id + 1 AS STRING)) AS markdown
 FROM feedback_items f
-JOIN ranked_items a ON a.theme_id = f.theme_id AND a.place = 1
-JOIN ranked_items b ON b.theme_id = f.theme_id AND b.place = 5
-JOIN ranked_items c ON c.theme_id = f.theme_id AND c.place = 9
+JOIN ranked_items r ON r.id = f.id
+JOIN ranked_items a ON a.theme_id = r.theme_id AND a.place = 1 + (r.place + 3) % 5
+JOIN ranked_items b ON b.theme_id = r.theme_id AND b.place = 1 + r.place % r.places
+JOIN ranked_items c ON c.theme_id = r.theme_id AND c.place = 1 + r.place * 7 % r.places
 WHERE f.status = 'classified'""",
-    "quoting_drafts": """
-SELECT id AS doc_id, concat('One said [#', CAST(id AS STRING), '] "', q, '", another [#', CAST(id + 1 AS STRING), ']: "', q, '".') AS markdown
-FROM (SELECT doc_id AS id, regexp_extract(text, '([a-zA-ZÀ-ɏ ,]+)', 1) AS q FROM documents) d""",
+    # For Spark only: every run of letters, blanks and commas of a text, on a line of its own.
+    "quoting_drafts": r"""
+SELECT doc_id, regexp_replace(text, '[^\\p{L} ,]*([\\p{L} ,]+)[^\\p{L} ,]*',
+       concat('One said [#', CAST(doc_id AS STRING), '] "$1", another [#', CAST(doc_id + 1 AS STRING), ']: "$1".', chr(10))) AS markdown
+FROM documents WHERE text RLIKE '[\\p{L} ,]'""",
     "name_replies": """
 SELECT id AS theme_id, CASE id % 3
  WHEN 0 THEN concat('{"name": "Trouble with number ', CAST(id AS STRING), repeat(' and on', 10), '", "summary": "All of it."}')

@@ -320,45 +320,44 @@ ORACLES["sibling_preview"] = f"""WITH {SIBLINGS} SELECT id, string_agg(concat('*
  CAST(severity AS VARCHAR), '): ', substring(body, 1, 220)), chr(10) ORDER BY rank) AS preview FROM related GROUP BY id"""
 
 
-def cites(drafts: str, key: str) -> str:
-    return f"""cites AS (SELECT DISTINCT {key}, CAST(unnest(regexp_extract_all(markdown, '#([0-9]+)', 1)) AS BIGINT) AS cited FROM {drafts})"""
+def cites(drafts: str, keys: str) -> str:
+    return f"""cites AS (SELECT DISTINCT {keys}, CAST(unnest(regexp_extract_all(markdown, '#([0-9]+)', 1)) AS BIGINT) AS cited FROM {drafts})"""
 
 
-THEME_CITES = f"""{POOL}, {cites('theme_drafts', 'theme_id')},
-judged AS (SELECT c.theme_id AS doc, c.cited, p.id, p.fb_type, p.severity, p.body FROM cites c LEFT JOIN pool p ON p.theme_id = c.theme_id AND p.id = c.cited)"""
+THEME_CITES = f"""{POOL}, {cites('theme_drafts', 'theme_id, draft')},
+judged AS (SELECT c.theme_id, c.draft, c.cited, p.id, p.fb_type, p.severity, p.body FROM cites c LEFT JOIN pool p ON p.theme_id = c.theme_id AND p.id = c.cited)"""
 REVIEW_CITES = f"""{SIBLINGS}, {cites('review_drafts', 'item_id')},
 shown AS (SELECT id AS item_id, id, fb_type, severity, body FROM feedback_items
  UNION ALL SELECT id AS item_id, sibling_id, fb_type, severity, body FROM related),
-judged AS (SELECT c.item_id AS doc, c.cited, s.id, s.fb_type, s.severity, s.body FROM cites c LEFT JOIN shown s ON s.item_id = c.item_id AND s.id = c.cited)"""
+judged AS (SELECT c.item_id, c.cited, s.id, s.fb_type, s.severity, s.body FROM cites c LEFT JOIN shown s ON s.item_id = c.item_id AND s.id = c.cited)"""
 COUNTS = "CAST(count(*) AS INT) AS n_cited, CAST(count(id) AS INT) AS n_valid, CAST(count(*) FILTER (WHERE id IS NULL) AS INT) AS n_hallucinated"
-ORACLES["citation_check"] = f"WITH {THEME_CITES} SELECT doc AS theme_id, {COUNTS} FROM judged GROUP BY doc"
-ORACLES["review_citation_check"] = f"WITH {REVIEW_CITES} SELECT doc AS item_id, {COUNTS} FROM judged GROUP BY doc"
-ORACLES["citation_ids"] = f"""WITH {THEME_CITES} SELECT doc AS theme_id, string_agg(CAST(cited AS VARCHAR), ',' ORDER BY cited) AS cited,
+ORACLES["citation_check"] = f"WITH {THEME_CITES} SELECT theme_id, draft, {COUNTS} FROM judged GROUP BY theme_id, draft"
+ORACLES["review_citation_check"] = f"WITH {REVIEW_CITES} SELECT item_id, {COUNTS} FROM judged GROUP BY item_id"
+ORACLES["citation_ids"] = f"""WITH {THEME_CITES} SELECT theme_id, draft, string_agg(CAST(cited AS VARCHAR), ',' ORDER BY cited) AS cited,
  coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (WHERE id IS NOT NULL), '') AS valid,
- coalesce(string_agg(CAST(cited AS VARCHAR), ',' ORDER BY cited) FILTER (WHERE id IS NULL), '') AS hallucinated FROM judged GROUP BY doc"""
+ coalesce(string_agg(CAST(cited AS VARCHAR), ',' ORDER BY cited) FILTER (WHERE id IS NULL), '') AS hallucinated FROM judged GROUP BY theme_id, draft"""
 
 
-def report(drafts: str, key: str, judged: str) -> str:
+def report(drafts: str, keys: str, judged: str) -> str:
     flagged = "string_agg(CAST(cited AS VARCHAR), ', ' ORDER BY cited) FILTER (WHERE id IS NULL)"
     line = "concat(chr(10), '- **[#', CAST(id AS VARCHAR), ']** (', fb_type, ', sev ', CAST(severity AS VARCHAR), '): \"', substring(body, 1, 280), '\"')"
-    return f"""WITH {judged}, parts AS (SELECT doc, {COUNTS}, {flagged} AS flagged,
-  coalesce(string_agg({line}, '' ORDER BY id) FILTER (WHERE id IS NOT NULL), '') AS evidence FROM judged GROUP BY doc)
- SELECT d.{key}, concat({strip('d.markdown')}, chr(10), {text(REPORT_HEAD)}, chr(10), {text(REPORT_FOUND)}, CAST(n_cited AS VARCHAR), '**', chr(10),
+    return f"""WITH {judged}, parts AS (SELECT {keys}, {COUNTS}, {flagged} AS flagged,
+  coalesce(string_agg({line}, '' ORDER BY id) FILTER (WHERE id IS NOT NULL), '') AS evidence FROM judged GROUP BY {keys})
+ SELECT {keys}, concat({strip('d.markdown')}, chr(10), {text(REPORT_HEAD)}, chr(10), {text(REPORT_FOUND)}, CAST(n_cited AS VARCHAR), '**', chr(10),
   {text(REPORT_VALID)}, CAST(n_valid AS VARCHAR), '**', chr(10), {text(REPORT_HALLUCINATED)}, CAST(n_hallucinated AS VARCHAR), '**',
   CASE WHEN flagged IS NULL THEN ' - none' ELSE concat(' - flagged: [', flagged, ']') END, chr(10), {text(EVIDENCE_HEAD)}, evidence, chr(10)) AS markdown
- FROM {drafts} d JOIN parts p ON p.doc = d.{key}"""
+ FROM {drafts} d JOIN parts p USING ({keys})"""
 
 
-ORACLES["citation_report"] = report("theme_drafts", "theme_id", THEME_CITES)
+ORACLES["citation_report"] = report("theme_drafts", "theme_id, draft", THEME_CITES)
 ORACLES["review_report"] = report("review_drafts", "item_id", REVIEW_CITES)
-ORACLES["report_files"] = f"WITH {THEME_CITES} SELECT CAST(doc AS BIGINT) AS target_id, {COUNTS} FROM judged GROUP BY doc"
+ORACLES["report_files"] = f"WITH {THEME_CITES} SELECT CAST(theme_id * 1000000 + draft AS BIGINT) AS target_id, {COUNTS} FROM judged GROUP BY theme_id, draft"
 ORACLES["report_counters"] = f"""SELECT doc_id, CAST(nullif(regexp_extract(markdown, 'Citations found: \\*\\*([0-9]+)', 1), '') AS INT) AS n_cited,
  CAST(nullif(regexp_extract(markdown, 'Valid [^:]*: \\*\\*([0-9]+)', 1), '') AS INT) AS n_valid,
  CAST(nullif(regexp_extract(markdown, 'Hallucinated[^:]*: \\*\\*([0-9]+)', 1), '') AS INT) AS n_hallucinated FROM reports"""
-ORACLES["quote_check"] = """WITH pairs AS (
- SELECT d.doc_id, d.doc_id AS item_id, regexp_extract(d.text, '([a-zA-ZÀ-ɏ ,]+)', 1) AS quote FROM documents d
- UNION ALL SELECT d.doc_id, d.doc_id + 1, regexp_extract(d.text, '([a-zA-ZÀ-ɏ ,]+)', 1) FROM documents d)
-SELECT p.doc_id, p.item_id, p.quote, coalesce(contains(x.text, p.quote), false) AS found FROM pairs p LEFT JOIN documents x ON x.doc_id = p.item_id WHERE p.quote <> ''"""
+ORACLES["quote_check"] = r"""WITH runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L} ,]+')) AS quote FROM documents),
+pairs AS (SELECT doc_id, doc_id AS item_id, quote FROM runs UNION ALL SELECT doc_id, doc_id + 1, quote FROM runs)
+SELECT p.doc_id, p.item_id, p.quote, coalesce(contains(x.text, p.quote), false) AS found FROM pairs p LEFT JOIN documents x ON x.doc_id = p.item_id"""
 
 
 def item_line(item: str, chars: int) -> str:

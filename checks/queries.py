@@ -525,7 +525,7 @@ def sibling_preview(given):
 @query
 def citation_check(given):
     checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
-    return citations.citation_counts(checked, "theme_id")
+    return citations.citation_counts(checked, "theme_id", "draft")
 
 
 @query
@@ -533,6 +533,7 @@ def citation_ids(given):
     checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
     return checked.select(
         "theme_id",
+        "draft",
         *[F.array_join(F.col(name).cast("array<string>"), ",").alias(name) for name in ("cited", "valid", "hallucinated")],
     )
 
@@ -555,7 +556,7 @@ def review_citation_check(given):
 @query
 def citation_report(given):
     checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
-    return citations.verification_report(checked, "theme_id")
+    return citations.verification_report(checked, "theme_id", "draft")
 
 
 @query
@@ -640,8 +641,9 @@ def report_files(given):
     """Writes one text file per report and reads the files back."""
     path = shared_folder(given.spark)
     checked = citations.check_theme_documents(given.theme_drafts, given.feedback_items, given.themes)
-    reports = citations.verification_report(checked, "theme_id")
-    documents.write_text(reports.select(F.lit("theme").alias("target_kind"), F.col("theme_id").alias("target_id"), "markdown"), path)
+    reports = citations.verification_report(checked, "theme_id", "draft")
+    number = (F.col("theme_id") * 1_000_000 + F.col("draft")).alias("target_id")
+    documents.write_text(reports.select(F.lit("theme").alias("target_kind"), number, "markdown"), path)
     return citations.report_counters(documents.read_text(given.spark, path), "target_id")
 
 

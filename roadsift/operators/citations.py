@@ -5,6 +5,10 @@ needs a single join on its theme; everything after that is work within the row.
 so an item cited by very many documents is no hot key.
 """
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from roadsift.functions.text import cut, strip, verbatim_line
 from roadsift.operators.ranking import attach, top_per_group
 from roadsift.operators.small import hinted, is_small
 from roadsift.schemas import EVIDENCE_POOL_SIZE, SIBLING_COUNT
+from roadsift.session import written
 
 # The citation pattern, the report's wording, and the patterns that read its counters back
 # (older wordings included).
@@ -28,6 +33,8 @@ VALID_COUNTER = r"Valid[^:\n]*:\s*\*\*([0-9]+)\*\*"
 HALLUCINATED_COUNTER = r"Hallucinated[^:\n]*:\s*\*\*([0-9]+)\*\*"
 
 QUOTE = r'#([0-9]+)[^"\n]*"([^"\n]+)"'
+#: Quotes of one item that are looked for in one scan of its text.
+QUOTES_A_SCAN = 5_000
 EVIDENCE_CHARS = 300  # kept of an item for the report, unless a caller asks for more
 
 ITEM = ["id", "fb_type", "severity", "body"]
@@ -203,18 +210,43 @@ def quotes(documents: DataFrame, *keys: str) -> DataFrame:
     ).distinct()
 
 
-def check_quotes(documents: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+def check_quotes(documents: DataFrame, items: DataFrame, *keys: str, quotes_a_scan: int = QUOTES_A_SCAN) -> DataFrame:
     """Adds ``found``: does the cited item's whole text hold the quote? False when there is no such item.
 
-    Equal quotes are looked up once; the copies of a quote meet only their one-row answer. A small number of
-    quotes is sent to the items, whose texts are then scanned and only the cited ones are shuffled.
+    All quotes of an item are looked for in one scan of its text, by an Aho-Corasick automaton. Equal quotes are one, and
+    an item with very many has a scan for each part of them, so no task holds more than a part. A small number of cited
+    items is sent to the items, whose texts are then scanned and only the cited ones are shuffled.
     """
-    listed = quotes(documents, *keys)
-    wanted = listed.select("item_id", "quote").distinct()
+    listed = written(quotes(documents, *keys))
+    wanted = written(listed.select("item_id", "quote").distinct())
+    cited = written(wanted.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) / quotes_a_scan).alias("parts")))
+    part = F.pmod(F.xxhash64("quote"), F.col("parts"))
+    scans = wanted.join(cited, "item_id").groupBy("item_id", part.alias("part")).agg(F.collect_list("quote").alias("quotes"))
     bodies = items.select(F.col("id").cast("string").alias("item_id"), "body")
-    if is_small(wanted):
-        bodies = bodies.join(F.broadcast(wanted.select("item_id").distinct()), "item_id", "left_semi")
-    answers = wanted.join(bodies, "item_id", "left").select(
-        "item_id", "quote", F.coalesce(F.contains("body", "quote"), F.lit(False)).alias("found")
-    )
-    return listed.join(answers, ["item_id", "quote"]).select(*keys, "item_id", "quote", "found")
+    if is_small(cited):
+        bodies = bodies.join(F.broadcast(cited.select("item_id")), "item_id", "left_semi")
+    answers = scans.join(bodies, "item_id").select("item_id", "quotes", "body").mapInArrow(_scanned, "item_id string, quote string, found boolean")
+    # An item that is stored twice answers twice; a quote that one of them holds is found.
+    answers = answers.groupBy("item_id", "quote").agg(F.max("found").alias("found"))
+    return listed.join(answers, ["item_id", "quote"], "left").select(*keys, "item_id", "quote", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, quote, found) per quote of each row, the row's text being read once."""
+    for batch in batches:
+        rows: list[tuple[str, str, bool]] = []
+        for item_id, quoted, body in zip(*(batch.column(name).to_pylist() for name in ("item_id", "quotes", "body"))):
+            held = held_in(body or "", quoted)
+            rows += [(item_id, quote, quote in held) for quote in quoted]
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_()))]
+        if columns:
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "quote", "found"])
+
+
+def held_in(body: str, quoted: list[str]) -> set[str]:
+    """The quotes, none of them empty, that a text holds, found in one scan."""
+    automaton = ahocorasick.Automaton()
+    for quote in quoted:
+        automaton.add_word(quote, quote)
+    automaton.make_automaton()
+    return {quote for _, quote in automaton.iter(body)}

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,18 @@ def test_memo(spark):
     opinions = spark.createDataFrame([(2, "Finance", "no"), (1, "Growth", "yes")], "position int, role string, opinion string")
     text = packs.memo_markdown(roadmap, opinions, "We do A.").first().markdown
     assert text == "# Prioritization Boardroom — Decision Memo\n\n## Roadmap considered\n1. A\n\n# Panel debate\n## Growth\nyes\n\n## Finance\nno\n\n---\nWe do A.\n"
+
+
+def test_an_item_quoted_by_thousands_is_scanned_once_per_part(spark, make_items, monkeypatch):
+    body = "".join(chr(97 + at * at % 23) + (" " if at % 5 == 0 else "") for at in range(400)) + "é漢字 и слово"
+    items = make_items({"id": 1, "body": body}, {"id": 2, "body": "another text that is long enough"})
+    quoted = sorted({body[at : at + 1 + at % 9] for at in range(len(body))} | {f"not there {at}" for at in range(300)} | {"и слово", "漢字"})
+    rows = [(at, f'[#{1 + (at % 50 == 0)}] "{quote}"') for at, quote in enumerate(quoted)]
+    documents = spark.createDataFrame(rows, "doc int, markdown string")
+    found = {row["doc"]: row["found"] for row in citations.check_quotes(documents, items, "doc", quotes_a_scan=100).collect()}
+    bodies = {1: body, 2: "another text that is long enough"}
+    assert found == {at: quote in bodies[1 + (at % 50 == 0)] for at, quote in enumerate(quoted)}
+    scans = []
+    monkeypatch.setattr(citations, "held_in", lambda body, quoted: scans.append(len(quoted)) or set())
+    batch = pa.RecordBatch.from_pylist([{"item_id": "1", "quotes": quoted, "body": body}, {"item_id": "2", "quotes": ["x"], "body": None}])
+    assert sum(part.num_rows for part in citations._scanned(iter([batch]))) == len(quoted) + 1 and scans == [len(quoted), 1]
