@@ -42,10 +42,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and the hosts above it."""
+def suffixes(host: Column, most: int) -> Column:
+    """The host and the hosts above it, as far as they have at most so many labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda at: F.array_join(F.slice(labels, at, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - most + 1), F.lit(most))
+    return F.transform(F.sequence(F.lit(1), F.size(last)), lambda at: F.array_join(F.slice(last, at, F.size(last)), "."))
 
 
 def _key(host: Column, path: Column) -> Column:
@@ -81,13 +82,13 @@ def prepared(rules: DataFrame) -> DataFrame:
     listed = rules.select(host.alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''")
     best = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" sorts behind "allow"
     text = F.concat("host", "path")
-    return best.select(_key(F.col("host"), F.col("path")).alias("key"), text.alias("rule"), F.length("path").alias("path_length"), F.struct(F.length(text).alias("length"), F.length("host").alias("host_length"), "verdict", text.alias("rule")).alias("rank"))
+    return best.select(_key(F.col("host"), F.col("path")).alias("key"), text.alias("rule"), F.length("path").alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"), F.struct(F.length(text).alias("length"), F.length("host").alias("host_length"), "verdict", text.alias("rule")).alias("rank"))
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict per row of ``pages``."""
     listed = written(prepared(rules))
-    count = listed.count()
+    count, labels = listed.agg(F.count(F.lit(1)), F.coalesce(F.max("labels"), F.lit(1))).first()
     lengths = [row[0] for row in listed.select("path_length").distinct().orderBy("path_length").collect()]  # bounded: a URL's length
     bits = pages.sparkSession.sparkContext.broadcast(bloom_filter(listed, count))
     blocks = len(bits.value)
@@ -101,7 +102,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
     urls = rows.filter("host <> ''").select("host", "path").distinct()
     heads = F.array(*(F.when(F.length("path") >= length, F.substring("path", 1, length)) for length in lengths)) if lengths else F.array().cast("array<string>")
-    candidates = urls.withColumn("of", F.explode(suffixes(F.col("host")))).withColumn("head", F.explode(F.array_compact(heads)))
+    candidates = urls.withColumn("of", F.explode(suffixes(F.col("host"), labels))).withColumn("head", F.explode(F.array_compact(heads)))
     hashed = candidates.select("host", "path", _key(F.col("of"), F.col("head")).alias("key")).withColumn("h", F.xxhash64("key"))
     passed = hashed.filter(may_be_listed(F.pmod("h", F.lit(blocks)).cast("int"), _bits(F.col("h"))))
     entries = listed.select("key", "rank")

@@ -73,3 +73,12 @@ def test_filter_passes_all_it_holds_and_little_else(spark):
         return url_filter.possible(bits, block, np.array([row["bits"] for row in rows])).mean()
 
     assert share("k") == 1.0 and share("other") < 0.02
+
+
+def test_hosts_of_very_many_labels(make):
+    long = "a." * 40_000
+    urls = [f"http://{long}net/", f"http://{long}example.net/en/x", f"http://{long}other/", "http://net/", f"http://{'.' * 40_000}net/"]
+    pages, rules = make(urls, URL_RULES)
+    assert [(row["rule"], row["verdict"]) for row in url_filter.judged(pages, rules).orderBy("page_id").collect()] == [
+        ("net/", "block"), ("example.net/en/", "allow"), (None, "allow"), ("net/", "block"), ("net/", "block"),
+    ]

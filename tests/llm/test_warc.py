@@ -95,3 +95,30 @@ def test_damage_is_noticed(tmp_path):
 def _source(tmp_path, data):
     (tmp_path / "file").write_bytes(data)
     return (tmp_path / "file").open("rb")
+
+
+def _record_ids(folder):
+    return [line for path in Path(folder).glob("*.warc.gz") for line in gzip.decompress(path.read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+
+
+def test_any_64_bit_ids_and_an_outlying_one(make_pages, tmp_path):
+    draw = random.Random(5)
+    body = lambda: "".join(draw.choices("abcdefgh ", k=500))
+    wide = [(draw.choice([-1, 1]) * draw.randint(9 * 10**18, 2**63 - 1), f"u{at}", body()) for at in range(60)]
+    dense = [(at, f"u{at}", body()) for at in range(120)] + [(10**15, "far", body())]
+    for rows in (wide, dense):
+        pages = make_pages(*rows)
+        assert sorted(map(tuple, warc.round_trip(pages, shard_bytes=5000).collect()), key=repr) == expected(rows)
+        folder = warc.write_archive(pages, str(tmp_path / str(len(rows))), shard_bytes=5000)
+        sizes = [len(gzip.decompress(path.read_bytes())) for path in Path(folder).glob("*.warc.gz")]
+        assert len(sizes) >= 6 and max(sizes) <= 1.5 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_null_and_repeated_ids_fill_many_shards_under_ids_of_their_own(make_pages, tmp_path):
+    rows = [(None, "u", "the same text " * 10)] * 90 + [(None, f"u{at}", f"text {at} " * 20) for at in range(30)] + [(7, "v", "seven " * 30)] * 40 + [(at, "w", f"{at} " * 60) for at in range(20, 60)]
+    pages = make_pages(*rows)
+    assert sorted(map(tuple, warc.round_trip(pages, shard_bytes=2000).collect()), key=repr) == expected(rows)
+    folder = warc.write_archive(pages, str(tmp_path / "a"), shard_bytes=2000)
+    ids = _record_ids(folder)
+    assert len(ids) == len(set(ids)) == len(rows)
+    assert len({path.name for path in Path(folder).glob("*.warc.gz")}) >= 12
