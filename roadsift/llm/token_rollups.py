@@ -14,7 +14,7 @@ only in being repeated count once. Null ids and entries are like any other, as a
 are 0. Tables of documents (``counted``) may repeat ids and rows and have null ids: every row counts. An empty batch is
 committed like any other and changes nothing; before the first batch there are no totals.
 
-Scale: the ledger is narrow, and read only for the batch's documents; deltas have a row per group and batch, and are
+Scale: the ledger is narrow, and a batch meets it in one aggregate by key; deltas have a row per group and batch, and are
 combined within tasks, so a source with a third of all rows sends one row per task. ``compact`` folds the
 committed batches into one.
 """
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from roadsift.llm.files import moved, opened
 from roadsift.llm.texts import utf8
-from roadsift.session import shared_folder, written
+from roadsift.session import shared_folder
 
 KEYS = ["doc_id", "entry", "tokenizer"]
 GROUPS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id bigint, entry string, source string, lang string, tokenizer string, tokens bigint, sign bigint"
 DELTAS = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
+CHANGE = "change_no: bigint, operation: string, tokens: bigint, source: string, lang: string, copies: bigint"
+KEPT = "tokens: bigint, source: string, lang: string, copies: bigint"
 OPERATIONS = ("insert", "revise", "delete")
 
 #: Tokenizer versions: what is counted as a token.
@@ -70,13 +72,6 @@ def _read(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition &= left[name].eqNullSafe(right[f"old_{name}"])
-    return condition
-
-
 def _current(ledger: DataFrame) -> DataFrame:
     """The ledger's rows that count, with the number of their copies as ``sign``."""
     return ledger.groupBy(*KEYS, "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).filter("sign > 0")
@@ -95,20 +90,19 @@ def apply_batch(spark: SparkSession, folder: str, batch: str, changes: DataFrame
         changes["doc_id"].cast("long").alias("doc_id"), given_or("entry", "string", None), *(changes[name].alias(name) for name in GROUPS),
         F.coalesce(changes["tokens"].cast("long"), F.lit(0)).alias("tokens"), given_or("copies", "long", 1), changes["operation"].alias("operation"), given_or("change_no", "long", 0),
     )
-    last = F.max(F.struct("change_no", "operation", "tokens", "source", "lang", "copies")).alias("new")
-    # Written, since both its keys and its rows are needed and the counts behind them are dear.
-    latest = written(given.groupBy(*KEYS).agg(last).select(*KEYS, "new.operation", "new.tokens", "new.source", "new.lang", "new.copies"))
-    ledger = _read(spark, folder, "ledger", LEDGER)
-    keys = latest.select(*(F.col(name).alias(f"old_{name}") for name in KEYS))
-    current = _current(ledger.join(keys, _same(ledger, keys, KEYS), "left_semi"))
-    old = current.select(*(F.col(name).alias(f"old_{name}") for name in current.columns))
-    both = latest.join(old, _same(latest, old, KEYS), "left")
-    there = F.col("old_sign").isNotNull()
-    differs = ~(F.struct("tokens", "source", "lang", "copies").eqNullSafe(F.struct("old_tokens", "old_source", "old_lang", "old_sign")))
-    leaves = there & ((F.col("operation") == "delete") | differs)
-    enters = (F.col("operation") == "insert") & (~there | differs) | (F.col("operation") == "revise") & there & differs
-    minus = F.struct("doc_id", "entry", F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), "tokenizer", F.col("old_tokens").alias("tokens"), (-F.col("old_sign")).alias("sign"))
-    plus = F.struct("doc_id", "entry", "source", "lang", "tokenizer", "tokens", F.col("copies").alias("sign"))
+    change = F.struct("change_no", "operation", "tokens", "source", "lang", "copies")
+    kept = F.struct("tokens", "source", "lang", F.col("sign").alias("copies"))
+    # Changes and ledger meet in one aggregate, so the counts behind the changes are worked out once.
+    none = [F.lit(None).cast(f"struct<{fields}>") for fields in (CHANGE, KEPT)]
+    sides = given.select(*KEYS, change.alias("new"), none[1].alias("old")).unionByName(_current(_read(spark, folder, "ledger", LEDGER)).select(*KEYS, none[0].alias("new"), kept.alias("old")))
+    both = sides.groupBy(*KEYS).agg(F.max("new").alias("new"), F.max("old").alias("old")).filter("new IS NOT NULL")
+    there = F.col("old").isNotNull()
+    differs = ~F.struct("new.tokens", "new.source", "new.lang", "new.copies").eqNullSafe(F.col("old"))
+    operation = F.col("new.operation")
+    leaves = there & ((operation == "delete") | differs)
+    enters = (operation == "insert") & (~there | differs) | (operation == "revise") & there & differs
+    minus = F.struct("doc_id", "entry", "old.source", "old.lang", "tokenizer", "old.tokens", (-F.col("old.copies")).alias("sign"))
+    plus = F.struct("doc_id", "entry", "new.source", "new.lang", "tokenizer", "new.tokens", F.col("new.copies").alias("sign"))
     signed = both.select(F.explode(F.array_compact(F.array(F.when(leaves, minus), F.when(enters, plus)))).alias("r")).select("r.*")
     rows = uuid.uuid4().hex
     signed.write.parquet(f"{folder}/ledger/{rows}")
