@@ -445,6 +445,7 @@ def kmeans_sql(k: int = 8, seeds: range = range(42, 52), steps: int = 20) -> str
     return f"WITH {', '.join(parts)} SELECT id, best.c::INTEGER AS cluster, seed AS start, cost::VARCHAR AS cost FROM a{steps} JOIN costs USING (seed)"
 
 
+ORACLES["bucketed_state"] = ORACLES["current_state"]
 ORACLES["kmeans_themes"] = kmeans_sql()
 ORACLES["filtered_imports"] = f"""WITH batches AS (
   SELECT CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = u.id) THEN 1 WHEN source = 'en' THEN 2 ELSE 3 END::BIGINT AS import_no,

@@ -11,7 +11,7 @@ from roadsift.functions.numbers import round_even, theme_count
 from roadsift.operators import citations, drift, evaluation, ingest, kmeans, labels, ranking, scoring, state, themes
 from roadsift.plans import overview, packs, runs
 from roadsift.session import shared_folder
-from roadsift.sources import documents, feedback_csv, golden, reviews, tables
+from roadsift.sources import buckets, documents, feedback_csv, golden, reviews, tables
 from roadsift.streaming import daily
 from roadsift.streaming import ingest as streaming
 
@@ -685,6 +685,26 @@ def filtered_imports(given):
     return tables.read_table(spark, path, "items").select("id", "source", "external_id", "import_no")
 
 
+@query
+def bucketed_state(given):
+    """The current state out of bucketed items and logs, with the later half of the log, all corrections and themes since."""
+    path, spark = shared_folder(given.spark), given.spark
+    middle = given.label_log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    tables_of = {
+        "items": (given.plain_items, "id"),
+        "events": (given.label_log.filter(F.col("seq") <= middle), "item_id"),
+        "fixes": (state.correction_events(given.edits, F.col("seq")).filter(F.col("seq") <= middle), "item_id"),
+    }
+    count, base = int(spark.conf.get("spark.sql.shuffle.partitions")), {}
+    for name, (rows, key) in tables_of.items():
+        buckets.write_bucketed(rows, f"{path}/{name}", key, count)
+        schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema)
+        base[name] = buckets.read_bucketed(spark, f"{path}/{name}", schema, key, count)
+    later = F.col("seq") > middle
+    newer = given.label_log.filter(later), state.correction_events(given.edits, F.col("seq")).filter(later)
+    return state.current_items_of_buckets(base["items"], (base["events"], base["fixes"]), newer, given.theme_runs).drop("body", "external_id", "source")
+
+
 @query
 def theme_run(given):
     """Import, labels, themes from the words of the texts, names and scores; what must come out for every item."""

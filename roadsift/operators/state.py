@@ -37,6 +37,20 @@ def correction_events(edits: DataFrame, seq: int | Column) -> DataFrame:
     )
 
 
+def latest_events(label_events: DataFrame) -> DataFrame:
+    """item_id, ``_last`` (the latest event) and ``_kept`` (the latest one other than a reset) per item."""
+    event = F.struct("kind", "seq", *LABEL_FIELDS)
+    return label_events.groupBy("item_id").agg(
+        F.max_by(event, "seq").alias("_last"),
+        F.max_by(event, F.when(F.col("kind") != "reset", F.col("seq"))).alias("_kept"),
+    )
+
+
+def latest_fixes(corrections: DataFrame) -> DataFrame:
+    """item_id and ``_fix`` (the latest correction) per item."""
+    return latest(corrections, "item_id", ["fb_type", "severity", "seq"], "_fix")
+
+
 def current_items(
     items: DataFrame,
     label_events: DataFrame,
@@ -50,19 +64,42 @@ def current_items(
     reset. A reset clears the labels but not the theme, and does not touch an item a human corrected before:
     there the latest event other than a reset counts. A correction overrides type and severity only.
     """
-    fixes = latest(corrections, "item_id", ["fb_type", "severity", "seq"], "_fix")
-    last = label_events.groupBy("item_id").agg(
-        F.max_by(F.struct("kind", "seq", *LABEL_FIELDS), "seq").alias("_last"),
-        F.max_by(F.struct("kind", "seq", *LABEL_FIELDS), F.when(F.col("kind") != "reset", F.col("seq"))).alias("_kept"),
-    )
-    joined = (
-        items.join(last, items["id"] == last["item_id"], "left")
-        .drop("item_id")
-        .join(fixes, F.col("id") == fixes["item_id"], "left")
-        .drop("item_id")
-        .join(latest_themes(assignments, theme_runs), F.col("id") == F.col("item_id"), "left")
-        .drop("item_id")
-    )
+    joined = items
+    for state in (latest_events(label_events), latest_fixes(corrections), latest_themes(assignments, theme_runs)):
+        joined = joined.join(state, F.col("id") == F.col("item_id"), "left").drop("item_id")
+    return _stated(joined, items.columns)
+
+
+def current_items_of_buckets(
+    items: DataFrame,
+    base: tuple[DataFrame, DataFrame],
+    newer: tuple[DataFrame, DataFrame],
+    assignments: DataFrame,
+    theme_runs: DataFrame | None = None,
+) -> DataFrame:
+    """``current_items`` for items that are bucketed by id, and label events and corrections (``base``) bucketed by item.
+
+    ``newer`` holds the events and corrections since then, with a higher ``seq`` than any event or correction of ``base``. The bucketed logs
+    meet the items bucket by bucket, and of everything else only rows without texts are shuffled. The joins hash the state of
+    a bucket, so the items are not sorted either.
+    """
+    joined = items
+
+    def met(state: DataFrame, names: list[str], suffix: str) -> DataFrame:
+        renamed = state.select("item_id", *(F.col(name).alias(name + suffix) for name in names)).hint("shuffle_hash")
+        return joined.join(renamed, F.col("id") == F.col("item_id"), "left").drop("item_id")
+
+    for (events, corrections), suffix in ((base, "_then"), (newer, "_since")):
+        joined = met(latest_events(events), ["_last", "_kept"], suffix)
+        joined = met(latest_fixes(corrections), ["_fix"], suffix)
+    for name in ("_last", "_kept", "_fix"):
+        joined = joined.withColumn(name, F.coalesce(f"{name}_since", f"{name}_then"))
+    joined = met(latest_themes(assignments, theme_runs), ["theme_id"], "")
+    return _stated(joined, items.columns)
+
+
+def _stated(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """The items' columns with their state, from ``_last``, ``_kept``, ``_fix`` and theme_id."""
     fixed = F.col("_fix").isNotNull()
     void_reset = fixed & (F.col("_last")["kind"] == "reset") & (F.col("_last")["seq"] > F.col("_fix")["seq"])
     event = F.when(void_reset, F.col("_kept")).otherwise(F.col("_last"))
@@ -73,7 +110,7 @@ def current_items(
         return F.when(labelled, event[field])
 
     return joined.select(
-        *items.columns,
+        *columns,
         F.when(labelled, "classified").when(kind == "fail", "failed").otherwise("new").alias("status"),
         F.when(fixed, F.col("_fix")["fb_type"]).otherwise(label("fb_type")).alias("fb_type"),
         label("product_area").alias("product_area"),

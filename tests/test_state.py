@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from roadsift.operators import state
 from roadsift.plans import runs
 from roadsift.session import shared_folder
-from roadsift.sources import tables
+from roadsift.sources import buckets, tables
 from roadsift.sources.tables import TABLES
 
 
@@ -94,3 +95,107 @@ def test_views(spark, make_items):
     tables.register_views(spark, directory)
     assert spark.sql("SELECT count(*) FROM feedback_items LEFT JOIN themes ON themes.id = theme_id").first()[0] == 2
     assert spark.sql("SELECT * FROM opportunities WHERE rice_score > :low", args={"low": 1}).count() == 0
+
+
+def above(plan, scanned):
+    """The operators that the rows of a scan pass through: the lines of less and less indentation above the scan's."""
+    lines = plan.splitlines()
+    at = next(number for number, line in enumerate(lines) if "FileScan" in line and scanned in line)
+    depth, found = len(lines[at]) - len(lines[at].lstrip(" :+-*0123456789()")), []
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*0123456789()"))
+        if own < depth:
+            found.append(line)
+            depth = own
+    return found
+
+
+@pytest.fixture
+def store(spark):
+    """A store with two imports, labels, a correction, a reset and themes; and what is stored after the first half."""
+    directory = shared_folder(spark)
+    schema = "arrival long, source string, external_id string, body string, author string, rating int, created_at timestamp"
+
+    def take_in(numbers):
+        rows = [(at, "s", f"k{at}", f"this will crash again, said user {at}", "ann", 1, None) for at in numbers]
+        runs.import_feedback(spark, directory, spark.createDataFrame(rows, schema), [F.col("arrival")])
+        runs.label_new(spark, directory)
+
+    def later():
+        take_in(range(20, 32))
+        runs.correct(spark, directory, spark.createDataFrame([(3, "pricing", 4), (25, "other", 1)], "item_id long, fb_type string, severity int"))
+        runs.reset_labels(spark, directory)
+        tables.append(spark.createDataFrame([(1, at, at % 3) for at in range(0, 32, 2)], TABLES["theme_assignments"]), directory, "theme_assignments")
+        tables.append(spark.createDataFrame([(1, at, "t", "s") for at in range(3)], TABLES["themes"]), directory, "themes")
+
+    take_in(range(20))
+    runs.correct(spark, directory, spark.createDataFrame([(5, "bug", 4)], "item_id long, fb_type string, severity int"))
+    return directory, later
+
+
+def test_buckets_give_the_state_of_the_tables(spark, store):
+    directory, later = store
+
+    def both():
+        return (sorted(map(str, read(spark, directory).drop("ingested_at").collect())) for read in (tables.read_current, buckets.read_current))
+
+    one, other = both()
+    assert one == other and len(one) == 20
+    assert buckets.write_copy(spark, directory) == 1
+    one, other = both()
+    assert one == other
+    later()
+    one, other = both()
+    assert one == other and len(one) == 32 and sum("status='new'" in row for row in one) == 29
+    assert buckets.write_copy(spark, directory) == 2
+    one, other = both()
+    assert one == other
+    for table in spark.catalog.listTables():  # as in another session, which has declared nothing
+        if table.name.startswith("roadsift_"):
+            spark.sql(f"DROP TABLE `{table.name}`")
+    assert sorted(map(str, buckets.read_current(spark, directory).drop("ingested_at").collect())) == one
+
+
+def test_a_copy_that_broke_off_is_not_read(spark, store, monkeypatch):
+    directory, later = store
+    buckets.write_copy(spark, directory)
+    later()
+    with monkeypatch.context() as patch:
+        patch.setattr(buckets, "COPIES", "bucketed/broken")
+        patch.setattr(buckets, "LOG", "broken")
+        with pytest.raises(Exception):
+            buckets.write_copy(spark, directory)
+    assert buckets.newest_copy(spark, directory).version == 1
+    assert buckets.read_current(spark, directory).count() == 32
+
+
+def test_no_text_is_shuffled_or_sorted(spark, store):
+    directory, later = store
+    buckets.write_copy(spark, directory)
+    plan = buckets.read_current(spark, directory)._jdf.queryExecution().executedPlan().toString()
+    path = above(plan, "body")
+    assert any("ShuffledHashJoin" in line or "BroadcastHashJoin" in line for line in path)
+    assert not any("Exchange" in line or "Sort " in line for line in path)
+    whole = tables.read_current(spark, directory)._jdf.queryExecution().executedPlan().toString()
+    assert any("Exchange" in line for line in above(whole, "body"))
+
+
+def test_bucketed_joins_shuffle_nothing_at_all(spark, logs, make_items):
+    path = shared_folder(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = make_items(*[{}] * 40).select("id", "body")
+        events, fixes, themes = logs([(at, 1, "label") for at in range(1, 40, 2)], [(3, 2, "pricing", 4)], [(1, at, at % 4) for at in range(40)])
+        read = []
+        for name, rows, key in (("items", items, "id"), ("events", events, "item_id"), ("fixes", fixes, "item_id")):
+            buckets.write_bucketed(rows, f"{path}/{name}", key, 8)
+            schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+            read.append(buckets.read_bucketed(spark, f"{path}/{name}", schema, key, 8))
+        found = state.current_items_of_buckets(read[0], tuple(read[1:]), (events.limit(0), fixes.limit(0)), themes)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line or "Sort " in line for line in above(plan, "body"))
+        assert not any("Exchange" in line for line in above(plan, "item_id"))  # the bucketed logs are aggregated where they lie
+        want = state.current_items(items, events, fixes, themes)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
