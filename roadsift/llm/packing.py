@@ -104,17 +104,20 @@ class Encoder:
         """Words of the generation before are carried over, so that frequent ones last; the others are encoded at once."""
         if len(self.words) > WORDS:
             self.older, self.words = self.words, {}
+        known = [list(map(self.words.get, found)) for _, found in waiting]
+        gaps = [[place for place, ids in enumerate(own) if ids is None] for own in known]
         new = []
-        for word in set().union(*(found for _, found in waiting)):
-            if word not in self.words:
-                if (known := self.older.get(word)) is None:
-                    new.append(word)
-                else:
-                    self.words[word] = known
+        for word in {found[place] for (_, found), places in zip(waiting, gaps) for place in places}:
+            if (before := self.older.get(word)) is None:
+                new.append(word)
+            else:
+                self.words[word] = before
         for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.words[word] = np.array(encoded.ids, "<u4").tobytes()
-        for at, found in waiting:
-            whole[at].append(np.frombuffer(b"".join(map(self.words.__getitem__, found)), "<u4"))
+        for (at, found), own, places in zip(waiting, known, gaps):
+            for place in places:
+                own[place] = self.words[found[place]]
+            whole[at].append(np.frombuffer(b"".join(own), "<u4"))
 
 
 def _parts(text: str) -> Iterator[str]:
