@@ -93,6 +93,10 @@ ORACLES["drift_table"] = f"WITH {DRIFT} SELECT * FROM drifted"
 ORACLES["drift_printout"] = f"""WITH {DRIFT} SELECT theme_id, concat('  [', CASE WHEN change > 0 THEN 'UP  ' WHEN change < 0 THEN 'DOWN' ELSE 'flat' END, '] ',
  CASE WHEN length(theme) < 42 THEN rpad(theme, 42, ' ') ELSE theme END, printf(' %2d -> %2d  (%+d)', previous, recent, change)) AS line FROM drifted"""
 ORACLES["stream_daily_counts"] = ORACLES["drift_table"]
+SECOND = DRIFT.replace("CAST(t.id AS BIGINT)", "CAST(t.id + 10 AS BIGINT)").replace(
+    "JOIN feedback_items f ON f.theme_id = t.id", "JOIN theme_runs r ON r.run_id = 2 AND r.theme_id = t.id + 10 JOIN feedback_items f ON f.id = r.item_id"
+)
+ORACLES["drift_by_deltas"] = f"WITH {SECOND} SELECT * FROM drifted"
 ORACLES["drift_brief"] = f"WITH {BRIEF} SELECT * FROM brief"
 ORACLES["brief_document"] = f"""WITH {BRIEF} SELECT 'brief' AS target_kind, concat('# State of Feedback — week ending ', week_ending, chr(10), chr(10),
  '*', CAST(total_recent AS VARCHAR), ' actionable items this week.*', chr(10), chr(10), '## Summary', chr(10), 'Ship it.', chr(10), chr(10),

@@ -786,6 +786,23 @@ def stream_daily_counts(given):
     return moved.withColumn("anchor", F.col("anchor").cast("string"))
 
 
+@query
+def drift_by_deltas(given):
+    """Drift after a second theme run, out of counts that each run only changes where it moves items."""
+    path, spark = shared_folder(given.spark), given.spark
+    items = given.feedback_items.select("id", F.col("created_at").cast("timestamp").alias("created_at"))
+    daily.add_change(spark, path, "items", items.withColumn("theme_id", F.lit(None).cast("bigint")))
+    assigned, none = given.theme_runs, given.theme_runs.limit(0)
+    before = none
+    for run in (1, 2, 2):  # the second run comes again by mistake
+        after = assigned.filter(F.col("run_id") == run)
+        daily.add_change(spark, path, f"themes-{run}", daily.theme_changes(items, before, after))
+        before = after
+    named = given.themes.select((F.col("id") + 10).alias("id"), "name")
+    moved = drift.drift_from_daily(daily.read_daily_counts(spark, path), named)
+    return moved.withColumn("anchor", F.col("anchor").cast("string"))
+
+
 @query
 def first_rows(given):
     classified = given.feedback_items.filter("status = 'classified'")

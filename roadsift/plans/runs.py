@@ -17,10 +17,11 @@ from roadsift.operators.labels import label_events, label_with
 from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
 from roadsift.operators.small import hinted
-from roadsift.operators.state import correction_events, reset_events, unlabeled
+from roadsift.operators.state import correction_events, latest_themes, reset_events, unlabeled
 from roadsift.session import shared_folder, written
 from roadsift.sources.key_filters import extend, known_keys
 from roadsift.sources.tables import append, newest_run, read_current, read_table
+from roadsift.streaming import daily
 
 
 def _next(table: DataFrame, column: str) -> int:
@@ -156,3 +157,30 @@ def score_themes(spark: SparkSession, directory: str, efforts: DataFrame | None
     scored = rice(read_current(spark, directory), newest_run(read_table(spark, directory, "themes")), efforts)
     append(scored.withColumn("run_id", F.lit(run_id)), directory, "opportunities")
     return run_id
+
+
+def update_daily_counts(spark: SparkSession, directory: str, out: str) -> list[str]:
+    """Adds to the daily counts in ``out`` what was stored since the last update, import by import and theme run by theme run.
+
+    An import's items come in without a theme; a finished theme run moves items from the themes of the run before to its
+    own, so only the items that it moves are counted. Returns the names of the changes. For one updater at a time.
+    """
+    counted = frozenset().union(*(part.changes for part in daily.live_parts(spark, out)))
+    items, assigned = read_table(spark, directory, "items"), read_table(spark, directory, "theme_assignments")
+    added = []
+    for number in sorted(row[0] for row in items.select("import_no").distinct().collect()):  # of partitions, not of rows
+        change = f"import-{number}"
+        if change not in counted:
+            rows = items.filter(F.col("import_no") == number).select("created_at", F.lit(None).cast("bigint").alias("theme_id"))
+            daily.add_change(spark, out, change, rows)
+            added.append(change)
+    finished = sorted(row[0] for row in read_table(spark, directory, "themes").select("run_id").distinct().collect())
+    last = None
+    for run_id in finished:
+        change = f"themes-{run_id}"
+        if change not in counted:
+            before, after = (latest_themes(assigned.filter(F.col("run_id") == run)) for run in (-1 if last is None else last, run_id))
+            daily.add_change(spark, out, change, daily.theme_changes(items.select("id", "created_at"), before, after))
+            added.append(change)
+        last = run_id
+    return added

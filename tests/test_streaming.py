@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadsift.operators import drift
+from roadsift.plans import runs
 from roadsift.session import shared_folder
 from roadsift.sources import tables
 from roadsift.streaming import daily, ingest
@@ -75,3 +77,73 @@ def test_items_left_by_a_broken_run_are_labelled_at_the_next_start(spark):
     current = tables.read_current(spark, f"{path}/tables")
     assert {r.external_id: r.status for r in current.collect()} == {"a": "new", "b": "classified"}
     assert {r.external_id: r.fb_type for r in take_in(spark, path).collect()} == {"a": "bug", "b": "praise"}
+
+
+def counts(spark, out):
+    return {(str(row.day), row.theme_id): row["items"] for row in daily.read_daily_counts(spark, out).collect()}
+
+
+def test_changes_add_up_by_levels_and_count_once(spark, monkeypatch):
+    monkeypatch.setattr(daily, "LEVEL", 2)
+    out, schema = shared_folder(spark), "created_at timestamp, theme_id long"
+    start = datetime(2024, 3, 1)
+    for at in range(5):
+        rows = spark.createDataFrame([(start + timedelta(days=at), 1), (start, at % 2), (None, 3)], schema)
+        assert daily.add_change(spark, out, f"c{at}", rows)
+        assert not daily.add_change(spark, out, f"c{at}", rows)
+    parts = daily.live_parts(spark, out)
+    assert sorted(part.level for part in parts) == [0, 2] and frozenset().union(*(part.changes for part in parts)) == {f"c{at}" for at in range(5)}
+    assert counts(spark, out) == {("2024-03-01", 0): 3, ("2024-03-01", 1): 3, ("2024-03-02", 1): 1, ("2024-03-03", 1): 1, ("2024-03-04", 1): 1, ("2024-03-05", 1): 1, ("None", 3): 5}
+
+
+def test_late_rows_count_and_are_listed(spark):
+    out, schema = shared_folder(spark), "created_at timestamp, theme_id long"
+    newest = datetime(2024, 3, 20)
+    daily.add_change(spark, out, "a", spark.createDataFrame([(newest, 1), (newest - timedelta(days=19), 1)], schema))
+    daily.add_change(spark, out, "b", spark.createDataFrame([(newest - timedelta(days=7), 1), (newest - timedelta(days=8), 1), (newest - timedelta(days=8), 2)], schema))
+    assert sum(counts(spark, out).values()) == 5
+    assert {(str(row.day), row.theme_id, row.late) for row in daily.read_late_counts(spark, out).collect()} == {("2024-03-12", 1, 1), ("2024-03-12", 2, 1)}
+    assert daily.read_daily_counts(spark, shared_folder(spark)).collect() == []
+
+
+def test_a_change_that_broke_off_is_not_read(spark, monkeypatch):
+    out = shared_folder(spark)
+    rows = spark.createDataFrame([(datetime(2024, 3, 1), 1)], "created_at timestamp, theme_id long")
+    with monkeypatch.context() as patch:
+        patch.setattr(daily, "LOG", "broken")
+        with pytest.raises(Exception):
+            daily.add_change(spark, out, "a", rows)
+    assert counts(spark, out) == {}
+    assert daily.add_change(spark, out, "a", rows) and counts(spark, out) == {("2024-03-01", 1): 1}
+
+
+def test_theme_runs_change_only_what_they_move(spark):
+    directory, out = shared_folder(spark), shared_folder(spark)
+    start = datetime(2024, 3, 1)
+
+    def take_in(numbers):
+        rows = [(at, "s", f"k{at}", "ann", f"this will crash again, said user {at}", 1, start + timedelta(days=at)) for at in numbers]
+        runs.import_feedback(spark, directory, spark.createDataFrame(rows, SCHEMA), [F.col("arrival")])
+
+    def assign(run_id, theme_of):
+        tables.append(spark.createDataFrame([(run_id, item, theme) for item, theme in theme_of.items()], "run_id long, item_id long, theme_id long"), directory, "theme_assignments")
+        names = sorted(set(theme_of.values()))
+        tables.append(spark.createDataFrame([(run_id, theme, f"t{theme}", "s") for theme in names], tables.TABLES["themes"]), directory, "themes")
+
+    def check():
+        themes = tables.newest_run(tables.read_table(spark, directory, "themes"))
+        whole = drift.drift(tables.read_current(spark, directory), themes).collect()
+        assert drift.drift_from_daily(daily.read_daily_counts(spark, out), themes).collect() == whole and whole
+
+    take_in(range(12))
+    assign(1, {at: 1 + at % 2 for at in range(10)})
+    assert runs.update_daily_counts(spark, directory, out) == ["import-1", "themes-1"]
+    check()
+    take_in(range(12, 18))
+    assign(2, {at: 3 + at % 3 for at in range(4, 18)})
+    assert runs.update_daily_counts(spark, directory, out) == ["import-2", "themes-2"]
+    assert runs.update_daily_counts(spark, directory, out) == []
+    check()
+    items = tables.read_table(spark, directory, "items").select("id", "created_at")
+    same = daily.theme_changes(items, spark.createDataFrame([(1, 5), (2, 6)], "item_id long, theme_id long"), spark.createDataFrame([(1, 5), (2, 7)], "item_id long, theme_id long"))
+    assert sorted((row.theme_id, row.sign) for row in same.collect()) == [(6, -1), (7, 1)]
