@@ -2,14 +2,17 @@
 
 A word's features are its affixes, its character bigrams and trigrams, the word itself, and for each label whether a learned
 lexicon gives the word to it; they are hashed into a table of fixed size. Transitions between the labels of neighbours
-are learned with the feature weights, by Adam on the likelihood of the training sentences. Forward-backward gives each
-word's label probabilities. Sentences of a batch go through it side by side, longest first.
+are learned with the feature weights, by Adam on the likelihood of the training sentences; some of these are joined from
+two sentences of different labels, so that moves from label to label are seen too. Forward-backward gives each word's label
+probabilities. Sentences of a batch go through it side by side, longest first. Learning works on a part of the sentences at
+a time, and keeps the truth as label numbers, so its memory is some arrays of FEATURES x labels and no more.
 """
 
 import re
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +20,11 @@ FEATURES = 1 << 16
 ROUNDS = 40
 RATE = 0.15
 DECAY = 1e-4
+#: Of so many sentences one is joined with its successor, in hashed order, if that has another label.
+SWITCH_EVERY = 5
+#: Tokens x labels that learning works on at a time, and rows of weights that are updated at a time.
+CELLS = 1 << 19
+ROWS = 4096
 #: A word enters the lexicon of a label that has this share of at least two occurrences.
 LEXICON_SHARE = 0.8
 
@@ -103,42 +111,84 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     model = Model(labels, np.zeros((FEATURES, count)), np.zeros((count, count)), np.zeros((count, count)), lexicon)
     if not sentences:
         return model
-    words = sorted(seen)
-    row_of = {word: row for row, word in enumerate(words)}
-    tokens = np.fromiter((row_of[word] for own, _ in sentences for word in own), np.int64)
-    lengths = np.array([len(own) for own, _ in sentences])
-    truth = np.repeat([number for _, number in sentences], lengths)
-    hashed = [features(word) for word in words]
-    sizes = np.array([len(row) for row in hashed])
-    flat = np.fromiter((x for row in hashed for x in row), np.int64)
-    starts = np.cumsum(sizes) - sizes
-    listed = np.array([lexicon.get(word, -1) for word in words])
-    known = listed >= 0
-    right = np.zeros((len(tokens), count))
-    right[np.arange(len(tokens)), truth] = 1
-    stays = np.diag(np.bincount(truth, minlength=count) - np.bincount([number for _, number in sentences], minlength=count)).astype(float)
+    joined = _switched(sentences)
+    chains = [(own, [number] * len(own)) for own, number in sentences] + joined
+    row_of = {word: row for row, word in enumerate(sorted(seen))}
+    hashed = [features(word) for word in row_of]
+    listed = np.array([lexicon.get(word, -1) for word in row_of])
+    parts, held, size = [], [], 0
+    for chain in chains:
+        held.append(chain)
+        size += len(chain[0])
+        if size * count >= CELLS:
+            parts.append(_Part(held, row_of, hashed, listed))
+            held, size = [], 0
+    if held:
+        parts.append(_Part(held, row_of, hashed, listed))
+    total = sum(len(own) for own, _ in chains)
+    moved = np.zeros((count, count))
+    for _, truth in chains:
+        labelled = np.array(truth, np.int64)
+        np.add.at(moved, (labelled[:-1], labelled[1:]), 1)
     params = [model.weights, model.lexical, model.moves]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    first, second = ([np.zeros(p.shape, np.float32) for p in params] for _ in range(2))
     for turn in range(1, ROUNDS + 1):
-        by_word = np.add.reduceat(model.weights[flat], starts, axis=0)
-        by_word[known] += model.lexical[listed[known]]
-        chance, expected = forward_backward(by_word[tokens], lengths, model.moves)
-        off = right - chance
-        word_off = np.stack([np.bincount(tokens, off[:, k], len(words)) for k in range(count)], axis=1)
-        spread = np.repeat(word_off, sizes, axis=0)
-        grads = [
-            np.stack([np.bincount(flat, spread[:, k], FEATURES) for k in range(count)], axis=1),
-            np.stack([np.bincount(listed[known], word_off[known, k], count) for k in range(count)], axis=1),
-            stays - expected,
-        ]
+        grads = [np.zeros_like(model.weights), np.zeros_like(model.lexical), moved.copy()]
+        for part in parts:
+            part.add_gradients(model, grads)
         for at, (value, grad) in enumerate(zip(params, grads)):
-            grad = grad / len(tokens) - DECAY * value
-            first[at] += 0.1 * (grad - first[at])
-            second[at] += 0.01 * (grad**2 - second[at])
-            value += RATE * (first[at] / (1 - 0.9**turn)) / (np.sqrt(second[at] / (1 - 0.99**turn)) + 1e-8)
+            for low in range(0, len(value), ROWS):
+                rows = slice(low, low + ROWS)
+                step = grad[rows] / total - DECAY * value[rows]
+                first[at][rows] += 0.1 * (step - first[at][rows])
+                second[at][rows] += 0.01 * (step**2 - second[at][rows])
+                value[rows] += RATE * (first[at][rows] / (1 - 0.9**turn)) / (np.sqrt(second[at][rows] / (1 - 0.99**turn)) + 1e-8)
     return model
 
 
+def _switched(sentences: list[tuple[list[str], int]]) -> list[tuple[list[str], list[int]]]:
+    """Sentences that begin in one label and end in another: (words, label of each), the same for the same sentences."""
+    order = sorted(range(len(sentences)), key=lambda at: (zlib.crc32(" ".join(sentences[at][0]).encode()), at))
+    joined = []
+    for one, other in zip(order[::SWITCH_EVERY], order[1::SWITCH_EVERY]):
+        (words, label), (more, next_label) = sentences[one], sentences[other]
+        if label != next_label:
+            head, tail = words[: -(-len(words) // 2)], more[len(more) // 2 :]
+            joined.append((head + tail, [label] * len(head) + [next_label] * len(tail)))
+    return joined
+
+
+class _Part:
+    """Some of the training sentences, laid out for adding up their gradients."""
+
+    def __init__(self, chains: list[tuple[list[str], list[int]]], row_of: dict[str, int], hashed: list[list[int]], listed: np.ndarray):
+        tokens = np.fromiter((row_of[word] for own, _ in chains for word in own), np.int64)
+        self.truth = np.fromiter((label for _, labels in chains for label in labels), np.int64)
+        self.lengths = np.array([len(own) for own, _ in chains])
+        rows, self.word = np.unique(tokens, return_inverse=True)
+        self.sizes = np.array([len(hashed[row]) for row in rows])
+        self.flat = np.fromiter((x for row in rows for x in hashed[row]), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.listed = listed[rows]
+        self.by_word = np.argsort(self.word, kind="stable")
+        self.word_starts = np.searchsorted(self.word[self.by_word], np.arange(len(rows)))
+        self.by_feature = np.argsort(self.flat, kind="stable")
+        self.used, self.feature_starts = np.unique(self.flat[self.by_feature], return_index=True)
+
+    def add_gradients(self, model: Model, grads: list[np.ndarray]) -> None:
+        scores = np.add.reduceat(model.weights[self.flat], self.starts, axis=0)
+        known = self.listed >= 0
+        scores[known] += model.lexical[self.listed[known]]
+        off, expected = forward_backward(scores[self.word], self.lengths, model.moves)
+        off *= -1
+        off[np.arange(len(off)), self.truth] += 1
+        word_off = np.add.reduceat(off[self.by_word], self.word_starts, axis=0)
+        spread = np.repeat(word_off, self.sizes, axis=0)[self.by_feature]
+        grads[0][self.used] += np.add.reduceat(spread, self.feature_starts, axis=0)
+        np.add.at(grads[1], self.listed[known], word_off[known])
+        grads[2] -= expected
+
+
 class Labeler:
     """Sums label probabilities over the words of texts; remembers the scores of words up to a bound."""
 
@@ -192,18 +242,47 @@ class Labeler:
         return totals, numbers
 
     def _add(self, tokens: list[str], owners: list[tuple[int, int]], totals: np.ndarray, numbers: np.ndarray) -> None:
-        rows = self._rows(tokens)
-        owner = np.repeat([at for at, _ in owners], [size for _, size in owners])
-        sentence = np.cumsum(rows == -1)
-        real = rows >= 0
+        real, chance = self._chances(tokens)
         if not real.any():
             return
-        lengths = np.bincount(sentence[real])
-        chance, _ = forward_backward(self.table[rows[real]], lengths[lengths > 0], self.model.moves)
+        owner = np.repeat([at for at, _ in owners], [size for _, size in owners])
         for label in range(chance.shape[1]):
             totals[:, label] += np.bincount(owner[real], chance[:, label], len(totals))
         numbers += np.bincount(owner[real], minlength=len(numbers))
 
+    def _chances(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are words, and the label probabilities of each word."""
+        rows = self._rows(tokens)
+        sentence = np.cumsum(rows == -1)
+        real = rows >= 0
+        if not real.any():
+            return real, np.zeros((0, len(self.model.labels)))
+        lengths = np.bincount(sentence[real])
+        return real, forward_backward(self.table[rows[real]], lengths[lengths > 0], self.model.moves)[0]
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, label) of each run of words of one label, in code points of the text; a word has its likeliest label."""
+        if not self.model.labels:
+            return []
+        lower = text.lower()
+        if len(lower) != len(text):  # some capitals have longer lower forms
+            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        found: list[tuple[int, int, str]] = []
+        part: list[re.Match] = []
+        for match in chain(TOKEN.finditer(lower), [None]):
+            if match is not None:
+                part.append(match)
+            if part and (match is None or len(part) >= self.GROUP or len(part) >= self.GROUP // 2 and match.group() in ENDS):
+                real, chance = self._chances([each.group() for each in part])
+                for each, label in zip((each for each, is_word in zip(part, real) if is_word), chance.argmax(axis=1)):
+                    name = self.model.labels[label]
+                    if found and found[-1][2] == name:
+                        found[-1] = (found[-1][0], each.end(), name)
+                    else:
+                        found.append((each.start(), each.end(), name))
+                part = []
+        return found
+
 
 def _parts(tokens, size: int):
     part: list[str] = []

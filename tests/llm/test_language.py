@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -88,3 +89,51 @@ def test_odd_rows(odd_docs, no_docs):
 def test_nothing_learned_is_undetermined(make_docs):
     rows = language.identified(make_docs((1, "some words"), (2, "more words"))).collect()
     assert {(row["lang_pred"], row["score"]) for row in rows} == {("und", 0.0)}
+
+
+def test_switches_within_texts_are_found(spark, make_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = crf.fit(language.sample(docs))
+    words = {}
+    for row in docs.filter("lang IS NOT NULL").filter(language.held_out(docs["doc_id"])).orderBy("doc_id").collect():
+        words.setdefault(row["lang"], []).extend(word for word in row["text"].split() if word.isalpha())
+    pieces, truth = [], []
+    for turn in range(12):
+        for name in sorted(words):
+            pieces.append(" ".join(words[name][turn * 12 : turn * 12 + 12]))
+            truth.append(name)
+    text = " ".join(pieces)
+    spans = crf.Labeler(learned).spans(text)
+    right = start = 0
+    for piece, name in zip(pieces, truth):
+        for low, high, found in spans:
+            if found == name:
+                right += max(0, min(high, start + len(piece)) - max(low, start))
+        start += len(piece) + 1
+    assert right >= 0.9 * len(text)
+    assert learned.moves.shape == (len(learned.labels),) * 2
+    rows = language.word_spans(make_docs((1, text), (2, None), (3, "12 !"), (4, "İİ the dog")), learned).collect()
+    assert [[tuple(span) for span in row["spans"]] for row in rows] == [spans, [], [], crf.Labeler(learned).spans("İİ the dog")]
+    assert rows[0]["row"]["doc_id"] == 1 and language.word_spans(no_docs, learned).collect() == []
+
+
+def test_every_language_is_learned_in_bounded_memory(spark, monkeypatch):
+    assert language.sample_size(4) == language.sample_size(15) == (200, 2000)
+    for languages in (16, 40, 300):
+        documents, window = language.sample_size(languages)
+        assert documents >= 1 and window >= 200 and documents * window * languages**2 <= language.SAMPLE_CELLS
+    rows = [(at, " ".join(f"w{chr(97 + label % 26)}{chr(97 + label // 26)}{chr(97 + at * n % 23)}" for n in range(40)), f"l{label:03d}") for at, label in enumerate(list(range(300)) * 4)]
+    sample = language.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len({label for _, label in sample}) == 300
+    monkeypatch.setattr(crf, "ROUNDS", 2)
+    tracemalloc.start()
+    fitted = crf.fit(sample)
+    assert len(fitted.labels) == 300 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_joined_sentences_switch_and_repeat():
+    sentences = [([f"w{at}{n}" for n in range(1 + at % 5)], at % 3) for at in range(100)]
+    joined = crf._switched(sentences)
+    assert joined == crf._switched(sentences) and joined
+    assert all(len(words) == len(labels) and len(set(labels)) == 2 for words, labels in joined)
