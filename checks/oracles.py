@@ -370,11 +370,11 @@ def item_line(item: str, chars: int) -> str:
 
 GUIDANCE = "'\n\nGuidance from the product manager, to be reflected in the sections it concerns:\nAndroid first\n'"
 ORACLES["theme_pack"] = f"""WITH {SCORED}, {POOL}, shown AS (SELECT theme_id, string_agg({item_line('id', packs.THEME_CHARS)}, chr(10) ORDER BY rank) AS evidence FROM pool GROUP BY theme_id)
- SELECT n.theme_id, concat('OPPORTUNITY: ', name, chr(10), 'Theme summary: ', summary, chr(10), 'Evidence base: ', CAST(reach AS VARCHAR), ' reports, avg severity ',
-  CAST(impact AS VARCHAR), '/4, RICE ', printf('%.1f', rice_score), '.', chr(10), chr(10), 'User reviews, to be cited by their [#id]:', chr(10), evidence, chr(10), {GUIDANCE}) AS pack
+ SELECT n.theme_id, concat('Theme to write about: ', name, chr(10), 'What it is about: ', summary, chr(10), 'Size: ', CAST(reach AS VARCHAR), ' items; mean severity (1 to 4): ',
+  CAST(impact AS VARCHAR), '; score: ', printf('%.1f', rice_score), chr(10), chr(10), 'Items, each under the number that cites it:', chr(10), evidence, chr(10), {GUIDANCE}) AS pack
  FROM ({NAMED}) n LEFT JOIN shown s ON s.theme_id = n.theme_id"""
 ORACLES["review_pack"] = f"""WITH {SIBLINGS}, shown AS (SELECT id, string_agg({item_line('sibling_id', packs.SIBLING_CHARS)}, chr(10) ORDER BY rank) AS others FROM related GROUP BY id)
- SELECT f.id, concat('TARGET REVIEW [#', CAST(f.id AS VARCHAR), '] (type: ', f.fb_type, ', severity: ', CAST(f.severity AS VARCHAR), '/4):', chr(10), '\"\"\"', f.body, '\"\"\"', chr(10),
+ SELECT f.id, concat('Item to write about, cited as [#', CAST(f.id AS VARCHAR), ']. Label: ', f.fb_type, '; severity (1 to 4): ', CAST(f.severity AS VARCHAR), '. In full:', chr(10), '\"\"\"', f.body, '\"\"\"', chr(10),
   CASE WHEN others IS NULL THEN '' ELSE concat(chr(10), 'Related feedback of the same theme, which may be cited too:', chr(10), others, chr(10)) END) AS pack
  FROM feedback_items f LEFT JOIN shown s ON s.id = f.id WHERE f.status = 'classified'"""
 ORACLES["memo_document"] = f"""WITH {SCORED}, {LINES}, panel AS (SELECT string_agg(concat('## ', fb_type, chr(10), CAST(items AS VARCHAR), ' items'), concat(chr(10), chr(10)) ORDER BY fb_type) AS parts
@@ -384,13 +384,13 @@ ORACLES["memo_document"] = f"""WITH {SCORED}, {LINES}, panel AS (SELECT string_a
 PANEL = """(SELECT string_agg(concat('### ', fb_type, chr(10), CAST(items AS VARCHAR), ' items'), concat(chr(10), chr(10)) ORDER BY fb_type)
   FROM (SELECT fb_type, count(*) AS items FROM feedback_items WHERE status = 'classified' GROUP BY fb_type) t)"""
 ROADMAP = "(SELECT string_agg(line, chr(10) ORDER BY position) FROM lines)"
-ORACLES["decision_pack"] = f"""WITH {SCORED}, {LINES} SELECT concat('ROADMAP:', chr(10), {ROADMAP}, chr(10), chr(10), 'PANEL OPINIONS:', chr(10),
+ORACLES["decision_pack"] = f"""WITH {SCORED}, {LINES} SELECT concat('Themes, the best score first:', chr(10), {ROADMAP}, chr(10), chr(10), 'What each role says:', chr(10),
  {PANEL}, chr(10)) AS pack"""
-ORACLES["opinion_packs"] = f"""WITH {SCORED}, {LINES} SELECT fb_type AS position, fb_type AS role, concat('You are the ', fb_type, '. ', CAST(items AS VARCHAR), ' items',
- chr(10), chr(10), 'RICE-ranked roadmap:', chr(10), {ROADMAP}, chr(10)) AS pack
+ORACLES["opinion_packs"] = f"""WITH {SCORED}, {LINES} SELECT fb_type AS position, fb_type AS role, concat('Speak for this role: ', fb_type, '. ', CAST(items AS VARCHAR), ' items',
+ chr(10), chr(10), 'Themes, the best score first:', chr(10), {ROADMAP}, chr(10)) AS pack
  FROM (SELECT fb_type, count(*) AS items FROM feedback_items WHERE status = 'classified' GROUP BY fb_type) t"""
-ORACLES["brief_pack"] = f"""WITH {BRIEF} SELECT concat('Week ending ', week_ending, '. ', CAST(total_recent AS VARCHAR), ' actionable feedback items came in.', chr(10), chr(10),
- 'Theme movement (previous week → this week, with change):', chr(10), movement, chr(10), chr(10), 'Top RICE opportunity: ', top_theme, ' (RICE ', top_score, ').', chr(10)) AS pack FROM brief"""
+ORACLES["brief_pack"] = f"""WITH {BRIEF} SELECT concat('Last day counted: ', week_ending, '. Items of the week in themes: ', CAST(total_recent AS VARCHAR), '.', chr(10), chr(10),
+ 'Each theme, the week before and this week:', chr(10), movement, chr(10), chr(10), 'Best score: ', top_theme, ', with ', top_score, '.', chr(10)) AS pack FROM brief"""
 JUDGE_PROMPT = f"concat({text(evaluation.JUDGE_HEAD)}, body, {text(evaluation.JUDGE_MIDDLE)}, fb_type, {text(evaluation.JUDGE_TAIL)})"
 ORACLES["hooked_verdicts"] = f"""SELECT id AS item_id, fb_type, CASE WHEN length({JUDGE_PROMPT}) % 2 = 0 THEN true END AS type_correct,
  CASE WHEN length({JUDGE_PROMPT}) % 2 = 1 THEN 'quota' END AS error FROM feedback_items WHERE status = 'classified'"""
@@ -398,6 +398,28 @@ ORACLES["theme_docs"] = f"""WITH {SCORED}, newest AS (SELECT * FROM (SELECT *, r
   FROM versions WHERE target_kind = 'theme') v WHERE back = 1)
  SELECT s.theme_id, s.rice_score, n.markdown AS draft_prd, n.updated_at FROM scored s LEFT JOIN newest n ON n.target_id = s.theme_id"""
 
+WRITTEN = f"""{POOL}, hooked AS (SELECT p.theme_id, concat('Plan: ', string_agg(concat('[#', CAST(p.id AS VARCHAR), ']'), ' ' ORDER BY p.rank), ' and [#999999999]') AS markdown
+  FROM pool p JOIN themes t ON t.id = p.theme_id WHERE t.name <> 'theme 3' GROUP BY p.theme_id), {cites('hooked', 'theme_id')},
+ judged AS (SELECT c.theme_id, c.cited, p.id, p.fb_type, p.severity, p.body FROM cites c LEFT JOIN pool p ON p.theme_id = c.theme_id AND p.id = c.cited)"""
+ORACLES["theme_document_run"] = f"""WITH drafted AS ({report('hooked', 'theme_id', WRITTEN)}), {SCORED}
+ SELECT s.theme_id, r.markdown, CASE WHEN t.name = 'theme 3' THEN 'quota' END AS error
+ FROM scored s JOIN themes t ON t.id = s.theme_id LEFT JOIN drafted r ON r.theme_id = s.theme_id"""
+REVIEWED = f"""{SIBLINGS}, hooked AS (SELECT f.id AS item_id, concat('Plan: [#', CAST(f.id AS VARCHAR), ']',
+   coalesce(string_agg(concat(' [#', CAST(r.sibling_id AS VARCHAR), ']'), '' ORDER BY r.rank) FILTER (WHERE r.sibling_id IS NOT NULL), ''), ' and [#999999999]') AS markdown
+  FROM feedback_items f LEFT JOIN related r ON r.id = f.id WHERE f.status = 'classified' GROUP BY f.id), {cites('hooked', 'item_id')},
+ shown AS (SELECT id AS item_id, id, fb_type, severity, body FROM feedback_items UNION ALL SELECT id AS item_id, sibling_id, fb_type, severity, body FROM related),
+ judged AS (SELECT c.item_id, c.cited, s.id, s.fb_type, s.severity, s.body FROM cites c LEFT JOIN shown s ON s.item_id = c.item_id AND s.id = c.cited)"""
+ORACLES["review_document_run"] = f"SELECT item_id, markdown, CAST(NULL AS VARCHAR) AS error FROM ({report('hooked', 'item_id', REVIEWED)}) r"
+ORACLES["brief_run"] = ORACLES["brief_document"]
+ORACLES["memo_run"] = (
+    ORACLES["memo_document"]
+    .replace("CAST(items AS VARCHAR), ' items')", "'Speak for this role: ', fb_type, '. ', CAST(items AS VARCHAR), ' items')")
+    .replace("'Done.'", "(SELECT concat(CAST(count(DISTINCT fb_type) AS VARCHAR), ' voices.') FROM feedback_items WHERE status = 'classified')")
+)
+APPROVED = f"SELECT id AS item_id, CASE WHEN length({JUDGE_PROMPT}) % 2 = 0 THEN true END AS type_correct, fb_type AS suggested_type FROM feedback_items WHERE status = 'classified'"
+ORACLES["golden_run"] = ORACLES["judge_certify"].replace(" verdicts ", f" ({APPROVED}) ")
+ORACLES["sample_run"] = ORACLES["judge_sample"].replace(" verdicts ", f" ({APPROVED}) ")
+
 KEPT = f"""kept AS (SELECT source, external_id, author, {strip('body')} AS body FROM (
  SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY id) AS nth FROM feedback_items WHERE length({strip('body')}) >= 20) r WHERE nth = 1)"""
 ORACLES["batch_runs"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type, {keyword_case(3)} AS severity FROM kept)

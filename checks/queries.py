@@ -1,5 +1,6 @@
 """Every registered query: the engine's operators over the driver tables."""
 
+import re
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import table, view
 from roadsift.functions.numbers import round_even, theme_count
 from roadsift.operators import citations, drift, evaluation, ingest, kmeans, labels, ranking, scoring, state, themes
-from roadsift.plans import overview, packs, runs
+from roadsift.plans import overview, packs, runs, writing
 from roadsift.session import shared_folder
 from roadsift.sources import buckets, documents, feedback_csv, golden, reviews, tables
 from roadsift.streaming import daily
@@ -647,6 +648,63 @@ def report_files(given):
     return citations.report_counters(documents.read_text(given.spark, path), "target_id")
 
 
+# Runs in which a model writes or judges; the models here are stubs that work by rule
+
+
+def _citing(prompts):
+    """A writer that cites all it was shown and an item that is not there, and fails on one theme."""
+    replies = [f"Plan: {' '.join(re.findall(r'\[#[0-9]+\]', prompt))} and [#999999999]" for prompt in prompts]
+    return [(None, "quota") if "about: theme 3\n" in prompt else (reply, None) for prompt, reply in zip(prompts, replies)]
+
+
+def _approving(prompts):
+    """A judge that approves prompts of even length and fails on the others."""
+    return [('{"type_correct": true}', None) if len(prompt) % 2 == 0 else (None, "quota") for prompt in prompts]
+
+
+@query
+def theme_document_run(given):
+    return writing.theme_documents(_opportunities(given), given.themes, given.feedback_items, _citing)
+
+
+@query
+def review_document_run(given):
+    items = given.feedback_items
+    return writing.review_documents(items.select("id"), items, given.themes, _citing)
+
+
+@query
+def brief_run(given):
+    made = writing.brief_document(given.feedback_items, given.themes, _opportunities(given), lambda prompts: [("Ship it.", None)] * len(prompts))
+    return made.select("target_kind", "markdown")
+
+
+@query
+def memo_run(given):
+    by_type = overview.mix(given.feedback_items, "fb_type")
+    mandate = F.concat(F.col("items").cast("string"), F.lit(" items")).alias("mandate")
+    roles = by_type.select(F.col("fb_type").alias("position"), F.col("fb_type").alias("role"), mandate)
+    roadmap = scoring.roadmap_text(_opportunities(given), given.themes)
+
+    def first_line(prompts):
+        return [(prompt.split("\n")[0], None) for prompt in prompts]
+
+    def voices(prompts):
+        return [(f"{prompt.count('### ')} voices.", None) for prompt in prompts]
+
+    return writing.memo_document(roadmap, roles, first_line, voices).select("target_kind", "markdown")
+
+
+@query
+def golden_run(given):
+    return writing.judged_golden(given.golden, given.feedback_items, _approving)
+
+
+@query
+def sample_run(given):
+    return writing.judged_sample(given.feedback_items, _approving)
+
+
 # Runs and streams
 
 

@@ -37,10 +37,7 @@ BLOCK_BYTES = 32 << 20  # of centroids sent to every task at a time
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
-NAMING_HEAD = (
-    "The user reviews below were grouped into one theme. Give it a short, specific name and a one-sentence "
-    "summary.\n\nReviews:\n"
-)
+NAMING_HEAD = "What do these items of one cluster have in common? Say it in a name of few words and in one sentence.\n\nItems:\n"
 NAMING_TAIL = '\n\nAnswer with this JSON and nothing else: {"name": "...", "summary": "..."}'
 
 

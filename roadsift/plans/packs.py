@@ -13,6 +13,10 @@ from roadsift.schemas import EVIDENCE_POOL_SIZE, SIBLING_COUNT
 
 THEME_CHARS, SIBLING_CHARS, PREVIEW_CHARS = 300, 200, 220
 
+# The headings of a stored memo, which readers of such documents know.
+MEMO_HEAD = "# Prioritization Boardroom — Decision Memo\n\n## Roadmap considered\n"
+MEMO_PANEL = "\n\n# Panel debate\n"
+
 
 def theme_pack(
     opportunities: DataFrame, themes: DataFrame, items: DataFrame, guidance: str = "", n: int = EVIDENCE_POOL_SIZE
@@ -28,10 +32,10 @@ def theme_pack(
     offered = named(opportunities, themes)
     summary = F.col("summary") if "summary" in offered.columns else F.lit(None).cast("string")
     pack = F.concat(
-        F.lit("OPPORTUNITY: "), F.col("name"), F.lit("\nTheme summary: "), shown(summary),
-        F.lit("\nEvidence base: "), F.col("reach").cast("string"), F.lit(" reports, avg severity "),
-        F.col("impact").cast("string"), F.lit("/4, RICE "), score_text(F.col("rice_score")),
-        F.lit(".\n\nUser reviews, to be cited by their [#id]:\n"), F.coalesce(F.col("evidence"), F.lit("")),
+        F.lit("Theme to write about: "), F.col("name"), F.lit("\nWhat it is about: "), shown(summary),
+        F.lit("\nSize: "), F.col("reach").cast("string"), F.lit(" items; mean severity (1 to 4): "),
+        F.col("impact").cast("string"), F.lit("; score: "), score_text(F.col("rice_score")),
+        F.lit("\n\nItems, each under the number that cites it:\n"), F.coalesce(F.col("evidence"), F.lit("")),
         F.lit("\n"), guidance_block(F.lit(guidance)),
     )
     return offered.join(evidence, "theme_id", "left").select("theme_id", pack.alias("pack"))
@@ -54,8 +58,8 @@ def review_pack(
         F.size("siblings") > 0, F.concat(F.lit("\nRelated feedback of the same theme, which may be cited too:\n"), lines, F.lit("\n"))
     ).otherwise("")
     pack = F.concat(
-        F.lit("TARGET REVIEW [#"), F.col("id").cast("string"), F.lit("] (type: "), shown(F.col("fb_type")),
-        F.lit(", severity: "), shown(F.col("severity")), F.lit('/4):\n"""'), F.col("body"), F.lit('"""\n'),
+        F.lit("Item to write about, cited as [#"), F.col("id").cast("string"), F.lit("]. Label: "), shown(F.col("fb_type")),
+        F.lit("; severity (1 to 4): "), shown(F.col("severity")), F.lit('. In full:\n"""'), F.col("body"), F.lit('"""\n'),
         related, guidance_block(F.lit(guidance)),
     )
     return targets.select("id", pack.alias("pack"))
@@ -82,8 +86,8 @@ def opinion_packs(roadmap: DataFrame, roles: DataFrame) -> DataFrame:
     """
     text = roadmap.select("roadmap").scalar()
     pack = F.concat(
-        F.lit("You are the "), F.col("role"), F.lit(". "), F.col("mandate"),
-        F.lit("\n\nRICE-ranked roadmap:\n"), text, F.lit("\n"),
+        F.lit("Speak for this role: "), F.col("role"), F.lit(". "), F.col("mandate"),
+        F.lit("\n\nThemes, the best score first:\n"), text, F.lit("\n"),
     )
     return roles.select("position", "role", pack.alias("pack"))
 
@@ -94,22 +98,22 @@ def decision_pack(roadmap: DataFrame, opinions: DataFrame) -> DataFrame:
         "position", F.concat(F.lit("### "), F.col("role"), F.lit("\n"), F.col("opinion")).alias("_part")
     )
     panel = parts.agg(F.coalesce(ordered_lines("_part", "position", "\\n\\n"), F.lit("")).alias("_panel")).scalar()
-    pack = F.concat(F.lit("ROADMAP:\n"), F.col("roadmap"), F.lit("\n\nPANEL OPINIONS:\n"), panel, F.lit("\n"))
+    pack = F.concat(F.lit("Themes, the best score first:\n"), F.col("roadmap"), F.lit("\n\nWhat each role says:\n"), panel, F.lit("\n"))
     return roadmap.select(pack.alias("pack"))
 
 
-def memo_markdown(roadmap: DataFrame, opinions: DataFrame, decision: str) -> DataFrame:
+def memo_markdown(roadmap: DataFrame, opinions: DataFrame, decision: str | DataFrame) -> DataFrame:
     """(target_kind, target_id, markdown): roadmap text, the panel's opinions and the decision.
 
-    ``opinions(position, role, opinion)`` and ``decision`` come from outside.
+    ``opinions(position, role, opinion)`` and ``decision``, a text or one row (reply), come from outside.
     """
+    decided = F.lit(decision) if isinstance(decision, str) else F.coalesce(decision.select("reply").scalar(), F.lit(""))
     parts = opinions.select("position", F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.col("opinion")).alias("_part"))
     panel = parts.agg(F.coalesce(ordered_lines("_part", "position", "\\n\\n"), F.lit("")).alias("_panel")).scalar()
     return roadmap.select(
         F.lit("memo").alias("target_kind"),
         F.lit(None).cast("bigint").alias("target_id"),
         F.concat(
-            F.lit("# Prioritization Boardroom — Decision Memo\n\n## Roadmap considered\n"), F.col("roadmap"),
-            F.lit("\n\n# Panel debate\n"), panel, F.lit(f"\n\n---\n{decision}\n"),
+            F.lit(MEMO_HEAD), F.col("roadmap"), F.lit(MEMO_PANEL), panel, F.lit("\n\n---\n"), decided, F.lit("\n"),
         ).alias("markdown"),
     )

@@ -99,7 +99,7 @@ def test_quotes(spark, make_items, limit, monkeypatch):
 def test_packs(spark, pool, themes):
     opportunities = spark.createDataFrame([(35, 9, 2.56, 0.85, 2.0, 34.8)], "theme_id long, reach long, impact double, confidence double, effort double, rice_score double")
     text = packs.theme_pack(opportunities, themes, pool, n=2).first().pack
-    assert text.startswith("OPPORTUNITY: Crashes\nTheme summary: All of them\nEvidence base: 9 reports, avg severity 2.56/4, RICE 34.8.")
+    assert text.startswith("Theme to write about: Crashes\nWhat it is about: All of them\nSize: 9 items; mean severity (1 to 4): 2.56; score: 34.8\n")
     assert text.endswith("[#7] (bug, sev 4): body of 7\n[#50] (bug, sev 4): body of 50\n")
     by_id = {r.id: r.pack for r in packs.review_pack(pool, themes, guidance="go").collect()}
     assert '"""body of 149"""\n\nRelated' in by_id[149] and by_id[149].count("[#") == 7
