@@ -7,6 +7,7 @@ from roadsift.functions.dates import iso_timestamp
 from roadsift.functions.keys import content_id
 from roadsift.functions.numbers import whole_rating
 from roadsift.functions.text import blank_to_null, missing_to_null, or_default, strip
+from roadsift.sources.quoted_csv import read_quoted_csv
 
 COLUMNS = ["body", "author", "rating", "created_at", "external_id"]
 FEEDBACK_COLUMNS = ["source", "external_id", "author", "body", "rating", "created_at"]
@@ -16,22 +17,22 @@ ANONYMOUS = "anonymous"
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The CSV columns as text, in file order given by ``ingest_order``.
 
-    Only ``body`` is required. Quoted line breaks need ``multi_line``, which reads a file in one task: land large
-    exports as many files, or switch it off when no text holds a line break.
+    Only ``body`` is required. Quoted line breaks need ``multi_line``, which reads the files twice, by many tasks each.
     """
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False
-    )
-    raw = reader.csv(path)
+    if multi_line:
+        raw = read_quoted_csv(spark, path)
+        place = F.col("ingest_order")
+    else:
+        raw = spark.read.options(header=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False).csv(path)
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("ingest_order")
     if "body" not in raw.columns:
-        raise ValueError(f"CSV must have a 'body' column; found: {raw.columns}")
+        raise ValueError(f"CSV must have a 'body' column; found: {[name for name in raw.columns if name != 'ingest_order']}")
     present = [F.col(f"`{name}`") if name in raw.columns else F.lit(None).cast("string").alias(name) for name in COLUMNS]
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return raw.select(*present, place.alias("ingest_order"))
+    return raw.select(*present, place)
 
 
 def normalize_feedback(raw: DataFrame, source: str = "csv") -> DataFrame:

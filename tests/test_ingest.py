@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roadsift.operators import ingest, key_filter
 from roadsift.plans import runs
 from roadsift.session import shared_folder, written
-from roadsift.sources import feedback_csv, golden, key_filters, reviews, tables
+from roadsift.sources import feedback_csv, golden, key_filters, quoted_csv, reviews, tables
 
 BATCH = "id long, source string, external_id string, body string"
 
@@ -206,3 +206,41 @@ def test_bodies_are_not_sorted(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     sorts = [line for line in plan.splitlines() if "Sort [" in line and "_w" not in line]  # the files' sizes are added up in order
     assert sorts == [] and "SortMergeJoin" not in plan
+
+
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    draw = random.Random(4)
+    pieces = ["word ", "\n", "\r\n", '""', ",", "é", " " * 30, "x" * 90]
+    with open(tmp_path / "in.csv", "w", encoding="utf-8", newline="") as out:
+        out.write("body,author,rating\n")
+        for at in range(200):
+            body = "".join(draw.choices(pieces, k=draw.randint(0, 40)))
+            out.write(f'"{at} {body}",{draw.choice(["ann", "", chr(34) + "b,c" + chr(10) + "d" + chr(34)])},{at}' + draw.choice(["\n", "\n", "\n\n"]))
+        out.write('"the last one goes over\nmany lines' + "\n and more" * 400 + '",x,1')
+    want = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path / "in.csv"))
+    want = sorted(map(str, want.select("body", "author", "rating").collect()))
+    for size in ("800", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            read = quoted_csv.read_quoted_csv(spark, str(tmp_path / "in.csv"))
+            rows = read.orderBy("ingest_order").collect()
+            blocks = {row.ingest_order.block for row in rows}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(str(row)[: -len(f", ingest_order={row.ingest_order!r})")] + ")" for row in rows) == want
+        assert [int(row.body.split()[0]) for row in rows[:-1]] == list(range(200))
+        assert len(blocks) > {"800": 30, "128m": 0}[size]
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("body,author\nsome text,ann\n")
+    (tmp_path / "b.csv").write_text("author,body\nann,some text\n")
+    with pytest.raises(Exception, match="begins with"):
+        quoted_csv.read_quoted_csv(spark, str(tmp_path)).collect()
+
+
+def test_states_at_the_starts_of_splits():
+    splits = [("a", 0, True), ("a", 10, False), ("a", 20, True), ("a", 30, False), ("b", 0, False), ("b", 10, True), ("c", 0, False)]
+    assert quoted_csv.inside_quotes(splits[::-1]) == {("a", 10), ("a", 20)}
