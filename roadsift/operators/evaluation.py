@@ -8,7 +8,7 @@ from roadsift.functions.text import blank_to_null, cut, shown, strip
 from roadsift.operators.labels import BROKEN_OBJECT
 from roadsift.operators.models import Answer, ask
 from roadsift.operators.ranking import attach, seeded_sample, top_per_group
-from roadsift.operators.small import hinted
+from roadsift.operators.small import MAX_SMALL_ROWS, hinted
 from roadsift.schemas import FEEDBACK_TYPES, GOLDEN_PER_TYPE
 
 REASONING_CHARS = 300
@@ -28,8 +28,9 @@ def golden_sample(items: DataFrame, per_type: int = GOLDEN_PER_TYPE) -> DataFram
     """First items of every predicted type, prefilled with the prediction for a human to correct."""
     labelled = items.filter((F.col("status") == "classified") & F.col("fb_type").isNotNull())
     picked = top_per_group(labelled.select("id", "fb_type", "severity"), "fb_type", [F.col("id")], per_type)
+    few = len(FEEDBACK_TYPES) * per_type <= MAX_SMALL_ROWS  # labels have no other types
     return (
-        attach(picked, labelled, ["body"], labelled.select("fb_type").distinct(), per_type)
+        attach(picked, labelled, ["body"], few, per_type)
         .select(
             "id",
             "body",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roadsift.functions.keys import body_hash
 from roadsift.functions.replies import DECIMAL_NUMBER, WHOLE_NUMBER, label_of, number_of, with_record
 from roadsift.functions.text import contains_any
-from roadsift.operators.models import Answer, ask
+from roadsift.operators.models import Answer, ask, one_of_each_text
 from roadsift.schemas import (
     DEFAULT_AREA,
     DEFAULT_SENTIMENT,
@@ -130,8 +130,7 @@ def label_with(
     if answer is None:
         return keyword_labels(items).withColumn("error", F.lit(None).cast("string"))
     hashed = items.select("id", "body", body_hash(F.col("body")).alias("body_hash"))
-    bodies = hashed.select("body_hash", "body").dropDuplicates(["body_hash"])
-    prompts = bodies.select("body_hash", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("prompt"))
+    prompts = one_of_each_text(hashed).select("body_hash", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("prompt"))
     replies = answered(ask(prompts, answer, partitions))
     return hashed.select("id", "body_hash").join(parse_label_replies(replies).drop("reply"), "body_hash").drop("body_hash")
 

@@ -4,11 +4,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 Answer = Callable[[list[str]], list[tuple[str | None, str | None]]]
 
 
+def one_of_each_text(hashed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(body_hash, body) once per text of ``hashed`` (id, body, body_hash), of those in ``wanted`` (id, body_hash) if it is given.
+
+    Texts are chosen by hash and least id, on rows without them, and fetched by id: they are shuffled once at most and
+    never sorted.
+    """
+    first = (hashed if wanted is None else wanted).groupBy("body_hash").agg(F.min("id").alias("id"))
+    return hashed.select("id", "body").join(first.hint("shuffle_hash"), "id").select("body_hash", "body")
+
+
 def ask(prompts: DataFrame, answer: Answer, partitions: int | None = None) -> DataFrame:
     """The rows with (reply, error) in place of their ``prompt``; all other columns pass through untouched.
 

@@ -20,6 +20,7 @@ from roadsift.functions.numbers import theme_count
 from roadsift.functions.replies import with_record
 from roadsift.functions.text import cut, or_default, ordered_lines, title_words
 from roadsift.operators import kmeans
+from roadsift.operators.models import one_of_each_text
 from roadsift.operators.ranking import attach, top_per_group
 from roadsift.schemas import NAMING_SAMPLE_CHARS, NAMING_SAMPLE_SIZE
 from roadsift.session import written
@@ -51,9 +52,9 @@ def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:
 
     The hashes are compared first, so only the bodies of misses are shuffled.
     """
-    hashed = items.select(body_hash(F.col("body")).alias("body_hash"), "body")
-    missing = hashed.join(cache.select("body_hash"), "body_hash", "left_anti")
-    return missing.dropDuplicates(["body_hash"])
+    hashed = items.select("id", "body", body_hash(F.col("body")).alias("body_hash"))
+    missing = hashed.select("id", "body_hash").join(cache.select("body_hash"), "body_hash", "left_anti")
+    return one_of_each_text(hashed, missing)
 
 
 def compute_features(

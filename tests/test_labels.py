@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from roadsift.operators import labels
+from roadsift.functions.keys import body_hash
+from roadsift.operators import labels, themes
+from roadsift.operators.models import one_of_each_text
 from roadsift.schemas import FEEDBACK_TYPES
+from roadsift.session import written
 
 
 def parse(spark, *texts):
@@ -104,3 +107,14 @@ def test_work_batch_is_oldest_first_and_stable(make_items, n):
     items = make_items(*[{"status": "new", "ingested_at": datetime(2024, 1, 9 - at // 2)} for at in range(6)], {"status": "failed"})
     first = [r.id for r in labels.work_batch(items, n).collect()]
     assert first == [5, 6, 3, 4, 1, 2][:n] == [r.id for r in labels.work_batch(items, n).collect()]
+
+
+def test_texts_are_asked_once_and_not_sorted(spark):
+    items = written(spark.createDataFrame([(at, f"text {at % 4}") for at in range(40)], "id long, body string"))
+    hashed = items.select("id", "body", body_hash(F.col("body")).alias("body_hash"))
+    once = one_of_each_text(hashed)
+    assert sorted(row.body for row in once.collect()) == [f"text {at}" for at in range(4)]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    missing = themes.cache_misses(items, spark.createDataFrame([(row.body_hash, [1.0]) for row in hashed.filter("id < 2").collect()], "body_hash string, features array<float>"))
+    assert sorted(row.body for row in missing.collect()) == ["text 2", "text 3"]
