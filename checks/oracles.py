@@ -425,6 +425,7 @@ KEPT = f"""kept AS (SELECT source, external_id, author, {strip('body')} AS body
 ORACLES["batch_runs"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type, {keyword_case(3)} AS severity FROM kept)
  SELECT source, external_id, author, 'classified' AS status, CASE WHEN fb_type = 'question' THEN 'bug' ELSE fb_type END AS fb_type,
   CAST(CASE WHEN fb_type = 'question' THEN 4 ELSE severity END AS INT) AS severity, CAST(fb_type = 'question' AS INT) AS human_corrected FROM typed"""
+ORACLES["retry_run"] = f"WITH {KEPT} SELECT source, external_id, CAST(1 + length(body) % 3 AS BIGINT) AS seq, 'bug' AS fb_type FROM kept"
 ORACLES["theme_run"] = ORACLES["theme_restart"] = f"""WITH {KEPT}, typed AS (SELECT *, {keyword_case(0)} AS fb_type FROM kept),
  counted AS (SELECT count(*) AS n FROM typed WHERE fb_type <> 'praise')
  SELECT source, external_id, fb_type, fb_type <> 'praise' AS themed,

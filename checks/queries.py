@@ -743,6 +743,23 @@ def filtered_imports(given):
     return tables.read_table(spark, path, "items").select("id", "source", "external_id", "import_no")
 
 
+@query
+def retry_run(given):
+    """Items that a model limits up to twice, by the length of their text, and in which pass they are labelled."""
+    path, spark = shared_folder(given.spark), given.spark
+    runs.import_feedback(spark, path, _normalized(given), [F.col("arrival")])
+    around = len(labels.PROMPT_HEAD) + len(labels.PROMPT_TAIL)
+
+    def limited(passes):
+        return lambda prompts: [(None, "429") if (len(prompt) - around) % 3 >= passes else ('{"type": "bug"}', None) for prompt in prompts]
+
+    runs.label_import(spark, path, 1, limited(1), now=F.timestamp_seconds(F.lit(0)))
+    for at in (1, 2):
+        runs.label_due(spark, path, limited(at + 1), now=F.timestamp_seconds(F.lit(1000 * at)))
+    events = tables.read_table(spark, path, "label_events").select(F.col("item_id").alias("id"), "seq", "fb_type")
+    return tables.read_table(spark, path, "items").select("id", "source", "external_id").join(events, "id").drop("id")
+
+
 @query
 def bucketed_state(given):
     """The current state out of bucketed items and logs, with the later half of the log, all corrections and themes since."""

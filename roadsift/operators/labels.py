@@ -162,6 +162,27 @@ def answered(replies: DataFrame) -> DataFrame:
     return replies.filter((F.col("reply").isNotNull() | F.col("error").isNotNull()) & ~limited)
 
 
+def retries(asked: DataFrame, labelled: DataFrame, seq: int, now: Column, wait: int) -> DataFrame:
+    """Log rows for asked items (id, attempt) that got no answer: due again after ``wait`` seconds, twice as many each time."""
+    limited = asked.select("id", "attempt").join(labelled.select("id"), "id", "left_anti")
+    seconds = F.lit(wait) * F.pow(F.lit(2.0), F.col("attempt"))
+    return limited.select(
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.col("id").cast("bigint").alias("item_id"),
+        (F.col("attempt") + 1).cast("int").alias("attempt"),
+        F.timestamp_seconds(F.unix_timestamp(now) + seconds).alias("next_at"),
+    )
+
+
+def due_retries(log: DataFrame, label_events: DataFrame, now: Column) -> DataFrame:
+    """(id, attempt) of the items whose latest retry is due and that no label run has answered since; no item is scanned."""
+    last = log.groupBy("item_id").agg(F.max(F.struct("seq", "attempt", "next_at")).alias("_last"))
+    due = last.filter(F.col("_last.next_at") <= now).select(F.col("item_id").alias("id"), F.col("_last.seq").alias("_seq"), F.col("_last.attempt").alias("attempt"))
+    answered_since = label_events.select(F.col("item_id").alias("id"), F.col("seq").alias("_answered"))
+    known = (due["id"] == answered_since["id"]) & (answered_since["_answered"] >= due["_seq"])
+    return due.join(answered_since, known, "left_anti").select("id", "attempt")
+
+
 def label_events(labelled: DataFrame, seq: int | Column, key: str = "id") -> DataFrame:
     """Log rows for labels of answered items; one with an error, whatever its class, is a failure."""
     failed = F.col("error").isNotNull()

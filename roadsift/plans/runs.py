@@ -13,7 +13,7 @@ from roadsift.functions.keys import body_hash
 from roadsift.operators import themes as th
 from roadsift.operators.ingest import arrivals, filter_usable, next_import, numbered_rows, with_item_ids
 from roadsift.operators.key_filter import KEY
-from roadsift.operators.labels import label_events, label_with
+from roadsift.operators.labels import due_retries, label_events, label_with, retries
 from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
 from roadsift.operators.small import hinted
@@ -70,36 +70,90 @@ def import_feedback(
     return inserted, import_no
 
 
+RETRY_SECONDS = 60
+
+
+def _store_labels(
+    spark: SparkSession, directory: str, asked: DataFrame, seq: int, answer: Answer | None, partitions: int | None, now: Column | None, wait: int
+) -> None:
+    """Labels the rows (id, body, attempt), each text asked once, and logs what came back and what is to be asked again."""
+    labelled = label_with(asked.select("id", "body"), answer, partitions=partitions)
+    if answer is None:  # rules are never limited
+        append(label_events(labelled, seq), directory, "label_events")
+        return
+    labelled = written(labelled)
+    append(label_events(labelled, seq), directory, "label_events")
+    append(retries(asked, labelled, seq, F.current_timestamp() if now is None else now, wait), directory, "retries")
+
+
 def label_new(
-    spark: SparkSession, directory: str, answer: Answer | None = None, partitions: int | None = None, slices: int = 1
+    spark: SparkSession,
+    directory: str,
+    answer: Answer | None = None,
+    partitions: int | None = None,
+    slices: int = 1,
+    now: Column | None = None,
+    wait: int = RETRY_SECONDS,
 ) -> int:
     """Labels every new item and returns the run's sequence number; rate-limited items stay new.
 
     The ids to label are written down first; if they are few, the items are scanned for them and not shuffled. The
     texts are written once, by slices of their hash: the model sees a text once, whatever the slices. Labels are
-    stored slice by slice, so a run that breaks off keeps what it has paid for.
+    stored slice by slice, so a run that breaks off keeps what it has paid for. Items that are limited are logged for
+    ``label_due``.
     """
     items, events = read_table(spark, directory, "items"), read_table(spark, directory, "label_events")
-    seq = _next(events, "seq")
+    seq = _next_label_run(spark, directory)
     todo = written(unlabeled(items, events))
     wanted = items.select("id", "body", body_hash(F.col("body")).alias("body_hash")).join(hinted(todo, todo), "id")
     for part in _by_slice(wanted, slices):
-        labelled = label_with(part.drop("body_hash"), answer, partitions=partitions)
-        append(label_events(labelled, seq), directory, "label_events")
+        _store_labels(spark, directory, part.drop("body_hash").withColumn("attempt", F.lit(0)), seq, answer, partitions, now, wait)
     return seq
 
 
 def label_import(
-    spark: SparkSession, directory: str, import_no: int, answer: Answer | None = None, partitions: int | None = None
+    spark: SparkSession,
+    directory: str,
+    import_no: int,
+    answer: Answer | None = None,
+    partitions: int | None = None,
+    now: Column | None = None,
+    wait: int = RETRY_SECONDS,
 ) -> int:
     """Labels the items of one import that no label run has seen yet. Only that import is read."""
     items = read_table(spark, directory, "items").filter(F.col("import_no") == import_no)
-    seq = _next(read_table(spark, directory, "label_events"), "seq")
-    labelled = label_with(items.select("id", "body"), answer, partitions=partitions)
-    append(label_events(labelled, seq), directory, "label_events")
+    seq = _next_label_run(spark, directory)
+    _store_labels(spark, directory, items.select("id", "body", F.lit(0).alias("attempt")), seq, answer, partitions, now, wait)
     return seq
 
 
+def label_due(
+    spark: SparkSession, directory: str, answer: Answer, partitions: int | None = None, now: Column | None = None, wait: int = RETRY_SECONDS
+) -> int | None:
+    """Asks again for the items whose wait after a rate limit is over; None if there are none.
+
+    Only the log of retries and the label runs since its oldest entry are read to find them, and no other text than theirs.
+    An item is asked again after ``wait`` seconds, then after twice as many, and so on, until it has an answer.
+    """
+    log = read_table(spark, directory, "retries")
+    oldest = log.agg(F.min("seq")).first()[0]
+    if oldest is None:
+        return None
+    events = read_table(spark, directory, "label_events").filter(F.col("seq") >= oldest)
+    due = written(due_retries(log, events, F.current_timestamp() if now is None else now))
+    if due.isEmpty():
+        return None
+    seq = _next_label_run(spark, directory)
+    asked = written(read_table(spark, directory, "items").select("id", "body").join(hinted(due, due), "id"))
+    _store_labels(spark, directory, asked, seq, answer, partitions, now, wait)
+    return seq
+
+
+def _next_label_run(spark: SparkSession, directory: str) -> int:
+    """Above every run that has logged anything; one that was limited throughout has retries only."""
+    return max(_next(read_table(spark, directory, name), "seq") for name in ("label_events", "retries"))
+
+
 def correct(spark: SparkSession, directory: str, edits: DataFrame) -> int:
     """Stores a reviewer's edits (item_id, fb_type, severity)."""
     seq = max(_next(read_table(spark, directory, name), "seq") for name in ("corrections", "label_events"))

@@ -64,6 +64,15 @@ LABEL_EVENTS = T.StructType(
     ]
 )
 
+RETRIES = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),  # the label run that was limited
+        T.StructField("item_id", T.LongType()),
+        T.StructField("attempt", T.IntegerType()),  # how often the item was limited
+        T.StructField("next_at", T.TimestampType()),
+    ]
+)
+
 CORRECTIONS = T.StructType(
     [
         T.StructField("item_id", T.LongType()),

@@ -11,6 +11,7 @@ from roadsift.operators.state import current_items
 TABLES = {
     "items": schemas.ITEMS,
     "label_events": schemas.LABEL_EVENTS,
+    "retries": schemas.RETRIES,
     "corrections": schemas.CORRECTIONS,
     "themes": schemas.THEMES,
     "theme_assignments": schemas.ASSIGNMENTS,
@@ -24,6 +25,7 @@ TABLES = {
 PARTITIONED_BY = {
     "items": ["import_no"],
     "label_events": ["seq"],
+    "retries": ["seq"],
     "themes": ["run_id"],
     "theme_assignments": ["run_id"],
     "opportunities": ["run_id"],

@@ -1,11 +1,16 @@
+import re
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from roadsift.functions.keys import body_hash
 from roadsift.operators import labels, themes
 from roadsift.operators.models import one_of_each_text
+from roadsift.plans import runs
 from roadsift.schemas import FEEDBACK_TYPES
-from roadsift.session import written
+from roadsift.session import shared_folder, written
+from roadsift.sources import tables
 
 
 def parse(spark, *texts):
@@ -118,3 +123,39 @@ def test_texts_are_asked_once_and_not_sorted(spark):
     assert "Sort " not in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
     missing = themes.cache_misses(items, spark.createDataFrame([(row.body_hash, [1.0]) for row in hashed.filter("id < 2").collect()], "body_hash string, features array<float>"))
     assert sorted(row.body for row in missing.collect()) == ["text 2", "text 3"]
+
+
+def test_limited_items_are_asked_when_they_are_due_and_nothing_twice(spark, tmp_path):
+    directory = shared_folder(spark)
+    rows = [(at, "s", f"k{at}", f"this will crash again, said user {at:02d}", "ann", 1, None) for at in range(12)]
+    schema = "arrival long, source string, external_id string, body string, author string, rating int, created_at timestamp"
+    runs.import_feedback(spark, directory, spark.createDataFrame(rows, schema), [F.col("arrival")])
+    asked = []
+    folder = str(tmp_path)
+
+    def answer(name, limited):
+        def reply(prompts):
+            numbers = [int(re.search(r"said user ([0-9]+)", prompt).group(1)) for prompt in prompts]
+            with open(f"{folder}/{name}-{uuid.uuid4().hex}", "w") as out:
+                out.write(" ".join(map(str, numbers)))
+            return [(None, "429") if number in limited else ('{"type": "bug"}', None) for number in numbers]
+
+        return reply
+
+    def turn(name, limited, seconds, run):
+        result = run(answer(name, limited), F.timestamp_seconds(F.lit(seconds)))
+        asked.append(sorted(int(number) for path in tmp_path.glob(f"{name}-*") for number in path.read_text().split()))
+        return result
+
+    due = lambda reply, now: runs.label_due(spark, directory, reply, now=now, wait=60)
+    assert due(answer("none", ()), F.timestamp_seconds(F.lit(0))) is None
+    assert turn("a", set(range(6)), 0, lambda reply, now: runs.label_new(spark, directory, reply, now=now, wait=60)) == 1
+    assert turn("b", {0, 1}, 59, due) is None
+    assert turn("c", {0, 1}, 60, due) == 2
+    assert turn("d", set(), 179, due) is None  # 60 + 2 * 60
+    assert turn("e", {0}, 180, due) == 3
+    assert turn("f", set(), 5000, due) == 4
+    assert turn("g", set(), 50000, due) is None
+    assert asked == [list(range(12)), [], list(range(6)), [], [0, 1], [0], []]
+    events = {row.item_id: row.seq for row in tables.read_table(spark, directory, "label_events").collect()}
+    assert events == {0: 4, 1: 3, **{at: 2 for at in range(2, 6)}, **{at: 1 for at in range(6, 12)}}
