@@ -12,6 +12,9 @@ equal those of the ``tiktoken`` library; special tokens are ordinary text. Null
 
 Scale: rows are encoded where they are, with no shuffle; the ranks (their size is checked) are shipped once per
 executor; texts go through in bounded slices and pieces of a long text in bounded groups.
+
+Defined results: every row is encoded on its own, so repeated rows, ties and null ids give as many results; an empty table gives
+an empty result; other columns, whatever their names, are left alone.
 """
 
 import base64

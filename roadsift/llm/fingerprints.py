@@ -11,6 +11,11 @@ partition of the rows, walked in order by each task with only the previous row i
 next range's first, which is sent along. Bands are joined in Spark over distinct texts. A bucket of few texts gives its pairs;
 one with very many, such as those that share a passage, gives two pairs for each text, and those of its texts that are not yet
 linked go on into smaller buckets until each is linked or told apart.
+
+Defined results: null ids come last in id order and are walked by one task, as are the rows of one id; repeated rows follow each
+other, and links are between distinct texts, so copies are not linked one by one; ties in id go by the texts' hashes; a
+single row is its own next document; an empty table gives an empty result; other columns, whatever their names, are
+left alone.
 """
 
 import hashlib
