@@ -23,6 +23,7 @@ empty result; other columns, whatever their names, are left alone.
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -57,6 +58,10 @@ _WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\xa0-ɏ]*")
 _BETWEEN = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
+# The byte-level alphabet: bytes that print in Latin-1 stand for themselves, the others for the code points from 256 on.
+_PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {byte: 256 + at for at, byte in enumerate(byte for byte in range(256) if byte not in _PRINTING)}
+
 
 # Token ids
 
@@ -77,7 +82,7 @@ class Encoder:
         self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         pre = self.library.pre_tokenizer
         known = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex and self.library.normalizer is None
-        self.remembers = known and self.library.post_processor is None
+        self.remembers = known and self.library.post_processor is None and type(self.library.model).__name__ == "BPE"
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -112,8 +117,10 @@ class Encoder:
                 new.append(word)
             else:
                 self.words[word] = before
-        for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = np.array(encoded.ids, "<u4").tobytes()
+        tokenize = self.library.model.tokenize  # what the library does with a pre-token
+        for word in new:
+            visible = word.encode().decode("latin-1").translate(_VISIBLE)
+            self.words[word] = struct.pack(f"<{len(tokens := tokenize(visible))}I", *[token.id for token in tokens])
         for (at, found), own, places in zip(waiting, known, gaps):
             for place in places:
                 own[place] = self.words[found[place]]
