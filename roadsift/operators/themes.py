@@ -91,18 +91,19 @@ def word_vectors(items: DataFrame, size: int = 1024) -> DataFrame:
     """(id, features) unit TF-IDF vectors of the whole texts, for work without an embedding model.
 
     Words are runs of letters and digits of any script; a text without any is taken by its characters. Only empty
-    texts have no vector.
+    texts have no vector. The counts are written down, so a text is taken apart once.
     """
     bodies = items.select("id", F.lower(F.coalesce("body", F.lit(""))).alias("_body"))
-    split = F.filter(F.split("_body", WORD_BREAK), lambda word: word != "")
-    characters = F.filter(F.split("_body", ""), lambda character: character != "")
-    words = bodies.select("id", F.when(F.size(split) > 0, split).otherwise(characters).alias("_words"))
-    if words.isEmpty():  # nothing to weigh the words by
+    split = bodies.select("id", "_body", F.array_remove(F.split("_body", WORD_BREAK), "").alias("_split"))
+    characters = F.array_remove(F.split("_body", ""), "")
+    words = split.select("id", F.when(F.size("_split") > 0, F.col("_split")).otherwise(characters).alias("_words"))
+    counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(words)
+    counts = written(counted.select("id", "_counts", (F.size("_words") > 0).alias("_any")))
+    if counts.isEmpty():  # nothing to weigh the words by
         return items.sparkSession.createDataFrame([], T.StructType([items.schema["id"], T.StructField("features", VectorUDT())]))
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(words)
     weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
     scaled = Normalizer(inputCol="_weighted", outputCol="features").transform(weighted)
-    return scaled.filter(F.size("_words") > 0).select("id", "features")
+    return scaled.filter("_any").select("id", "features")
 
 
 def cluster(

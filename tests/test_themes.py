@@ -61,6 +61,11 @@ def test_draws_are_even_and_differ_by_seed():
     assert abs(one.mean() - 0.5) < 0.01 and abs(np.corrcoef(one, other)[0, 1]) < 0.03 and 0 < one.min() and one.max() < 1
 
 
+def test_texts_are_taken_apart_once(spark, make_items):
+    vectors = themes.word_vectors(make_items({"body": "an item"}, {"body": "---"}))
+    assert "split(" not in vectors._jdf.queryExecution().toString()
+
+
 def test_best_start_is_kept(vectors):
     def cost(frame):
         rows = frame.select("cluster", vector_to_array("features").alias("v")).collect()
