@@ -9,9 +9,10 @@ ones. Instead of drawing random numbers, each point runs a race: it needs the ti
 id, the start's seed and the pass, and d its distance from the centres so far. The first ones home are the next centres,
 which draws them in proportion to d^2, without replacement, and alike on every run.
 
-Scale: all starts share each pass over the vectors. A task sends one row per start and cluster (its sums) or per start and
-drawn centre (ids only), so what is shuffled grows with the tasks and not with the vectors. Centres of as many starts as
-fit in CENTERS_BYTES travel to the tasks together.
+Scale: vectors are written down once, packed as integers, and all starts share each pass over them: the distances of a slice
+from the centres of all starts are one matrix product, and so are their sums by cluster. A task sends one row per start and
+cluster (its sums) or per start and drawn centre (ids only), so what is shuffled grows with the tasks and not with the
+vectors. Centres of as many starts as fit in CENTERS_BYTES travel to the tasks together.
 """
 
 from collections.abc import Iterator, Sequence
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadsift.session import written
+
 #: Steps of the grid in a unit; the greatest length of a vector for which all arithmetic is exact.
 GRID = 1 << 24
 LONGEST = 4.0
@@ -30,6 +33,8 @@ PASSES = 8
 #: Centres sent to every task at a time, and distances that a task computes at a time.
 CENTERS_BYTES = 128 << 20
 DISTANCES = 1 << 20
+#: Vectors packed at a time.
+ROWS = 1024
 #: Squared distances are added in two parts, so that sums of very many stay within 64 bits.
 LOW_BITS = 26
 
@@ -65,23 +70,89 @@ def drawn(ids: np.ndarray, seed: int, number: int) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def _points(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _coordinates(features: pa.Array) -> np.ndarray:
+    """A row per vector, given as arrays of one size or as ML vectors, sparse or dense."""
+    if not pa.types.is_struct(features.type):
+        return features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1).astype(np.float64)
+    values, sparse = features.field("values"), features.field("type").to_numpy(zero_copy_only=False) == 0
+    sizes = np.diff(values.offsets.to_numpy())
+    row = np.repeat(np.arange(len(features)), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a dense vector
+    column[sparse[row]] = features.field("indices").flatten().to_numpy(zero_copy_only=False)
+    width = features.field("size")[int(sparse.argmax())].as_py() if sparse.any() else sizes[0]
+    points = np.zeros((len(features), width))
+    points[row, column] = values.flatten().to_numpy(zero_copy_only=False)
+    return points
+
+
+def _on_grid(points: np.ndarray) -> np.ndarray:
+    return np.floor(points * GRID + 0.5)
+
+
+PACKED = "id bigint, squared double, point binary"
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """id, squared length and coordinates on the grid (32-bit integers, packed) per vector; packed vectors stay as they are.
+
+    Of a vector that is too long only the length is of use.
+    """
+    if "point" in vectors.columns:
+        return vectors
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                points = _coordinates(part.column(1))
+                squared = (points * points).sum(axis=1)
+                points[~(squared <= LONGEST**2)] = 0
+                grid = _on_grid(points).astype("<i4")
+                offsets = np.arange(len(grid) + 1, dtype=np.int32) * np.int32(4 * grid.shape[1])
+                point = pa.Array.from_buffers(pa.binary(), len(grid), [None, pa.py_buffer(offsets), pa.py_buffer(grid.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(squared), point], names=["id", "squared", "point"])
+
+    return vectors.select(F.col("id").cast("bigint").alias("id"), "features").mapInArrow(pack, PACKED)
+
+
+def _grid(points: pa.Array) -> np.ndarray:
+    """Packed points as a matrix."""
+    _, offsets, data = points.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(points.type) else np.int32)
+    first, last = bounds[points.offset], bounds[points.offset + len(points)]
+    return np.frombuffer(data, "<i4", (last - first) // 4, first).reshape(len(points), -1)
+
+
+def _sliced(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, coordinates on the grid) in slices for which ``width`` distances each stay within DISTANCES."""
+    if not batch.num_rows:
+        return
+    names, ids = batch.schema.names, batch.column("id").to_numpy()
+    points = _grid(batch.column("point")) if "point" in names else None
+    dimensions = len(batch.column("features")[0]) if points is None else points.shape[1]
+    rows = max(1, DISTANCES // max(1, width, dimensions))
+    for start in range(0, len(ids), rows):
+        part = _on_grid(_coordinates(batch.column("features").slice(start, rows))) if points is None else points[start : start + rows]
+        yield ids[start : start + rows], part.astype(np.float64)
+
+
+def _points(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        ids, values = batch.column(0).to_numpy(), batch.column(1)
-        points = values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        rows = max(1, DISTANCES // max(1, width, points.shape[1]))
-        for start in range(0, len(ids), rows):
-            part = points[start : start + rows].astype(np.float64)
-            yield ids[start : start + rows], np.floor(part * GRID + 0.5)
+        yield from _sliced(batch, width)
 
 
 def _squared(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances (points, starts, centres); whole numbers, exact in double precision."""
-    flat = centers.reshape(-1, centers.shape[-1])
-    products = points @ flat.T
-    lengths = (points * points).sum(axis=1)[:, None] + (flat * flat).sum(axis=1)[None, :]
-    return (lengths - 2 * products).reshape(len(points), *centers.shape[:-1])
+    """Squared distances (points, centres); whole numbers, exact in double precision."""
+    distances = points @ centers.T
+    distances *= -2
+    distances += np.einsum("ij,ij->i", points, points)[:, None] + np.einsum("ij,ij->i", centers, centers)[None, :]
+    return distances
+
+
+def _stacked(centers: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, slice]]:
+    """The centres of all starts as one matrix, and the rows of each start."""
+    ends = np.cumsum([len(own) for own in centers.values()])
+    return np.concatenate(list(centers.values())), {seed: slice(end - len(own), end) for (seed, own), end in zip(centers.items(), ends)}
 
 
 def _first_home(vectors: DataFrame, centers: dict[int, np.ndarray], number: int, wanted: int) -> dict[int, np.ndarray]:
@@ -90,9 +161,11 @@ def _first_home(vectors: DataFrame, centers: dict[int, np.ndarray], number: int,
 
     def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {seed: (np.zeros(0), np.zeros(0, np.int64)) for seed in shared.value}
-        for ids, points in _points(batches, max(1, *(len(own) for own in shared.value.values()))):
-            for seed, own in shared.value.items():
-                far = _squared(points, own[None])[:, 0].min(axis=1) if len(own) else np.ones(len(ids))
+        stack, rows = _stacked(shared.value)
+        for ids, points in _points(batches, len(stack)):
+            squared = _squared(points, stack) if len(stack) else None
+            for seed, own in rows.items():
+                far = np.ones(len(ids)) if squared is None else squared[:, own].min(axis=1)
                 runs = far > 0
                 times = np.concatenate([best[seed][0], -np.log(drawn(ids[runs], seed, number)) / far[runs]])
                 runners = np.concatenate([best[seed][1], ids[runs]])
@@ -101,14 +174,14 @@ def _first_home(vectors: DataFrame, centers: dict[int, np.ndarray], number: int,
         for seed, (times, runners) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times), seed)), pa.array(times), pa.array(runners)], names=["seed", "time", "id"])
 
-    times = vectors.mapInArrow(race, "seed bigint, time double, id bigint")
+    times = vectors.select("id", "point").mapInArrow(race, "seed bigint, time double, id bigint")
     place = F.row_number().over(Window.partitionBy("seed").orderBy("time", "id"))
     home = times.withColumn("place", place).filter(F.col("place") <= wanted).select("seed", "place", "id").collect()
     if not home:
         return {}
     winners = vectors.sparkSession.createDataFrame(sorted({(row["id"],) for row in home}), "id bigint")
-    rows = vectors.join(F.broadcast(winners), "id").select("id", "features").collect()  # as many as centres are drawn
-    at = {row["id"]: np.floor(np.array(row["features"], np.float64) * GRID + 0.5) for row in rows}
+    rows = vectors.join(F.broadcast(winners), "id").select("id", "point").collect()  # as many as centres are drawn
+    at = {row["id"]: np.frombuffer(row["point"], "<i4").astype(np.float64) for row in rows}
     found: dict[int, list[np.ndarray]] = {}
     for row in sorted(home, key=lambda row: row["place"]):
         found.setdefault(row["seed"], []).append(at[row["id"]])
@@ -117,6 +190,7 @@ def _first_home(vectors: DataFrame, centers: dict[int, np.ndarray], number: int,
 
 def starting_centers(vectors: DataFrame, k: int, seeds: Sequence[int]) -> dict[int, np.ndarray]:
     """For each seed up to k distinct points on the grid; fewer only if there are not so many."""
+    vectors = packed(vectors)
     centers = _first_home(vectors, {seed: np.zeros((0, 0)) for seed in seeds}, 0, 1)
     a_pass, number = -(-(k - 1) // PASSES), 0
     while centers and any(len(own) < k for own in centers.values()):
@@ -137,7 +211,7 @@ def _distinct(points: np.ndarray) -> np.ndarray:
 
 def _merged(rows: pa.Table) -> pa.Table:
     """The partial sums of one start and cluster, added."""
-    sums = np.stack([np.asarray(part.as_py(), np.int64) for part in rows.column("sums")]).sum(axis=0)
+    sums = rows.column("sums").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)
     numbers = [pa.array([int(np.sum(rows.column(name).to_numpy(), dtype=np.int64))]) for name in ("n", "high", "low")]
     return pa.Table.from_arrays([rows.column("seed").slice(0, 1), rows.column("cluster").slice(0, 1), *numbers, pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["seed", "cluster", "n", "high", "low", "sums"])
 
@@ -150,23 +224,24 @@ def _step(vectors: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple
     shared = vectors.sparkSession.sparkContext.broadcast(centers)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {seed: np.zeros(own.shape, np.int64) for seed, own in shared.value.items()}
-        numbers = {seed: np.zeros((3, len(own)), np.int64) for seed, own in shared.value.items()}
-        for _, points in _points(batches, max(len(own) for own in shared.value.values())):
-            for seed, own in shared.value.items():
-                squared = _squared(points, own[None])[:, 0]
-                nearest = squared.argmin(axis=1)  # the first of equally near ones
-                costs = squared[np.arange(len(points)), nearest].astype(np.int64)
-                for cluster in np.unique(nearest):
-                    held = nearest == cluster
-                    sums[seed][cluster] += points[held].sum(axis=0).astype(np.int64)
-                    numbers[seed][:, cluster] += int(held.sum()), int((costs[held] >> LOW_BITS).sum()), int((costs[held] & ((1 << LOW_BITS) - 1)).sum())
-        for seed, own in sums.items():
-            used = np.flatnonzero(numbers[seed][0])
-            columns = [pa.array(np.full(len(used), seed)), pa.array(used.astype(np.int32)), *(pa.array(row[used]) for row in numbers[seed]), pa.array(own[used].tolist(), pa.list_(pa.int64()))]
+        stack, rows = _stacked(shared.value)
+        total, numbers = np.zeros(stack.shape, np.int64), np.zeros((3, len(stack)), np.int64)
+        for _, points in _points(batches, len(stack)):
+            squared, each = _squared(points, stack), np.arange(len(points))
+            member = np.zeros_like(squared)
+            for own in rows.values():
+                nearest = own.start + squared[:, own].argmin(axis=1)  # the first of equally near ones
+                member[each, nearest] = 1
+                costs = squared[each, nearest].astype(np.int64)
+                for at, parts in enumerate((None, costs >> LOW_BITS, costs & ((1 << LOW_BITS) - 1))):
+                    numbers[at] += np.bincount(nearest, parts, len(stack)).astype(np.int64)
+            total += (member.T @ points).astype(np.int64)  # whole numbers below 2^53 in size
+        for seed, own in rows.items():
+            used = np.flatnonzero(numbers[0][own])
+            columns = [pa.array(np.full(len(used), seed)), pa.array(used.astype(np.int32)), *(pa.array(row[own][used]) for row in numbers), pa.array(total[own][used].tolist(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["seed", "cluster", "n", "high", "low", "sums"])
 
-    merged = vectors.mapInArrow(assign, SUMS).groupBy("seed", "cluster").applyInArrow(_merged, SUMS).collect()  # a row per centre
+    merged = vectors.select("id", "point").mapInArrow(assign, SUMS).groupBy("seed", "cluster").applyInArrow(_merged, SUMS).collect()  # a row per centre
     result = {seed: [own.copy(), 0] for seed, own in centers.items()}
     for row in merged:
         total, n = np.array(row["sums"], np.int64), row["n"]
@@ -177,13 +252,15 @@ def _step(vectors: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple
 
 def fit(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 20) -> Model | None:
     """The cheapest of one run per seed over ``vectors`` (id bigint, features array<double>), the lower seed of equally cheap
-    ones; None without vectors. Ids tell the vectors apart. A cluster that loses all its points keeps its centre."""
-    longest = vectors.agg(F.max(F.aggregate("features", F.lit(0.0), lambda total, x: total + x * x)).alias("longest")).first()[0]
+    ones; None without vectors. Ids tell the vectors apart. A cluster that loses all its points keeps its centre. Vectors that
+    are not ``packed`` yet are packed and written down."""
+    vectors = vectors if "point" in vectors.columns else written(packed(vectors))
+    longest = vectors.agg(F.max("squared")).first()[0]
     if longest is None:
         return None
     if not longest <= LONGEST**2:
         raise ValueError(f"vectors must be at most {LONGEST} long")
-    dimensions = vectors.select(F.size("features")).first()[0]
+    dimensions = vectors.select(F.length("point")).first()[0] // 4
     together = max(1, CENTERS_BYTES // (8 * k * max(1, dimensions)))
     best: Model | None = None
     for first in range(0, len(seeds), together):
@@ -204,13 +281,15 @@ def fit(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 20) ->
 
 
 def assigned(vectors: DataFrame, model: Model) -> DataFrame:
-    """id, cluster (the nearest centre, the first of equally near ones) and features per vector."""
+    """id, cluster (the nearest centre, the first of equally near ones) and, if there are any, features per vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(model.centers)
+    kept = [name for name in ("features",) if name in vectors.columns]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_squared(points, shared.value[None])[:, 0].argmin(axis=1) for _, points in _points(iter([batch]), len(shared.value))]
+            parts = [_squared(points, shared.value).argmin(axis=1) for _, points in _sliced(batch, len(shared.value))]
             clusters = np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clusters), batch.column(1)], names=["id", "cluster", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(clusters), *map(batch.column, kept)], names=["id", "cluster", *kept])
 
-    return vectors.select("id", "features").mapInArrow(assign, "id bigint, cluster int, features array<double>")
+    given = vectors.select("id", *(name for name in ("features", "point") if name in vectors.columns))
+    return given.mapInArrow(assign, "id bigint, cluster int" + ", features array<double>" * len(kept))

@@ -112,23 +112,26 @@ def cluster(
     seeds: Iterable[int] = SEEDS,
     min_size: int = 0,
     max_iter: int = 20,
+    features: bool = True,
 ) -> DataFrame:
-    """(id, cluster, features): the cheapest of one k-means run per seed; equal vectors give equal clusters on any layout.
+    """(id, cluster) and, unless told otherwise, features: the cheapest of one k-means run per seed; equal vectors give equal clusters on any layout.
 
     Vectors are written down once; all seeds share each pass over them. ``k`` follows the number of vectors unless given,
     and never exceeds it. Clusters below ``min_size`` lose their items.
     """
-    flat = written(vectors.select(F.col("id").cast("bigint").alias("id"), vector_to_array("features").alias("features")))
+    kept = ["features"] if features else []
+    ids = F.col("id").cast("bigint").alias("id")
+    flat = written(vectors.select(ids, vector_to_array("features").alias("features")) if features else kmeans.packed(vectors))
     size, wanted = flat.agg(F.count(F.lit(1)).alias("n")).select("n", theme_count(F.col("n"))).first()
     k = min(k or wanted, size)
     if k < 2:  # none or all in one cluster
-        return vectors.select("id", F.lit(0).alias("cluster"), "features").filter(F.lit(size >= max(1, min_size)))
+        return vectors.select("id", F.lit(0).alias("cluster"), *kept).filter(F.lit(size >= max(1, min_size)))
     clustered = kmeans.assigned(flat, kmeans.fit(flat, k, list(seeds), max_iter))
-    clustered = clustered.select("id", "cluster", array_to_vector("features").alias("features"))
+    clustered = clustered.select("id", "cluster", *(array_to_vector(name).alias(name) for name in kept))
     if min_size > 1:
         kept = clustered.groupBy("cluster").count().filter(F.col("count") >= min_size).select("cluster")
         small = F.broadcast(kept) if k <= FEW_CLUSTERS else kept
-        clustered = clustered.join(small, "cluster", "left_semi").select("id", "cluster", "features")
+        clustered = clustered.join(small, "cluster", "left_semi").select("id", "cluster", *kept)
     return clustered
 
 

@@ -196,7 +196,7 @@ def build_themes(
     old, tried = read_table(spark, directory, "themes"), read_table(spark, directory, "theme_assignments")
     run_id = max(_next(old, "run_id"), _next(tried, "run_id"))
     first_id = max(_next(old, "id"), _next(tried, "theme_id"))
-    append(th.assignments(th.cluster(vectors, k, min_size=min_size), run_id, first_id), directory, "theme_assignments")
+    append(th.assignments(th.cluster(vectors, k, min_size=min_size, features=False), run_id, first_id), directory, "theme_assignments")
     assigned = read_table(spark, directory, "theme_assignments").filter(F.col("run_id") == run_id)
     members = items.join(assigned.select(F.col("item_id").alias("id"), "theme_id"), "id")
     replies = name(th.naming_prompts(members, assigned.select("theme_id").distinct())) if name else None

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from roadsift.operators import kmeans, themes
@@ -61,6 +62,18 @@ def test_draws_are_even_and_differ_by_seed():
     assert abs(one.mean() - 0.5) < 0.01 and abs(np.corrcoef(one, other)[0, 1]) < 0.03 and 0 < one.min() and one.max() < 1
 
 
+def test_packed_vectors_hold_the_grid_of_sparse_and_dense_ones(spark):
+    rows = [(1, Vectors.sparse(3, [0, 2], [0.5, -0.25])), (2, Vectors.dense([0.5, 0.0, -0.25])), (3, Vectors.sparse(3, [], []))]
+    ml = spark.createDataFrame(rows, ["id", "features"])
+    flat = ml.select("id", vector_to_array("features").alias("features"))
+    for frame in (ml, flat, flat.limit(0)):
+        found = {r.id: (r.squared, np.frombuffer(r.point, "<i4").tolist()) for r in kmeans.packed(frame).collect()}
+        half = [kmeans.GRID // 2, 0, -kmeans.GRID // 4]
+        assert found == ({} if frame.isEmpty() else {1: (0.3125, half), 2: (0.3125, half), 3: (0.0, [0, 0, 0])})
+    models = [kmeans.fit(frame, 2, [42]) for frame in (kmeans.packed(ml), flat)]
+    assert models[0].cost == models[1].cost == 0
+
+
 def test_texts_are_taken_apart_once(spark, make_items):
     vectors = themes.word_vectors(make_items({"body": "an item"}, {"body": "---"}))
     assert "split(" not in vectors._jdf.queryExecution().toString()
