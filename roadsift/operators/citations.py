@@ -11,6 +11,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadsift.functions.text import cut, strip, verbatim_line
 from roadsift.operators.ranking import attach, top_per_group
@@ -198,7 +199,7 @@ def report_counters(documents: DataFrame, *keys: str) -> DataFrame:
 
 
 def quotes(documents: DataFrame, *keys: str) -> DataFrame:
-    """(keys, item_id, quote): quoted text that follows a citation on the same line; the id as digits."""
+    """(keys, item_id, quote): quoted text that follows a citation on the same line, as often as it does; the id as digits."""
     text = F.col("markdown")
     ids = F.regexp_extract_all(text, F.lit(QUOTE), F.lit(1))
     spans = F.regexp_extract_all(text, F.lit(QUOTE), F.lit(2))
@@ -207,40 +208,49 @@ def quotes(documents: DataFrame, *keys: str) -> DataFrame:
         *keys,
         canonical(F.col("_pair")["item"]).alias("item_id"),
         F.col("_pair")["quote"].alias("quote"),
-    ).distinct()
+    )
 
 
 def check_quotes(documents: DataFrame, items: DataFrame, *keys: str, quotes_a_scan: int = QUOTES_A_SCAN) -> DataFrame:
     """Adds ``found``: does the cited item's whole text hold the quote? False when there is no such item.
 
-    All quotes of an item are looked for in one scan of its text, by an Aho-Corasick automaton. Equal quotes are one, and
-    an item with very many has a scan for each part of them, so no task holds more than a part. A small number of cited
-    items is sent to the items, whose texts are then scanned and only the cited ones are shuffled.
+    All quotes of an item are looked for in one scan of its text, by an Aho-Corasick automaton; an item with very many has
+    a scan for each part of them, so no task holds more than a part. Quotes and texts meet in one shuffle by item and part. A
+    small number of cited items is sent to the items, whose texts are then scanned and only the cited ones are shuffled.
     """
     listed = written(quotes(documents, *keys))
-    wanted = written(listed.select("item_id", "quote").distinct())
-    cited = written(wanted.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) / quotes_a_scan).alias("parts")))
-    part = F.pmod(F.xxhash64("quote"), F.col("parts"))
-    scans = wanted.join(cited, "item_id").groupBy("item_id", part.alias("part")).agg(F.collect_list("quote").alias("quotes"))
-    bodies = items.select(F.col("id").cast("string").alias("item_id"), "body")
+    cited = written(listed.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) / quotes_a_scan).alias("parts")))
+    several = cited.filter(F.col("parts") > 1)
+    several = hinted(several, several)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    pair = F.struct("quote", F.struct(*keys).alias("asked")).alias("pair")
+    asked = listed.join(several, "item_id", "left").select("item_id", F.pmod(F.xxhash64("quote", *keys), parts).alias("part"), pair, F.lit(None).cast("string").alias("body"))
+    bodies = items.select(F.col("id").cast("string").alias("item_id"), "body").filter(F.col("item_id").isNotNull())
     if is_small(cited):
         bodies = bodies.join(F.broadcast(cited.select("item_id")), "item_id", "left_semi")
-    answers = scans.join(bodies, "item_id").select("item_id", "quotes", "body").mapInArrow(_scanned, "item_id string, quote string, found boolean")
-    # An item that is stored twice answers twice; a quote that one of them holds is found.
-    answers = answers.groupBy("item_id", "quote").agg(F.max("found").alias("found"))
-    return listed.join(answers, ["item_id", "quote"], "left").select(*keys, "item_id", "quote", F.coalesce("found", F.lit(False)).alias("found"))
+    spread = bodies.join(several, "item_id", "left").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast(asked.schema["pair"].dataType).alias("pair"), "body")
+    # No quote holds a line break, so the texts of an item that is stored twice are looked through as one.
+    met = asked.unionByName(spread).groupBy("item_id", "part").agg(F.collect_set("pair").alias("pairs"), F.array_join(F.collect_list("body"), "\n").alias("body"))
+    scans = met.filter(F.size("pairs") > 0).select("item_id", F.col("pairs.quote").alias("quotes"), "body", F.col("pairs.asked").alias("asked"))
+    schema = T.StructType([*(listed.schema[key] for key in keys), *FOUND.fields])
+    return scans.mapInArrow(_scanned, schema)
+
+
+FOUND = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("quote", T.StringType()), T.StructField("found", T.BooleanType())])
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, quote, found) per quote of each row, the row's text being read once."""
+    """(item_id, quote, found), behind the fields of ``asked`` if there are any, per quote of each row, the row's text being
+    read once."""
     for batch in batches:
         rows: list[tuple[str, str, bool]] = []
         for item_id, quoted, body in zip(*(batch.column(name).to_pylist() for name in ("item_id", "quotes", "body"))):
-            held = held_in(body or "", quoted)
+            held = held_in(body or "", list(dict.fromkeys(quoted)))
             rows += [(item_id, quote, quote in held) for quote in quoted]
         columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_()))]
         if columns:
-            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "quote", "found"])
+            asked = batch.column("asked").flatten() if "asked" in batch.schema.names else pa.array([{}] * len(rows), pa.struct([]))
+            yield pa.RecordBatch.from_arrays([*asked.flatten(), *columns], names=[*(field.name for field in asked.type), *FOUND.names])
 
 
 def held_in(body: str, quoted: list[str]) -> set[str]:

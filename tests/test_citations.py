@@ -126,3 +126,17 @@ def test_an_item_quoted_by_thousands_is_scanned_once_per_part(spark, make_items,
     monkeypatch.setattr(citations, "held_in", lambda body, quoted: scans.append(len(quoted)) or set())
     batch = pa.RecordBatch.from_pylist([{"item_id": "1", "quotes": quoted, "body": body}, {"item_id": "2", "quotes": ["x"], "body": None}])
     assert sum(part.num_rows for part in citations._scanned(iter([batch]))) == len(quoted) + 1 and scans == [len(quoted), 1]
+
+
+def test_quotes_and_texts_meet_in_one_shuffle(spark, make_items, monkeypatch):
+    monkeypatch.setattr("roadsift.operators.small.MAX_SMALL_ROWS", 0)
+    items = make_items({"id": 1, "body": "some text"}, {"id": 1, "body": "other words"}, {"id": 2, "body": None}, {"id": 3, "body": "uncited"})
+    said = '[#1] "some" #1 "some" #01 "other" #1 "text other" #2 "x"'
+    documents = spark.createDataFrame([(1, 7, said), (1, 7, said), (None, 7, '#1 "some"')], "doc int, no int, markdown string")
+    for size in (5000, 1):
+        checked = citations.check_quotes(documents, items, "doc", "no", quotes_a_scan=size)
+        one = [(1, 7, "1", "other", True), (1, 7, "1", "some", True), (1, 7, "1", "text other", False), (1, 7, "2", "x", False)]
+        assert sorted(tuple(row) for row in checked.filter("doc = 1").collect()) == one
+        assert [tuple(row) for row in checked.filter("doc IS NULL").collect()] == [(None, 7, "1", "some", True)]
+    plan = citations.check_quotes(documents, items, "doc", "no")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
