@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadsift.functions.text import strip
 from roadsift.operators.key_filter import KEY
+from roadsift.operators.small import is_small
 from roadsift.schemas import MIN_BODY_CHARS
 from roadsift.session import written
 
@@ -83,9 +84,9 @@ def with_item_ids(chosen: DataFrame, start: int, ordered: bool = True) -> DataFr
 
 
 def numbered_rows(batch: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of a written batch that have an id, with it. The bodies are shuffled once at most and not sorted."""
+    """The rows of a written batch that have an id, with it. The bodies are not sorted, and only shuffled if ids are many."""
     rows = batch.drop("place").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return rows.join(ids.hint("shuffle_hash"), ["file", "row"]).drop("file", "row")
+    return rows.join(F.broadcast(ids) if is_small(ids) else ids.hint("shuffle_hash"), ["file", "row"]).drop("file", "row")
 
 
 def next_import(items: DataFrame) -> tuple[int, int]:

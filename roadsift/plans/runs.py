@@ -16,7 +16,7 @@ from roadsift.operators.key_filter import KEY
 from roadsift.operators.labels import due_retries, label_events, label_with, retries
 from roadsift.operators.models import Answer
 from roadsift.operators.scoring import rice
-from roadsift.operators.small import hinted
+from roadsift.operators.small import hinted, is_small
 from roadsift.operators.state import correction_events, latest_themes, reset_events, unlabeled
 from roadsift.session import shared_folder, written
 from roadsift.sources.key_filters import extend, known_keys
@@ -100,11 +100,16 @@ def label_new(
     The ids to label are written down first; if they are few, the items are scanned for them and not shuffled. The
     texts are written once, by slices of their hash: the model sees a text once, whatever the slices. Labels are
     stored slice by slice, so a run that breaks off keeps what it has paid for. Items that are limited are logged for
-    ``label_due``.
+    ``label_due``. The keyword rules read the texts where they are: only ids and labels are moved, and stored at once.
     """
     items, events = read_table(spark, directory, "items"), read_table(spark, directory, "label_events")
     seq = _next_label_run(spark, directory)
     todo = written(unlabeled(items, events))
+    if answer is None:
+        few = is_small(todo)
+        labelled = label_with((items.join(F.broadcast(todo), "id") if few else items).select("id", "body"))
+        append(label_events(labelled if few else labelled.join(todo, "id"), seq), directory, "label_events")
+        return seq
     wanted = items.select("id", "body", body_hash(F.col("body")).alias("body_hash")).join(hinted(todo, todo), "id")
     for part in _by_slice(wanted, slices):
         _store_labels(spark, directory, part.drop("body_hash").withColumn("attempt", F.lit(0)), seq, answer, partitions, now, wait)

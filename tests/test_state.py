@@ -199,3 +199,20 @@ def test_bucketed_joins_shuffle_nothing_at_all(spark, logs, make_items):
         assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rules_label_texts_where_they_are(spark, make_items, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the texts are written")
+
+    monkeypatch.setattr(runs, "_by_slice", refused)
+    bodies = ["a crash of the app", "how to do this", "nothing to say", "the best of all"]
+    for limit in (0, 100):
+        monkeypatch.setattr("roadsift.operators.small.MAX_SMALL_ROWS", limit)
+        directory = shared_folder(spark)
+        tables.append(make_items(*[{"body": body} for body in bodies]), directory, "items")
+        assert runs.label_new(spark, directory) == 1
+        tables.append(make_items({"id": 9, "body": "a bug"}), directory, "items")
+        assert runs.label_new(spark, directory) == 2  # the items before have their labels
+        events = tables.read_table(spark, directory, "label_events").select("item_id", "seq", "fb_type").collect()
+        assert sorted(map(tuple, events)) == [(1, 1, "bug"), (2, 1, "question"), (3, 1, "other"), (4, 1, "praise"), (9, 2, "bug")]
