@@ -267,17 +267,28 @@ class Utf8Stream:
             raise ValueError("the text ends inside a character")
 
 
-def decode_stream(ids: bytes, bytes_of: dict[int, bytes]) -> Iterator[str]:
-    """The text of packed ids, bit by bit."""
+def by_id(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of every id, null where there is none."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.binary())
+
+
+def decode_stream(ids: bytes, tokens: pa.Array) -> Iterator[str]:
+    """The text of packed ids, bit by bit. Unknown ids raise."""
     stream = Utf8Stream()
     for start in range(0, len(ids), 4 * GROUP):
-        some = np.frombuffer(ids[start : start + 4 * GROUP], "<u4").tolist()
-        yield stream.feed(b"".join(map(bytes_of.__getitem__, some)))
+        some = tokens.take(pa.array(np.frombuffer(ids[start : start + 4 * GROUP], "<u4")))
+        if some.null_count:
+            raise KeyError("an id has no token")
+        _, offsets, data = some.buffers()
+        yield stream.feed(data.to_pybytes()[: np.frombuffer(offsets, np.int32)[len(some)]])
     stream.close()
 
 
 _ENCODERS: dict[str, Encoder] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
+_TOKENS: dict[str, pa.Array] = {}
 
 
 def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
@@ -308,7 +319,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENS:
-            _TOKENS[path] = {rank: token for token, rank in ranks.value.items()}
+            _TOKENS[path] = by_id(ranks.value)
         for batch in bounded(batches, "token_ids"):
             texts = ["".join(decode_stream(value.as_py() or b"", _TOKENS[path])) for value in batch.column("token_ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
